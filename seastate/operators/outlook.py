@@ -49,6 +49,36 @@ def merge_hourly(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
+def _scored_sql(s: Section, pos: int) -> str:
+    """One section's score as SQL over the staged columns, kept inside codegen.
+
+    Size gates everything; direction, period, tide and wind add up to 100, and
+    a ceiling keeps small surf from looking good anywhere.
+    """
+    (lo, hi), (dlo, dhi) = s.ideal, s.best_dir
+    size = (f"CASE WHEN _face IS NULL OR _face < {s.min_face}D THEN 0D "
+            f"WHEN _face < {lo}D THEN (_face - {s.min_face}D) / {max(1e-6, lo - s.min_face)}D WHEN _face <= {hi}D THEN 1D "
+            f"WHEN _face <= {s.max_face}D THEN 1D - 0.6D * (_face - {hi}D) / {max(1e-6, s.max_face - hi)}D ELSE 0.3D END")
+    dirf = (f"CASE WHEN _deg IS NULL THEN 0.5D WHEN _deg BETWEEN {dlo}D AND {dhi}D THEN 1D "
+            f"ELSE greatest(0D, 1D - least(abs(_deg - {dlo}D), abs(_deg - {dhi}D)) / 45D) END")
+    points = f"CASE WHEN _per >= 14 THEN {15 if s.grower else 11}D WHEN _per >= 12 THEN 7D ELSE 0D END"
+    tide = {"high": "CASE _state WHEN 'low' THEN 0.15D WHEN 'mid' THEN 0.6D ELSE 1D END",
+            "mid-high": "CASE _state WHEN 'low' THEN 0.45D ELSE 1D END",
+            "mid": "CASE WHEN _state IN ('low', 'high') THEN 0.7D ELSE 1D END"}.get(s.tide, "1D")
+    tide = f"CASE WHEN _tide IS NULL THEN 1D ELSE {tide} END"
+    wind = f"CASE _wind_{pos} " + " ".join(f"WHEN '{n}' THEN {w}D" for n, w in WIND_FIT.items()) + " ELSE 0.5D END"
+    raw = f"least(100D, ({dirf}) * 30 + ({points}) + ({tide}) * 30 + ({wind}) * 25)"
+    dry = "_tide IS NOT NULL AND _state = 'low'" if s.tide == "high" else "false"
+    reasons = (f"array_compact(array(CASE WHEN _face IS NULL THEN 'no swell in window' WHEN _face < {s.min_face}D THEN 'too small' "
+               f"WHEN _face < {lo}D THEN 'small side' WHEN _face > {s.max_face}D THEN 'over its range' END, "
+               f"CASE WHEN ({dirf}) < 0.4D THEN 'swell angle off' END, "
+               f"CASE WHEN _per >= 14 AND {str(s.grower).lower()} THEN 'long lines grow' END, "
+               f"CASE WHEN {dry} THEN 'needs water' END, CASE WHEN ({wind}) <= 0.2D THEN 'wind is wrong' END))")
+    return (f"named_struct('section', '{s.key}', 'pos', {pos}, "
+            f"'score', cast(rint(({raw}) * ({size}) * _ceiling * {s.prestige}D) as int), 'raw_score', cast(rint({raw}) as int), "
+            f"'size_fit', round({size}, 2), 'tide_fit', round({tide}, 2), 'wind', _wind_{pos}, 'reasons', {reasons})")
+
+
 def quality_ceiling(face: Column, period: Column) -> Column:
     """How good any section can be with this much swell in the water."""
     base = (F.when(face < 2.5, 0.18).when(face < 4, 0.45).when(face < 6, 0.70)
@@ -58,61 +88,6 @@ def quality_ceiling(face: Column, period: Column) -> Column:
     return F.when(face.isNull(), F.lit(0.0)).otherwise(lifted)
 
 
-def _size_fit(face: Column, s: Section) -> Column:
-    lo, hi = s.ideal
-    return (F.when(face.isNull() | (face < s.min_face), F.lit(0.0))
-            .when(face < lo, (face - s.min_face) / max(1e-6, lo - s.min_face))
-            .when(face <= hi, F.lit(1.0))
-            .when(face <= s.max_face, F.lit(1.0) - F.lit(0.6) * (face - hi) / max(1e-6, s.max_face - hi))
-            .otherwise(F.lit(0.3)))
-
-
-def _dir_fit(deg: Column, s: Section) -> Column:
-    lo, hi = s.best_dir
-    miss = F.least(F.abs(deg - lo), F.abs(deg - hi))
-    return (F.when(deg.isNull(), F.lit(0.5)).when((deg >= lo) & (deg <= hi), F.lit(1.0))
-            .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - miss / 45.0)))
-
-
-def _period_points(period: Column, s: Section) -> Column:
-    return (F.when(period >= 14, F.lit(15.0 if s.grower else 11.0)).when(period >= 12, F.lit(7.0)).otherwise(F.lit(0.0)))
-
-
-def _tide_fit(tide: Column, state: Column, s: Section) -> Column:
-    fit = {"high": F.when(state == "low", 0.15).when(state == "mid", 0.6).otherwise(1.0),
-           "mid-high": F.when(state == "low", 0.45).otherwise(1.0),
-           "mid": F.when(state.isin("low", "high"), 0.7).otherwise(1.0)}.get(s.tide, F.lit(1.0))
-    return F.when(tide.isNull(), F.lit(1.0)).otherwise(fit)
-
-
-def _wind_fit(rating: Column) -> Column:
-    out = F.lit(0.5)
-    for name, fit in WIND_FIT.items():
-        out = F.when(rating == name, F.lit(fit)).otherwise(out)
-    return out
-
-
-def section_struct(s: Section, face: Column, period: Column, deg: Column, speed_kt: Column,
-                   wind_deg: Column, tide: Column, state: Column, pos: int) -> Column:
-    """Score of one section: size gates everything, the rest adds up to 100."""
-    size, dirf = _size_fit(face, s), _dir_fit(deg, s)
-    rating = section_wind_rating(speed_kt, wind_deg, F.lit(s.offshore))
-    windf, tidef = _wind_fit(rating), _tide_fit(tide, state, s)
-    raw = F.least(F.lit(100.0), dirf * 30 + _period_points(period, s) + tidef * 30 + windf * 25)
-    reasons = F.array_compact(F.array(
-        F.when(face.isNull(), "no swell in window").when(face < s.min_face, "too small")
-        .when(face < s.ideal[0], "small side").when(face > s.max_face, "over its range"),
-        F.when(dirf < 0.4, "swell angle off"),
-        F.when((period >= 14) & F.lit(s.grower), "long lines grow"),
-        F.when(tide.isNotNull() & (state == "low") & F.lit(s.tide == "high"), "needs water"),
-        F.when(windf <= 0.2, "wind is wrong")))
-    return F.struct(
-        F.lit(s.key).alias("section"), F.lit(pos).alias("pos"),
-        F.rint(raw * size * quality_ceiling(face, period) * s.prestige).cast("int").alias("score"),
-        F.rint(raw).cast("int").alias("raw_score"), F.round(size, 2).alias("size_fit"),
-        F.round(tidef, 2).alias("tide_fit"), rating.alias("wind"), reasons.alias("reasons"))
-
-
 def rank_sections(df: DataFrame, sections: list[Section], height: str, period: str, direction: str,
                   speed_kt: str, wind_dir: str, tide: str, state: str, out: str = "ranked") -> DataFrame:
     """Add the scored sections, best first; equal scores keep the reef order.
@@ -121,11 +96,13 @@ def rank_sections(df: DataFrame, sections: list[Section], height: str, period: s
     and nothing is shuffled.
     """
     face = F.when(F.col(height) != 0, F.col(height))
-    args = (face, F.col(period), F.col(direction), F.col(speed_kt), F.col(wind_dir), F.col(tide), F.col(state))
-    scored = F.array(*[section_struct(s, *args, i) for i, s in enumerate(sections)])
-    order = F.array_sort(F.transform(scored, lambda s: F.struct(
-        (-s["score"]).alias("k"), s["pos"].alias("p"), s.alias("s"))))
-    return df.withColumn(out, F.transform(order, lambda o: o["s"]))
+    staged = {"_face": face, "_per": F.col(period), "_deg": F.col(direction), "_tide": F.col(tide), "_state": F.col(state),
+              "_ceiling": quality_ceiling(face, F.col(period))}
+    for i, s in enumerate(sections):
+        staged[f"_wind_{i}"] = section_wind_rating(F.col(speed_kt), F.col(wind_dir), F.lit(s.offshore))
+    scored = ", ".join(_scored_sql(s, i) for i, s in enumerate(sections))
+    order = (f"array_sort(array({scored}), (l, r) -> CASE WHEN l.score <> r.score THEN r.score - l.score ELSE l.pos - r.pos END)")
+    return df.withColumns(staged).withColumn(out, F.expr(order)).drop(*staged)
 
 
 def best_section(ranked: str = "ranked") -> Column:

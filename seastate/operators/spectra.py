@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import circular as C
 from ..functions import units as U
+from ..functions.arrays import let
 
 # Band limit, peak floor, merge thresholds and output floors.
 SWELL_CUTOFF_HZ = 1.0 / 6.0
@@ -113,33 +114,45 @@ def _moments(part: Column) -> Column:
     return F.aggregate(part, zero, add)
 
 
-def with_peaks(spectra: DataFrame, keys: list[str], bins: str = "bins") -> DataFrame:
-    """Add the widened bins, the raw peaks and the merged peaks of each spectrum."""
-    d = spectra.select(*keys, F.array_sort(F.col(bins)).alias("_bins"))
-    d = d.withColumn("bins", with_widths(F.col("_bins"))).drop("_bins")
-    d = d.withColumn("ext", F.filter("bins", lambda b: b["freq"] <= SWELL_CUTOFF_HZ + EDGE_HZ))
-    d = d.withColumn("swell", F.filter("bins", lambda b: b["freq"] <= SWELL_CUTOFF_HZ))
-    d = d.withColumn("energies", F.transform("bins", lambda b: b["energy"]))
-    d = d.withColumn("peaks", raw_peaks(F.col("ext")))
-    return d.withColumn("merged", merge_peaks(F.col("peaks"), F.col("energies")))
-
-
-def with_partitions(spectra: DataFrame, keys: list[str], bins: str = "bins") -> DataFrame:
-    """Add ``parts``: per kept swell-band peak its bin range and moments."""
-    d = with_peaks(spectra, keys, bins)
-    merged, energies, swell = F.col("merged"), F.col("energies"), F.col("swell")
-
-    def bounds(pk: Column, r: Column) -> Column:
+def _bounds(swell: Column, energies: Column, merged: Column) -> Column:
+    """Bin range of each kept peak: from past the valley before to the valley after, in the swell band."""
+    def one(pk: Column, r: Column) -> Column:
         prev, nxt = F.get(merged, r - 1)["i"], F.get(merged, r + 1)["i"]
         lo = F.when(r > 0, _first_min(energies, prev, pk["i"]) + 1).otherwise(F.lit(0))
         hi = F.when(nxt.isNotNull(), _first_min(energies, pk["i"], nxt)).otherwise(F.size(swell) - 1)
         return F.struct(pk.alias("pk"), lo.alias("lo"), F.least(hi, F.size(swell) - 1).alias("hi"))
 
-    d = d.withColumn("ranges", F.filter(F.transform(merged, bounds),
-                                        lambda x: (x["pk"]["freq"] <= SWELL_CUTOFF_HZ) & (x["hi"] >= x["lo"])))
-    return d.withColumn("parts", F.transform("ranges", lambda x: F.struct(
-        x["pk"]["i"].alias("peak"), x["lo"].alias("lo"), x["hi"].alias("hi"),
-        _moments(F.slice(swell, x["lo"] + 1, x["hi"] - x["lo"] + 1)).alias("m"))))
+    return F.filter(F.transform(merged, one),
+                    lambda x: (x["pk"]["freq"] <= SWELL_CUTOFF_HZ) & (x["hi"] >= x["lo"]))
+
+
+def analyse(bins: Column) -> Column:
+    """struct(bins, peaks, merged, parts) of one spectrum, each step evaluated once.
+
+    ``parts`` holds per kept swell-band peak its bin range and moments.
+    """
+    def bands(b: Column) -> Column:
+        return F.struct(
+            b.alias("bins"), F.filter(b, lambda x: x["freq"] <= SWELL_CUTOFF_HZ + EDGE_HZ).alias("ext"),
+            F.filter(b, lambda x: x["freq"] <= SWELL_CUTOFF_HZ).alias("swell"),
+            F.transform(b, lambda x: x["energy"]).alias("energies"))
+
+    def parts(s: Column, merged: Column) -> Column:
+        return F.transform(_bounds(s["swell"], s["energies"], merged), lambda x: F.struct(
+            x["pk"]["i"].alias("peak"), x["lo"].alias("lo"), x["hi"].alias("hi"),
+            _moments(F.slice(s["swell"], x["lo"] + 1, x["hi"] - x["lo"] + 1)).alias("m")))
+
+    def from_bands(s: Column) -> Column:
+        return let(raw_peaks(s["ext"]), lambda pk: let(
+            merge_peaks(pk, s["energies"]), lambda mg: F.struct(
+                s["bins"].alias("bins"), pk.alias("peaks"), mg.alias("merged"), parts(s, mg).alias("parts"))))
+
+    return let(F.array_sort(bins), lambda raw: let(with_widths(raw), lambda b: let(bands(b), from_bands)))
+
+
+def with_peaks(spectra: DataFrame, keys: list[str], bins: str = "bins") -> DataFrame:
+    """Per spectrum: widened bins, raw peaks, merged peaks and partitions."""
+    return spectra.select(*keys, analyse(F.col(bins)).alias("_x")).select(*keys, "_x.*")
 
 
 def decompose(spectra: DataFrame, keys: list[str], bins: str = "bins") -> DataFrame:
@@ -150,18 +163,17 @@ def decompose(spectra: DataFrame, keys: list[str], bins: str = "bins") -> DataFr
     """
     from .waves import top_components
 
-    d = with_partitions(spectra, keys, bins)
-    d = d.withColumn("shaped", F.transform("parts", lambda x, i: F.struct(
-        U.m_to_ft(F.lit(4.0) * F.sqrt(x["m"]["e"])).alias("height_ft"),
-        (x["m"]["t"] / x["m"]["e"]).alias("tm"),
-        C.from_sincos(x["m"]["s"], x["m"]["c"]).alias("dir"), x["m"]["e"].alias("e"), i.alias("_i"))))
-    d = d.withColumn("shaped", F.filter("shaped", lambda x: (x["e"] > 0) & (x["height_ft"] >= MIN_HEIGHT_FT)
-                                        & (x["tm"] >= MIN_PERIOD_S)))
-    comps = F.transform("shaped", lambda x: F.struct(
+    shaped = lambda parts: F.transform(parts, lambda x, i: F.struct(
+        U.m_to_ft(F.lit(4.0) * F.sqrt(x["m"]["e"])).alias("height_ft"), (x["m"]["t"] / x["m"]["e"]).alias("tm"),
+        C.from_sincos(x["m"]["s"], x["m"]["c"]).alias("dir"), i.alias("_i")))
+    strong = lambda parts: F.filter(parts, lambda x: x["m"]["e"] > 0)
+    kept = F.filter(shaped(strong(analyse(F.col(bins))["parts"])),
+                    lambda x: (x["height_ft"] >= MIN_HEIGHT_FT) & (x["tm"] >= MIN_PERIOD_S))
+    comps = F.transform(kept, lambda x: F.struct(
         x["height_ft"].alias("height_ft"), F.round(x["tm"], 1).alias("period_s"),
         F.rint(x["dir"]).alias("direction_deg"), U.observed_energy(x["height_ft"], x["tm"]).alias("energy"),
         F.lit("swell").alias("type"), x["_i"].alias("_i")))
-    return d.select(*keys, top_components(comps).alias("components"))
+    return spectra.select(*keys, top_components(comps).alias("components"))
 
 
 def moments_by(bins: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,10 +21,10 @@ NEAR_S = 1800.0
 
 
 @query("j03_nearest_match", f"""
-WITH l AS (SELECT station, valid_utc, hs_m FROM obs WHERE partition = 0), r AS (SELECT station, valid_utc AS at, max(tp_s) AS tp_s FROM obs WHERE partition = 1 GROUP BY 1, 2)
-SELECT station, {iso('valid_utc')} AS valid_utc, {r6('hs_m')} AS hs_m, {iso('at')} AS match_at, tp_s FROM (
- SELECT l.*, r.at, r.tp_s, row_number() OVER (PARTITION BY l.station, l.valid_utc ORDER BY abs(epoch_us(r.at) - epoch_us(l.valid_utc)), r.at) AS rn
- FROM l LEFT JOIN r ON r.station = l.station AND r.at BETWEEN l.valid_utc - INTERVAL 30 MINUTES AND l.valid_utc + INTERVAL 30 MINUTES) WHERE rn = 1""")
+WITH l AS (SELECT station, valid_utc, hs_m FROM obs WHERE partition = 0), r AS (SELECT station, valid_utc AS att, max(tp_s) AS tp_s FROM obs WHERE partition = 1 GROUP BY 1, 2)
+SELECT station, {iso('valid_utc')} AS valid_utc, {r6('hs_m')} AS hs_m, {iso('att')} AS match_at, tp_s FROM (
+ SELECT l.*, r.att, r.tp_s, row_number() OVER (PARTITION BY l.station, l.valid_utc ORDER BY abs(epoch_us(r.att) - epoch_us(l.valid_utc)), r.att) AS rn
+ FROM l LEFT JOIN r ON r.station = l.station AND r.att BETWEEN l.valid_utc - INTERVAL 30 MINUTES AND l.valid_utc + INTERVAL 30 MINUTES) WHERE rn = 1""")
 def _(v):
     """Each combined reading with the nearest primary reading within half an hour."""
     l = v.obs.filter(F.col("partition") == 0).select("station", "valid_utc", "hs_m")
@@ -84,10 +84,10 @@ def _(v):
     return Wv.densify_hourly(x, ["station"], "t", ["h"], ["d"])
 
 
-_SHIFT = f"""sh AS (SELECT s.station, s.t, s.v, s.t - INTERVAL 23 MINUTES AS at FROM ser s),
- lo AS (SELECT sh.*, b.t AS t0, b.v AS v0 FROM sh ASOF LEFT JOIN ser b ON sh.station = b.station AND sh.at >= b.t),
- hi AS (SELECT lo.*, a.t AS t1, a.v AS v1 FROM lo ASOF LEFT JOIN ser a ON lo.station = a.station AND lo.at < a.t),
- shifted AS (SELECT station, t, v, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (epoch(at) - epoch(t0)) / (epoch(t1) - epoch(t0)) * (v1 - v0) END AS sv FROM hi)"""
+_SHIFT = f"""sh AS (SELECT s.station, s.t, s.v, s.t - INTERVAL 23 MINUTES AS att FROM ser s),
+ lo AS (SELECT sh.*, b.t AS t0, b.v AS v0 FROM sh ASOF LEFT JOIN ser b ON sh.station = b.station AND sh.att >= b.t),
+ hi AS (SELECT lo.*, a.t AS t1, a.v AS v1 FROM lo ASOF LEFT JOIN ser a ON lo.station = a.station AND lo.att < a.t),
+ shifted AS (SELECT station, t, v, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (epoch(att) - epoch(t0)) / (epoch(t1) - epoch(t0)) * (v1 - v0) END AS sv FROM hi)"""
 
 
 @query("w11_shifted_sample", f"WITH {_SHIFT} SELECT station, {iso('t')} AS t, {r6('sv')} AS shifted_v FROM shifted")
@@ -371,7 +371,7 @@ def _(v):
 SELECT e.event_id, EXISTS (SELECT 1 FROM (SELECT unnest([-1, 0]) AS d) a, (SELECT unnest({_SLOTS}) AS h) b
  WHERE date_trunc('day', e.ts)::TIMESTAMP + to_days(a.d) + to_hours(b.h) > e.ts - to_minutes(e.k * 5) AND date_trunc('day', e.ts)::TIMESTAMP + to_days(a.d) + to_hours(b.h) <= e.ts) AS stale FROM ev e""")
 def _(v):
-    ing = F.timestamp_micros(F.unix_micros("ts") - F.col("k") * 300_000_000)
+    ing = F.timestamp_micros(F.unix_micros("ts") - F.col("k").cast("long") * 300_000_000)
     return v.events.select("event_id", Wd.stale_since(ing, F.col("ts"), Wd.RUN_HOURS["B"]).alias("stale"))
 
 

@@ -69,7 +69,7 @@ def main() -> int:
             else:
                 msg, n = None, qs[name](spark, sf_dir).count()
         except Exception as e:  # report and go on
-            msg, n = f"{type(e).__name__}: {str(e)[:900]}", 0
+            msg, n = f"{type(e).__name__}: {str(e)[:500]}", 0
         failed += bool(msg)
         flag = "FAIL" if msg else ("ok  " if name in oracles else "rows")
         print(f"{flag} {name} rows={n} {time.time() - t:.1f}s {msg or ''}", flush=True)
