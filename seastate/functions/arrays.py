@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     looks into a computed array at many positions stays linear.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns that later steps read as values, not as expressions.
+
+    The optimizer may push a filter below a projection by writing the whole
+    expression into the filter; through a long chain of formulas that repeats
+    work many times over. Columns that come out of a generator stay where they
+    are. The generator emits exactly one row and runs inside codegen.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.select(*[c for c in df.columns if c not in cols], made)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import stage
 from ..functions.rules import _toml, section_wind_rating
 
 # Wind fit of each rating, 0.5 where there is none.
@@ -102,7 +103,7 @@ def rank_sections(df: DataFrame, sections: list[Section], height: str, period: s
         staged[f"_wind_{i}"] = section_wind_rating(F.col(speed_kt), F.col(wind_dir), F.lit(s.offshore))
     scored = ", ".join(_scored_sql(s, i) for i, s in enumerate(sections))
     order = (f"array_sort(array({scored}), (l, r) -> CASE WHEN l.score <> r.score THEN r.score - l.score ELSE l.pos - r.pos END)")
-    return df.withColumns(staged).withColumn(out, F.expr(order)).drop(*staged)
+    return stage(df, staged).withColumn(out, F.expr(order)).drop(*staged)
 
 
 def best_section(ranked: str = "ranked") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import circular as C
 from ..functions import geo as G
 from ..functions import units as U
+from ..functions.arrays import stage
 from ..functions.rules import VERDICTS, SwellWindow, verdict
 from .ordered import DAY, as_of, epoch, latest_by
 
@@ -48,27 +49,28 @@ def sentinel_table(sites: DataFrame, latest: DataFrame, keys: list[str], t: Targ
         "hs_ft": U.m_to_ft(F.col("hs_m")), "transit_hours": G.travel_hours(d, F.col("tp_s"))})
 
 
-def translate(readings: DataFrame, t: Target, now: str, ts: str = "time") -> DataFrame:
-    """All feasible (source, arrival) solutions of each reading.
+def translate(readings: DataFrame, t: Target, now: str, ts: str = "time", tau: str | None = None) -> DataFrame:
+    """Feasible (source, arrival) solutions of each reading.
 
     A fixed number of travel times per reading, so the expansion is linear.
+    With ``tau`` only the travel time in that column is worked out.
     """
     lo, hi, step = TAU_HOURS
     cg = G.group_speed_kmh(F.col("tp_s"))
     r = readings.filter(F.col("tp_s").isNotNull() & F.col("dp_deg").isNotNull() & F.col(ts).isNotNull())
-    d = r.withColumn("tau_h", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
-    d = d.withColumn("src_km", cg * F.col("tau_h"))
-    d = d.withColumn("src_lat", G.destination_lat(F.col("lat"), F.col("dp_deg"), F.col("src_km")))
+    d = r.withColumn("tau_h", F.col(tau) if tau else F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
+    km = cg * F.col("tau_h")
+    d = stage(d, {"src_km": km, "src_lat": G.destination_lat(F.col("lat"), F.col("dp_deg"), km)})
     d = d.filter(F.col("src_lat").between(*SOURCE_LAT))
-    d = d.withColumn("src_lon", G.destination_lon(F.col("lat"), F.col("lon"), F.col("dp_deg"), F.col("src_km"), F.col("src_lat")))
+    d = stage(d, {"src_lon": G.destination_lon(F.col("lat"), F.col("lon"), F.col("dp_deg"), F.col("src_km"), F.col("src_lat"))})
     tl, tn = F.lit(t.lat), F.lit(t.lon)
-    d = d.withColumn("theta", G.bearing_deg(tl, tn, F.col("src_lat"), F.col("src_lon")))
+    d = stage(d, {"theta": G.bearing_deg(tl, tn, F.col("src_lat"), F.col("src_lon"))})
     d = d.filter(F.col("theta").between(*t.window.edge))
-    d = d.withColumn("to_km", G.haversine_km(F.col("src_lat"), F.col("src_lon"), tl, tn))
-    d = d.withColumn("arrive_epoch", epoch(F.col(ts)) - F.col("tau_h") * 3600.0 + F.col("to_km") / cg * 3600.0)
-    d = d.withColumn("lead_h", (F.col("arrive_epoch") - epoch(F.col(now))) / 3600.0)
+    d = stage(d, {"to_km": G.haversine_km(F.col("src_lat"), F.col("src_lon"), tl, tn)})
+    arrive = epoch(F.col(ts)) - F.col("tau_h") * 3600.0 + F.col("to_km") / cg * 3600.0
+    d = stage(d, {"arrive_epoch": arrive, "lead_h": (arrive - epoch(F.col(now))) / 3600.0})
     d = d.filter(F.col("lead_h").between(*LEAD_HOURS))
-    return d.withColumns({
+    return stage(d, {
         "hs_ft_at_target": U.m_to_ft(F.col("hs_m") * G.spread_factor(F.col("src_km"), F.col("to_km"))),
         "in_core": F.col("theta").between(*t.window.core)})
 
@@ -80,16 +82,23 @@ def belt_distance(lat: Column) -> Column:
         F.least(F.abs(r + BELT_MID) / BELT_SCALE, F.lit(2.0)))
 
 
-def best_solution(solutions: DataFrame, keys: list[str]) -> DataFrame:
-    """Core window first, then nearest the belt, then the shortest travel; plus the envelope."""
-    order = F.struct(F.when(F.col("in_core"), 0).otherwise(1).alias("core"),
-                     belt_distance(F.col("src_lat")).alias("belt"), F.col("tau_h"))
-    best = F.min_by(F.struct("tau_h", "src_lat", "src_lon", "to_km", "arrive_epoch", "lead_h", "theta",
-                             "hs_ft_at_target", "in_core"), order)
+def best_solution(readings: DataFrame, t: Target, now: str, ts: str = "time") -> DataFrame:
+    """Per reading its best solution and the envelope of all feasible ones.
+
+    Core window first, then nearest the belt, then the shortest travel. The
+    three are packed into one whole number (belt distances are multiples of
+    1/2000), so the aggregate holds plain numbers, hashes instead of sorting
+    and shrinks to one row per reading before the shuffle. The winner's other
+    values are worked out again from its travel time alone.
+    """
+    keys = readings.columns
+    core = F.when(F.col("in_core"), 0).otherwise(1)
+    order = core * 10_000_000 + F.rint(belt_distance(F.col("src_lat")) * 2000).cast("int") * 1000 + F.col("tau_h")
     arrive = F.rint("theta").cast("int")
-    return solutions.groupBy(*keys).agg(
-        best.alias("best"), F.min("lead_h").alias("lead_min"), F.max("lead_h").alias("lead_max"),
+    best = translate(readings, t, now, ts).groupBy(*keys).agg(
+        (F.min(order) % 1000).alias("best_tau"), F.min("lead_h").alias("lead_min"), F.max("lead_h").alias("lead_max"),
         F.min(arrive).alias("dir_min"), F.max(arrive).alias("dir_max"), F.count("*").alias("n_solutions"))
+    return translate(best, t, now, ts, tau="best_tau").drop("best_tau")
 
 
 MEMBER_FIELDS = ("distance_km", "site", "lat", "lon", "t_obs", "tp_s", "dp_deg", "hs_m")
@@ -160,26 +169,26 @@ def fit_source(groups: DataFrame) -> DataFrame:
     join and no shuffle. Groups without a possible coarse candidate drop out.
     """
     m = F.col("members")
-    g = groups.withColumn("coarse", _search(
+    g = stage(groups, {"coarse": _search(
         m, _steps(F.lit(COARSE_LAT[0]), _count(*COARSE_LAT, COARSE_STEP), COARSE_STEP),
-        _steps(F.lit(COARSE_LON[0]), _count(*COARSE_LON, COARSE_STEP), COARSE_STEP)))
+        _steps(F.lit(COARSE_LON[0]), _count(*COARSE_LON, COARSE_STEP), COARSE_STEP))})
     g = g.filter(F.col("coarse").isNotNull())
     n = _count(-FINE_REACH, FINE_REACH, FINE_STEP)
     fine = _search(m, _steps(F.col("coarse.lat") - FINE_REACH, n, FINE_STEP),
                    _steps(F.col("coarse.lon") - FINE_REACH, n, FINE_STEP))
-    return g.withColumn("fit", F.coalesce(fine, F.col("coarse")))
+    return stage(g, {"fit": F.coalesce(fine, F.col("coarse"))})
 
 
 def cluster_summary(fitted: DataFrame, keys: list[str], t: Target, now: str) -> DataFrame:
     """Arrival of each group at the target, its height and how well the rays met."""
     tl, tn = F.lit(t.lat), F.lit(t.lon)
-    d = fitted.withColumn("source_km", G.haversine_km(F.col("fit.lat"), F.col("fit.lon"), tl, tn))
-    d = d.withColumn("theta", G.bearing_deg(tl, tn, F.col("fit.lat"), F.col("fit.lon")))
+    d = stage(fitted, {"source_km": G.haversine_km(F.col("fit.lat"), F.col("fit.lon"), tl, tn),
+                       "theta": G.bearing_deg(tl, tn, F.col("fit.lat"), F.col("fit.lon"))})
     d = d.withColumn("arrive_epoch", F.col("fit.origin") + F.col("source_km") / G.group_speed_kmh(F.col("tp_s")) * 3600.0)
     heights = F.filter(F.transform("members", lambda m: m["hs_m"] * G.spread_factor(
         G.haversine_km(m["lat"], m["lon"], F.col("fit.lat"), F.col("fit.lon")), F.col("source_km"))),
         lambda h: h.isNotNull())
-    d = d.withColumn("_h", heights)
+    d = stage(d, {"_h": heights})
     n, err, spread = F.size("members"), F.col("fit.bearing_err"), F.col("fit.time_spread")
     total = F.aggregate("_h", F.lit(0.0), lambda a, x: a + x)
     return d.select(

@@ -59,8 +59,8 @@ def _(v):
     """Every distinct reading of the history traced to its best source."""
     keys = ["site", "time", "hs_m", "tp_s", "dp_deg"]
     r = v.readings.select(*keys).distinct().join(v.sites.select("site", "lat", "lon"), "site").withColumn("now", F.col("time"))
-    b = Sw.best_solution(Sw.translate(r, TARGET, "now"), keys)
-    return b.select(*keys, "best.tau_h", "best.lead_h", "lead_min", "lead_max", "dir_min", "dir_max", "n_solutions")
+    b = Sw.best_solution(r, TARGET, "now")
+    return b.select(*keys, "tau_h", "lead_h", "lead_min", "lead_max", "dir_min", "dir_max", "n_solutions")
 
 
 def _members(v):

@@ -130,7 +130,8 @@ def work_list(stations: DataFrame, start: str, end: str, step_hours: int, done:
 
 def month_list(stations: DataFrame, start: str, end: str, done: DataFrame, key: str = "station") -> DataFrame:
     months = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("INTERVAL 1 MONTH"))
-    return (stations.select(key).distinct().withColumn("month", F.date_format(F.explode(months), "yyyy-MM"))
+    return (stations.select(key).distinct().withColumn("_m", F.explode(months))
+            .select(key, F.date_format("_m", "yyyy-MM").alias("month"))
             .join(done.select(key, "month").distinct(), [key, "month"], "left_anti"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units as U
+from ..functions.arrays import stage
 
 # Fixed value: two-digit years from here on are in the last century.
 YEAR_PIVOT = 70
@@ -49,13 +50,13 @@ def time_of(year: Column, month: Column, day: Column, hour: Column, minute: Colu
 def headers(lines: DataFrame) -> DataFrame:
     """First '#' line of each file as an array of names: one row per file."""
     h = lines.filter(is_comment(F.col("value")))
-    return h.groupBy("path").agg(F.min_by("value", "pos").alias("_h")).select(
-        "path", tokens(F.regexp_replace("_h", "^[# ]+", "")).alias("header"))
+    h = h.groupBy("path").agg(F.min_by("value", "pos").alias("_h"))
+    return stage(h, {"header": tokens(F.regexp_replace("_h", "^[# ]+", ""))}).drop("_h")
 
 
 def _with_header(lines: DataFrame) -> DataFrame:
     data = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != ""))
-    return data.join(headers(lines), "path").withColumn("tok", tokens(F.col("value")))
+    return stage(data.join(headers(lines), "path"), {"tok": tokens(F.col("value"))})
 
 
 def named(header: Column, tok: Column, *names: str) -> Column:
@@ -98,7 +99,8 @@ def parse_spectrum_pairs(lines: DataFrame, value: str, leading: int) -> DataFram
     Five time columns, then ``leading`` extra columns, then the pairs. The
     value keeps the name given, fills become null, bins stay in one row.
     """
-    d = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != "")).select("path", tokens(F.col("value")).alias("tok"))
+    data = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != ""))
+    d = stage(data.select("path", "value"), {"tok": tokens(F.col("value"))})
     skip = 5 + leading
     pairs = F.floor((F.size("tok") - skip) / 2).cast("int")
     t = lambda i: F.get("tok", F.lit(i))
@@ -123,10 +125,9 @@ def parse_spectrum_table(lines: DataFrame, value: str) -> DataFrame:
         .filter(F.startswith("_first", F.lit("<"))).select("path")
     d = _with_header(lines.join(pages, "path", "left_anti"))
     nums = F.transform("header", lambda h: h.try_cast("double"))
-    d = d.withColumn("_f", nums)
-    is_freq = F.transform("_f", lambda f: F.coalesce((f > 0) & (f < 1), F.lit(False)))
-    d = d.withColumn("_n", F.array_position(is_freq, F.lit(True)).cast("int") - 1).filter(F.col("_n") >= 0)
-    d = d.withColumn("_freqs", F.filter(F.slice("_f", F.col("_n") + 1, F.size("_f")), lambda f: (f > 0) & (f < 1)))
+    is_freq = F.transform(nums, lambda f: F.coalesce((f > 0) & (f < 1), F.lit(False)))
+    d = stage(d, {"_f": nums, "_n": F.array_position(is_freq, F.lit(True)).cast("int") - 1}).filter(F.col("_n") >= 0)
+    d = stage(d, {"_freqs": F.filter(F.slice("_f", F.col("_n") + 1, F.size("_f")), lambda f: (f > 0) & (f < 1))})
     d = d.filter(F.size("tok") >= F.col("_n") + F.size("_freqs"))
     t = lambda i: F.get("tok", F.lit(i))
     minute = F.when(F.col("_n") >= 5, t(4)).otherwise(F.lit("0"))
@@ -146,13 +147,10 @@ def pair_spectra(energy: DataFrame, direction: DataFrame, keys: list[str], outer
     """
     e = energy.select(*keys, F.col("bins").alias("_e"))
     d = direction.select(*keys, F.col("bins").alias("_d"))
-    j = e.join(d, keys, "left" if outer else "inner")
-    # Kept from the first of equal frequencies; a map needs unique keys.
-    by_freq = F.map_from_entries(F.transform(F.array_distinct(F.transform("_d", lambda b: b["freq"])), lambda f: F.struct(
-        f, F.get(F.filter("_d", lambda b: b["freq"] == f), F.lit(0))["dir"])))
-    j = j.withColumn("_m", by_freq)
+    j = stage(e.join(d, keys, "left" if outer else "inner"), {"_f": F.transform("_d", lambda b: b["freq"])})
     return j.select(*keys, F.transform("_e", lambda b: F.struct(
-        b["freq"].alias("freq"), b["energy"].alias("energy"), F.try_element_at("_m", b["freq"]).alias("dir"))).alias("bins"))
+        b["freq"].alias("freq"), b["energy"].alias("energy"),
+        F.get("_d", F.array_position("_f", b["freq"]).cast("int") - 1)["dir"].alias("dir"))).alias("bins"))
 
 
 def parse_summary(lines: DataFrame) -> DataFrame:
