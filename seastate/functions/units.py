@@ -54,11 +54,8 @@ def parse_number(text: Column, fills=STATION_FILLS) -> Column:
 
 def parse_direction(text: Column) -> Column:
     """Degrees, or a compass name turned into whole degrees (truncated)."""
-    name = F.upper(F.trim(text))
-    by_name = F.lit(None).cast("double")
-    for i, card in enumerate(CARDINALS):
-        by_name = F.when(name == card, F.lit(float(int(i * 22.5)))).otherwise(by_name)
-    return F.coalesce(parse_number(text, DIRECTION_FILLS), by_name)
+    names = F.create_map(*[x for i, card in enumerate(CARDINALS) for x in (F.lit(card), F.lit(float(int(i * 22.5))))])
+    return F.coalesce(parse_number(text, DIRECTION_FILLS), F.try_element_at(names, F.upper(F.trim(text))))
 
 
 def _pick(names, idx: Column) -> Column:

@@ -50,11 +50,10 @@ def merge_hourly(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
-def _scored_sql(s: Section, pos: int) -> str:
-    """One section's score as SQL over the staged columns, kept inside codegen.
+def _section_parts(s: Section, i: int) -> dict[str, str]:
+    """Size, tide and raw score of one section as SQL over the staged columns.
 
-    Size gates everything; direction, period, tide and wind add up to 100, and
-    a ceiling keeps small surf from looking good anywhere.
+    Size gates everything; direction, period, tide and wind add up to 100.
     """
     (lo, hi), (dlo, dhi) = s.ideal, s.best_dir
     size = (f"CASE WHEN _face IS NULL OR _face < {s.min_face}D THEN 0D "
@@ -62,22 +61,30 @@ def _scored_sql(s: Section, pos: int) -> str:
             f"WHEN _face <= {s.max_face}D THEN 1D - 0.6D * (_face - {hi}D) / {max(1e-6, s.max_face - hi)}D ELSE 0.3D END")
     dirf = (f"CASE WHEN _deg IS NULL THEN 0.5D WHEN _deg BETWEEN {dlo}D AND {dhi}D THEN 1D "
             f"ELSE greatest(0D, 1D - least(abs(_deg - {dlo}D), abs(_deg - {dhi}D)) / 45D) END")
-    points = f"CASE WHEN _per >= 14 THEN {15 if s.grower else 11}D WHEN _per >= 12 THEN 7D ELSE 0D END"
     tide = {"high": "CASE _state WHEN 'low' THEN 0.15D WHEN 'mid' THEN 0.6D ELSE 1D END",
             "mid-high": "CASE _state WHEN 'low' THEN 0.45D ELSE 1D END",
             "mid": "CASE WHEN _state IN ('low', 'high') THEN 0.7D ELSE 1D END"}.get(s.tide, "1D")
-    tide = f"CASE WHEN _tide IS NULL THEN 1D ELSE {tide} END"
-    wind = f"CASE _wind_{pos} " + " ".join(f"WHEN '{n}' THEN {w}D" for n, w in WIND_FIT.items()) + " ELSE 0.5D END"
-    raw = f"least(100D, ({dirf}) * 30 + ({points}) + ({tide}) * 30 + ({wind}) * 25)"
+    wind = f"CASE _wind_{i} " + " ".join(f"WHEN '{n}' THEN {w}D" for n, w in WIND_FIT.items()) + " ELSE 0.5D END"
+    return {f"_size_{i}": size, f"_dir_{i}": dirf, f"_fit_{i}": f"CASE WHEN _tide IS NULL THEN 1D ELSE {tide} END", f"_air_{i}": wind}
+
+
+def _section_raw(s: Section, i: int) -> str:
+    points = f"CASE WHEN _per >= 14 THEN {15 if s.grower else 11}D WHEN _per >= 12 THEN 7D ELSE 0D END"
+    return f"least(100D, _dir_{i} * 30 + ({points}) + _fit_{i} * 30 + _air_{i} * 25)"
+
+
+def _section_struct(s: Section, i: int) -> str:
     dry = "_tide IS NOT NULL AND _state = 'low'" if s.tide == "high" else "false"
     reasons = (f"array_compact(array(CASE WHEN _face IS NULL THEN 'no swell in window' WHEN _face < {s.min_face}D THEN 'too small' "
-               f"WHEN _face < {lo}D THEN 'small side' WHEN _face > {s.max_face}D THEN 'over its range' END, "
-               f"CASE WHEN ({dirf}) < 0.4D THEN 'swell angle off' END, "
+               f"WHEN _face < {s.ideal[0]}D THEN 'small side' WHEN _face > {s.max_face}D THEN 'over its range' END, "
+               f"CASE WHEN _dir_{i} < 0.4D THEN 'swell angle off' END, "
                f"CASE WHEN _per >= 14 AND {str(s.grower).lower()} THEN 'long lines grow' END, "
-               f"CASE WHEN {dry} THEN 'needs water' END, CASE WHEN ({wind}) <= 0.2D THEN 'wind is wrong' END))")
-    return (f"named_struct('section', '{s.key}', 'pos', {pos}, "
-            f"'score', cast(rint(({raw}) * ({size}) * _ceiling * {s.prestige}D) as int), 'raw_score', cast(rint({raw}) as int), "
-            f"'size_fit', round({size}, 2), 'tide_fit', round({tide}, 2), 'wind', _wind_{pos}, 'reasons', {reasons})")
+               f"CASE WHEN {dry} THEN 'needs water' END, CASE WHEN _air_{i} <= 0.2D THEN 'wind is wrong' END))")
+    # The leading field is the sort key: best score first, reef order among equals.
+    score = f"cast(rint(_raw_{i} * _size_{i} * _ceiling * {s.prestige}D) as int)"
+    return (f"named_struct('order', struct(-{score}, {i}), 'section', '{s.key}', 'score', {score}, "
+            f"'raw_score', cast(rint(_raw_{i}) as int), 'size_fit', round(_size_{i}, 2), 'tide_fit', round(_fit_{i}, 2), "
+            f"'wind', _wind_{i}, 'reasons', {reasons})")
 
 
 def quality_ceiling(face: Column, period: Column) -> Column:
@@ -101,9 +108,12 @@ def rank_sections(df: DataFrame, sections: list[Section], height: str, period: s
               "_ceiling": quality_ceiling(face, F.col(period))}
     for i, s in enumerate(sections):
         staged[f"_wind_{i}"] = section_wind_rating(F.col(speed_kt), F.col(wind_dir), F.lit(s.offshore))
-    scored = ", ".join(_scored_sql(s, i) for i, s in enumerate(sections))
-    order = (f"array_sort(array({scored}), (l, r) -> CASE WHEN l.score <> r.score THEN r.score - l.score ELSE l.pos - r.pos END)")
-    return stage(df, staged).withColumn(out, F.expr(order)).drop(*staged)
+    d = stage(df, staged)
+    parts = {k: F.expr(sql) for i, s in enumerate(sections) for k, sql in _section_parts(s, i).items()}
+    d = stage(d, parts)
+    d = stage(d, {f"_raw_{i}": F.expr(_section_raw(s, i)) for i, s in enumerate(sections)})
+    scored = ", ".join(_section_struct(s, i) for i, s in enumerate(sections))
+    return d.select(*df.columns, F.expr(f"sort_array(array({scored}))").alias(out))
 
 
 def best_section(ranked: str = "ranked") -> Column:

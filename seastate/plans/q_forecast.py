@@ -13,7 +13,8 @@ from ..operators import metrics as M
 from ..operators import pairing as P
 from ..operators import registry as G
 from ..operators import waves as Wv
-from ..operators.ordered import epoch, latest_by
+from ..operators.ordered import latest_by
+from ..session import materialise
 from ..sources import archive as A
 from ..sources import tables as Tb
 from .ctes import (DIRECTIONS, FORECAST_VALUES, OBS_COLS, SCALARS, SWELL_VARS, band_sql, cat_rank, cdiff, circ_mean, iso, m2ft, r6,
@@ -36,12 +37,17 @@ def split(v):
     return P.time_split(training(v))
 
 
+def stored_split(v):
+    """The split on a written copy, for work that reads the training table several times."""
+    return P.time_split(materialise(training(v), "paired"))
+
+
 def fitted(v):
-    return B.fit_bias(split(v).filter(~F.col("is_test")))
+    return B.fit_bias(stored_split(v).filter(~F.col("is_test")))
 
 
 def predicted(v):
-    d = split(v)
+    d = stored_split(v)
     return B.apply_bias(d.filter(F.col("is_test")).drop("is_test"), B.fit_bias(d.filter(~F.col("is_test"))))
 
 
@@ -115,7 +121,7 @@ def _(v):
 
 @query("p06_target_counts", " UNION ALL ".join(f"SELECT '{s}' AS variable, count(obs_{s}) AS n FROM train" for s in SWELL_VARS))
 def _(v):
-    return P.target_counts(split(v).filter(~F.col("is_test")))
+    return P.target_counts(stored_split(v).filter(~F.col("is_test")))
 
 
 @query("p07_combined_fallback", f"SELECT {KEYS}, b_sw1_source, {r6('b_sw1_height_ft')} AS b_sw1_height_ft, {r6('b_sw1_period_s')} AS b_sw1_period_s, "
@@ -198,7 +204,7 @@ def _(v):
 
 @query("p18_raw_predictions", f"SELECT {KEYS}, " + ", ".join(f"{r6(f'a_{s}')} AS pred_{s}" for s in SWELL_VARS) + " FROM test")
 def _(v):
-    return B.raw_predictions(split(v).filter(F.col("is_test")), "a").select(*P.PAIR_KEYS, *[f"pred_{s}" for s in SWELL_VARS])
+    return B.raw_predictions(stored_split(v).filter(F.col("is_test")), "a").select(*P.PAIR_KEYS, *[f"pred_{s}" for s in SWELL_VARS])
 
 
 _COVCOLS = "count(*) FILTER (WHERE in_a) AS a_cycles, count(*) FILTER (WHERE in_b) AS b_cycles, count(*) FILTER (WHERE paired) AS paired_cycles"
@@ -332,7 +338,7 @@ def _(v):
 
 def _eval_rows(v):
     """Both raw models on the holdout as if they were two stored models."""
-    d = split(v).filter(F.col("is_test"))
+    d = stored_split(v).filter(F.col("is_test"))
     return (B.raw_predictions(d, "a").withColumn("name", F.lit("raw_A"))
             .unionByName(B.raw_predictions(d, "b").withColumn("name", F.lit("raw_B"))))
 

@@ -40,11 +40,8 @@ def year_of(token: Column) -> Column:
 
 def time_of(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
     """Instant from its parts, null when the parts are no date."""
-    text = F.format_string("%04d-%02d-%02d %02d:%02d", year, month.try_cast("int"), day.try_cast("int"),
-                           hour.try_cast("int"), minute.try_cast("int"))
-    whole = year.isNotNull() & month.try_cast("int").isNotNull() & day.try_cast("int").isNotNull() \
-        & hour.try_cast("int").isNotNull() & minute.try_cast("int").isNotNull()
-    return F.when(whole, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")))
+    return F.try_make_timestamp(year, month.try_cast("int"), day.try_cast("int"), hour.try_cast("int"),
+                                minute.try_cast("int"), F.lit(0).cast("decimal(16,6)"))
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -68,22 +65,27 @@ def named(header: Column, tok: Column, *names: str) -> Column:
     return out
 
 
+def _by_name(lines: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Data lines with the wanted tokens as columns and the line's instant as valid_utc."""
+    parts = {"_y": ("YYYY", "YY"), "_mo": ("MM",), "_dy": ("DD",), "_hr": ("hh",), "_mi": ("mm",), **wanted}
+    d = _with_header(lines)
+    d = stage(d, {k: named(F.col("header"), F.col("tok"), *names) for k, names in parts.items()})
+    minute = F.when(F.array_contains("header", "mm"), F.col("_mi")).otherwise(F.lit("0"))
+    return stage(d, {"valid_utc": time_of(year_of(F.col("_y")), F.col("_mo"), F.col("_dy"), F.col("_hr"), minute)})
+
+
 def parse_station(lines: DataFrame) -> DataFrame:
     """Station observations: (path, pos, valid_utc, partition, hs_m, tp_s, dp_deg, wind columns).
 
     Names come from the header; minute is optional; rows without a date or a
     year column are dropped; fill marks become null per column.
     """
-    d = _with_header(lines)
-    get = lambda *n: named(F.col("header"), F.col("tok"), *n)
-    minute = F.when(F.array_contains("header", "mm"), get("mm")).otherwise(F.lit("0"))
-    ts = time_of(year_of(get("YYYY", "YY")), get("MM"), get("DD"), get("hh"), minute)
-    return d.select(
-        "path", "pos", ts.alias("valid_utc"), F.lit(0).alias("partition"),
-        U.parse_number(get("WVHT")).alias("hs_m"), U.parse_number(get("DPD")).alias("tp_s"),
-        U.parse_direction(get("MWD")).alias("dp_deg"), U.parse_number(get("WSPD")).alias("wind_ms"),
-        U.parse_direction(get("WDIR")).alias("wind_deg"), U.parse_number(get("GST")).alias("gust_ms"),
-    ).filter(F.col("valid_utc").isNotNull())
+    d = _by_name(lines, {"_wvht": ("WVHT",), "_dpd": ("DPD",), "_mwd": ("MWD",), "_wspd": ("WSPD",), "_wdir": ("WDIR",), "_gst": ("GST",)})
+    return d.filter(F.col("valid_utc").isNotNull()).select(
+        "path", "pos", "valid_utc", F.lit(0).alias("partition"),
+        U.parse_number(F.col("_wvht")).alias("hs_m"), U.parse_number(F.col("_dpd")).alias("tp_s"),
+        U.parse_direction(F.col("_mwd")).alias("dp_deg"), U.parse_number(F.col("_wspd")).alias("wind_ms"),
+        U.parse_direction(F.col("_wdir")).alias("wind_deg"), U.parse_number(F.col("_gst")).alias("gust_ms"))
 
 
 def newest_usable(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,12 +157,9 @@ def pair_spectra(energy: DataFrame, direction: DataFrame, keys: list[str], outer
 
 def parse_summary(lines: DataFrame) -> DataFrame:
     """Spectral summary: per file the newest row with a swell height, as one component or none."""
-    d = _with_header(lines)
-    get = lambda *n: named(F.col("header"), F.col("tok"), *n)
-    minute = F.when(F.array_contains("header", "mm"), get("mm")).otherwise(F.lit("0"))
-    rows = d.select(
-        "path", time_of(year_of(get("YYYY", "YY")), get("MM"), get("DD"), get("hh"), minute).alias("valid_utc"),
-        U.parse_number(get("SwH")).alias("h"), U.parse_number(get("SwP")).alias("p"), U.parse_direction(get("SwD")).alias("d"))
+    d = _by_name(lines, {"_h": ("SwH",), "_p": ("SwP",), "_d": ("SwD",)})
+    rows = d.select("path", "valid_utc", U.parse_number(F.col("_h")).alias("h"), U.parse_number(F.col("_p")).alias("p"),
+                    U.parse_direction(F.col("_d")).alias("d"))
     from ..operators.ordered import latest_by
     best = latest_by(rows.filter(F.col("valid_utc").isNotNull()), ["path"],
                      [F.col("h").isNotNull(), F.col("valid_utc")])
