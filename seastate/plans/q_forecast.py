@@ -352,7 +352,7 @@ def _eval_rows(v):
        + ", ".join(f"avg(abs(d_{s})) AS {s}_mae, sqrt(avg(d_{s} * d_{s})) AS {s}_rmse, avg(d_{s}) AS {s}_bias, count(d_{s}) AS {s}_n" for s in SWELL_VARS)
        + ", count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn FROM d GROUP BY name) "
        "SELECT name, n_live_rows, n_live_cycles, " + ", ".join(f"{r6(f'{s}_{m}')} AS {s}_{m}" for s in SWELL_VARS for m in ("mae", "rmse", "bias"))
-       + ", " + ", ".join(f"{s}_n" for s in SWELL_VARS) + f", {r6(_SENS)} AS surfer_sens, {r6(_PPV)} AS surfer_ppv, {r6(_F1)} AS surfer_f1 FROM g")
+       + ", " + ", ".join(f"nullif({s}_n, 0) AS {s}_n" for s in SWELL_VARS) + f", {r6(_SENS)} AS surfer_sens, {r6(_PPV)} AS surfer_ppv, {r6(_F1)} AS surfer_f1 FROM g")
 def _(v):
     rows = _eval_rows(v)
     counts = rows.groupBy("name").agg(F.count("*").alias("n_live_rows"), F.count_distinct("cycle_utc").alias("n_live_cycles"))
