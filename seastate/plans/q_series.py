@@ -68,7 +68,7 @@ def _(v):
 
 @query("w10_f06_densify", f"""
 WITH x AS (SELECT station, valid_utc AS t, max(hs_m) AS h, max(dp_deg) AS d FROM (SELECT station, {snap('ts')} AS valid_utc, value * 0.061803398875 AS hs_m,
- CASE WHEN k % 5 <> 0 THEN ((k * 37 + user_id * 11) % 360)::DOUBLE END AS dp_deg FROM ev WHERE event_type = 'error') GROUP BY 1, 2),
+ CASE WHEN k % 5 <> 0 THEN ((k * 37 + user_id * 11) % 360) * 0.9137::DOUBLE END AS dp_deg FROM ev WHERE event_type = 'error') GROUP BY 1, 2),
  n AS (SELECT *, lead(t) OVER w AS nt, lead(h) OVER w AS nh, lead(d) OVER w AS nd FROM x WINDOW w AS (PARTITION BY station ORDER BY t)),
  e AS (SELECT *, coalesce(CAST((epoch(nt) - epoch(t)) / 3600 AS INTEGER), 1) AS gap FROM n), u AS (SELECT *, unnest(range(gap)) AS k FROM e)
 SELECT station, {iso('t + to_hours(k)')} AS t, {r6('CASE WHEN k = 0 THEN h ELSE h * (1.0 - k / gap::DOUBLE) + nh * (k / gap::DOUBLE) END')} AS h,
@@ -76,10 +76,11 @@ SELECT station, {iso('t + to_hours(k)')} AS t, {r6('CASE WHEN k = 0 THEN h ELSE
  k > 0 AS interpolated FROM u""")
 def _(v):
     """Sparse readings of one kind on an hourly grid, gaps filled by blending."""
+    # Scaled bearings are never exactly opposite, so every blend has a direction.
     k = F.col("k")
     x = v.events.filter(F.col("event_type") == "error").select(
         "station", T.snap_hour(F.col("ts")).alias("t"), (F.col("value") * 0.061803398875).alias("h"),
-        F.when(k % 5 != 0, ((k * 37 + F.col("user_id") * 11) % 360).cast("double")).alias("d"))
+        F.when(k % 5 != 0, ((k * 37 + F.col("user_id") * 11) % 360) * 0.9137).alias("d"))
     x = x.groupBy("station", "t").agg(F.max("h").alias("h"), F.max("d").alias("d"))
     return Wv.densify_hourly(x, ["station"], "t", ["h"], ["d"])
 

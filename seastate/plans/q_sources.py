@@ -165,6 +165,18 @@ def _(v):
     return A.clean_observations(A.read_observations(v.spark, roots))
 
 
+@query("s10_schema_drift", f"""
+SELECT station, {iso('valid_utc')} AS valid_utc, partition, {r6('max(hs_m)')} AS hs_m FROM obs WHERE source = 'archive' GROUP BY station, valid_utc, partition""")
+def _(v):
+    """A second root whose files lack the direction is found and left out."""
+    roots = [work_path(v.spark, "obs-good"), work_path(v.spark, "obs-drifted")]
+    A.write_observations(v.obs.filter(F.col("source") == "archive"), roots[0])
+    v.obs.filter(F.col("source") == "realtime").drop("dp_deg", "station").withColumn("station", F.lit("x")).write.parquet(roots[1])
+    drift = A.schema_drift(v.spark, roots, ["hs_m", "tp_s", "dp_deg", "partition", "valid_utc"])
+    rows = A.read_observations(v.spark, roots, drift)
+    return rows.groupBy("station", "valid_utc", "partition").agg(F.max("hs_m").alias("hs_m"))
+
+
 @query("s13_bias_store", f"SELECT station, lead_hours, variable, {r6('bias')} AS bias, {r6('s')} AS s, {r6('c')} AS c, n FROM bias")
 def _(v):
     from .q_forecast import fitted

@@ -79,25 +79,49 @@ def _exists(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def read_observations(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Both archive roots, explicit schema, one union."""
+def _plain_path(c: Column) -> Column:
+    """One spelling of a file address, whoever lists it."""
+    return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+
+
+def read_observations(spark: SparkSession, roots: list[str], drifted: DataFrame | None = None) -> DataFrame:
+    """Both archive roots, explicit schema, one union; files listed in ``drifted`` are left out."""
     _plain_partitions(spark)
     schema = schemas.OBS + ", year string, month string"
     out = None
     for r in roots:
-        df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(r).drop("year", "month")
+        df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(r)
+        df = df.select("*", _plain_path(F.col("_metadata.file_path")).alias("path")).drop("year", "month")
         out = df if out is None else out.unionByName(df)
-    return out
+    if drifted is not None:
+        out = out.join(drifted.select("path"), "path", "left_anti")
+    return out.drop("path")
 
 
-def schema_drift(spark: SparkSession, files: list[str], expected: list[str]) -> list[tuple[str, list[str]]]:
-    """(file, missing columns) for files that lack expected columns; only footers are read."""
-    out = []
-    for f in files:
-        missing = sorted(set(expected) - set(spark.read.parquet(f).columns))
-        if missing:
-            out.append((f, missing))
-    return out
+def schema_drift(spark: SparkSession, roots: list[str], expected: list[str]) -> DataFrame:
+    """(path, missing) for parquet files that lack expected columns.
+
+    The files are listed by Spark and their footers are read inside tasks, so
+    neither the listing nor the check runs as a loop on the driver.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
+        "recursiveFileLookup", "true").load(roots).select("path")
+
+    def footers(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for pdf in batches:
+            missing = []
+            for path in pdf["path"]:
+                where = path.replace("file:", "file://", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+                store, inner = fs.FileSystem.from_uri(where)
+                missing.append(sorted(set(expected) - set(pq.read_schema(inner, filesystem=store).names)))
+            yield pd.DataFrame({"path": pdf["path"], "missing": missing})
+
+    found = files.mapInPandas(footers, "path string, missing array<string>").filter(F.size("missing") > 0)
+    return found.select(_plain_path(F.col("path")).alias("path"), "missing")
 
 
 def clean_observations(rows: DataFrame) -> DataFrame:

@@ -107,7 +107,19 @@ def test_observation_roots_and_drift(spark, folder):
     assert got == [("44", 2.0), ("44", 3.0), ("44", 4.0)]
     bad = folder + "/bad"
     spark.range(1).write.parquet(bad)
-    assert A.schema_drift(spark, [bad], ["hs_m", "id"]) == [(bad, ["hs_m"])]
+    drift = A.schema_drift(spark, [a, bad], ["hs_m"])
+    assert {tuple(r.missing) for r in drift.collect()} == {("hs_m",)} and drift.filter(F.col("path").contains("/bad/")).count() == drift.count()
+    assert A.read_observations(spark, [a, bad], drift).count() == 2
+
+
+def test_daily_evaluation_stream(spark, folder):
+    land(spark, folder, "b1", [("s", 0, 1, 1.0, 1), ("s", 1, 1, 3.0, 1)])
+    rate = lambda b: b.groupBy(F.date_format("valid_utc", "yyyy-MM-dd").alias("eval_date")).agg(F.avg("hs_m").alias("m"))
+    stream = spark.readStream.schema(schemas.OBS).parquet(folder + "/in/*")
+    for ckpt in ("c1", "c2"):              # the second run evaluates the same day again
+        St.daily_evaluation(stream, f"{folder}/{ckpt}", rate, folder + "/ev")
+    got = spark.read.schema("m double, eval_date string").parquet(folder + "/ev").collect()
+    assert [(r.eval_date, r.m) for r in got] == [("2024-03-01", 2.0)]
 
 
 def forecasts(spark, cycles, h):
