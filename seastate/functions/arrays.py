@@ -21,10 +21,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def stage(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Add columns that later steps read as values, not as expressions.
 
-    The optimizer may push a filter below a projection by writing the whole
-    expression into the filter; through a long chain of formulas that repeats
-    work many times over. Columns that come out of a generator stay where they
-    are. The generator emits exactly one row and runs inside codegen.
+    The optimizer may push a filter below a projection, or merge projections,
+    by writing a whole formula into each place that uses it; along a chain of
+    formulas that repeats work many times over. It leaves a column alone that
+    depends on the task, so each one carries a test on the partition number
+    that is always true. Values stay the same in every task, and the work
+    stays inside whole-stage codegen.
     """
-    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
-    return df.select(*[c for c in df.columns if c not in cols], made)
+    always = F.spark_partition_id() >= 0
+    return df.select(*[c for c in df.columns if c not in cols], *[F.when(always, c).alias(n) for n, c in cols.items()])

@@ -55,7 +55,9 @@ def write_forecasts(rows: DataFrame, root: str, force: bool = False) -> None:
     keys = ["model", "station", "cycle_utc"]
     new = with_year_month(rows, "cycle_utc")
     if _exists(spark, root):
-        old = with_year_month(read_forecasts(spark, root), "cycle_utc")
+        # The months of the new cycles: a short list that prunes the archive scan.
+        months = [(int(r.year), int(r.month)) for r in new.select("year", "month").distinct().collect()]
+        old = with_year_month(read_forecasts(spark, root, months=months), "cycle_utc")
         if force:
             from ..session import materialise
             touched = new.select("model", "station", "year", "month").distinct()

@@ -33,8 +33,9 @@ def upsert_by_day(batch: DataFrame, path: str, schema: str, keys: list[str], ts:
                   skip_known: bool = False) -> bool:
     """Fold a batch into the table; the greatest ``order`` wins per key.
 
-    Days are the unit of rewriting, so the cost follows the batch. The merged
-    days are written to a side table first: the target is never read and
+    Days are the unit of rewriting, so the cost follows the batch: the list of
+    its days (a handful of dates) becomes a partition filter, and the scan of
+    the table opens those folders only. The merged days are written to a side table first: the target is never read and
     overwritten in one job, and a lost executor only repeats tasks. Replaying
     a batch gives the same table. With ``skip_known`` a batch whose keys are
     all stored is not written at all. Returns whether something was written.
@@ -43,8 +44,8 @@ def upsert_by_day(batch: DataFrame, path: str, schema: str, keys: list[str], ts:
     cols = [c for c in batch.columns if c != "day"]
     new = batch.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
     if _exists(spark, path):
-        days = new.select("day").distinct()
-        old = read_table(spark, path, schema).join(days, "day", "left_semi").select(*cols, "day")
+        days = [r.day for r in new.select("day").distinct().collect()]
+        old = read_table(spark, path, schema).filter(F.col("day").isin(days)).select(*cols, "day")
         if skip_known and only_new_keys(new, old, keys).isEmpty():
             return False
         new = old.unionByName(new.select(*cols, "day"))
@@ -87,7 +88,7 @@ def hourly_window_counts(stream: DataFrame, ts: str = "valid_utc", delay: str =
             .select("station", F.timestamp_seconds(F.unix_timestamp("window.start") + 1800).alias("hour_utc"), "n", "mean_hs_m"))
 
 
-def retain(table: DataFrame, ts: str, days: int = 14, now=None, keys: list[str] | None = None) -> DataFrame:
+def retain(table: DataFrame, ts: str, days: int = 14, now=None) -> DataFrame:
     """Rows of the last ``days`` before ``now``, or before the newest row of the table."""
     limit = F.lit(now).cast("timestamp") if now is not None else table.agg(F.max(ts)).scalar()
     return table.filter(F.col(ts) >= limit - F.expr(f"INTERVAL {days} DAYS"))
