@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, quality, urlrules
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,64 @@ FROM b"""
 @query("op1_quality_rules", quality_sql())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(read(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az
+            FROM benchmark)),
+iw AS (SELECT DISTINCT item, k, array_to_string(ws[s:s + k - 1], ' ') AS win
+       FROM (SELECT item, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(ws) >= k)),
+h AS (SELECT dw.doc_id, dw.s, dw.k, iw.item FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k),
+p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
+@query("op9_benchmark_decontamination", DECONTAMINATION_SQL)
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.mark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+SITE_RULES = [
+    urlrules.SiteRule("allow", "com"),
+    urlrules.SiteRule("block", "example.com", "/en/"),
+    urlrules.SiteRule("allow", "www.example.com", "/en/"),
+    urlrules.SiteRule("block", "net", "/es/"),
+    urlrules.SiteRule("block", "net", "/fr/"),
+]
+PATTERN_RULES = [
+    urlrules.PatternRule("block", p)
+    for p in ("^casino^", "^poker^", "^betting^", "^porn^", "^xxx^", "^viagra^", "^payday^loan^", "^free^download^crack^", "^adserver^", "^malware^")
+]
+
+
+def url_sql(sites=SITE_RULES, patterns=PATTERN_RULES) -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    sites = sorted(sites, key=lambda r: (-len(r.name), r.verdict != "block", r.name))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in sites) + " END"
+    said = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in sites) + " END"
+    hit = "CASE " + " ".join(f"WHEN regexp_matches(low, '{r.regex(chr(92) + 'z')}') THEN '{r.pattern}'"
+                             for r in sorted(patterns, key=lambda r: r.pattern)) + " END"
+    return f"""
+WITH s AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {lower("url")} AS low, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM s),
+p AS (SELECT page_id, low, {lower("host")} AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, {rule} AS rule FROM p),
+q AS (SELECT *, CASE WHEN rule IS NULL THEN {hit} END AS pattern FROM r)
+SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM q"""
+
+
+@query("op8_url_filters", url_sql())
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(read(spark, sf_dir, "pages"), SITE_RULES, PATTERN_RULES)
