@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, urlrules
+from ..session import work_path
+from . import decontaminate, quality, tokenids, urlrules
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,15 @@ SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN pattern IS NOT NULL
 @query("op8_url_filters", url_sql())
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(read(spark, sf_dir, "pages"), SITE_RULES, PATTERN_RULES)
+
+
+def token_digest(docs: DataFrame) -> DataFrame:
+    """Write the token files of ``docs`` into the shared folder, read them back, and give one row per document."""
+    path = work_path(docs.sparkSession, "token-files")
+    tokenids.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.read_ids(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_token_id_output")
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(read(spark, sf_dir, "documents"))

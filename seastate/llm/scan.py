@@ -72,16 +72,15 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     if not n:
         return
     off = np.frombuffer(column.buffers()[1], dtype=np.int64, count=column.offset + n + 1)[column.offset :]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    begin, end = off[:-1].copy(), off[1:].copy()
-    if column.null_count:
-        null = column.is_null().to_numpy(zero_copy_only=False)
-        end[null] = begin[null]
+    begin, end = off[:-1], off[1:]
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
