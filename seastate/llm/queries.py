@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import decontaminate, jaccard, mixing, quality, tokenids, urlrules
+from . import decontaminate, jaccard, mixing, quality, tokencount, tokenids, urlrules
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents")).drop("x1")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
