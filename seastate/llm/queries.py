@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import decontaminate, jaccard, lmscore, mixing, quality, surrogates, tokencount, tokenids, urlrules
+from . import chaining, decontaminate, jaccard, lmscore, mixing, quality, surrogates, tokencount, tokenids, urlrules
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,8 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
     counts = [(F.size("entities") - F.size(F.array_remove("entities", t))).cast("long").alias(f"n_{t}") for t in surrogates.TYPES]
     return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *counts)
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.summarise(*chaining.find_repeats(read(spark, sf_dir, "documents")))
