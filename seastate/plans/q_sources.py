@@ -165,6 +165,41 @@ def _(v):
     return A.clean_observations(A.read_observations(v.spark, roots))
 
 
+@query("s12_two_batches_one_month", _CLEAN)
+def _(v):
+    """Readings of one month in three batches, revisions among them: the stored table equals one clean pass."""
+    root = work_path(v.spark, "obs-batches")
+    day = F.dayofmonth("valid_utc")
+    for part in (day < 10, (day >= 10) & (F.col("source") == "archive"), (day >= 10) & (F.col("source") != "archive")):
+        A.write_observations(v.obs.filter(part), root)
+    return A.read_observations(v.spark, [root])
+
+
+@query("s11_forced_rewrite", f"""
+SELECT station, model, {iso('cycle_utc')} AS cycle_utc, {iso('valid_utc')} AS valid_utc, lead_hours,
+ {r6("sw1_height_ft + CASE WHEN cycle_utc >= TIMESTAMP '2024-01-20 00:00:00' AND model = 'A' THEN 1 ELSE 0 END")} AS sw1_height_ft FROM fc""")
+def _(v):
+    """Some cycles of one model written again by force: they are replaced, all others of their months stay."""
+    root = work_path(v.spark, "forecasts")
+    A.write_forecasts(v.forecast, root)
+    again = v.forecast.filter((F.col("cycle_utc") >= "2024-01-20") & (F.col("model") == "A"))
+    A.write_forecasts(again.withColumn("sw1_height_ft", F.col("sw1_height_ft") + 1), root, force=True)
+    return A.read_forecasts(v.spark, root, columns=["station", "model", "cycle_utc", "valid_utc", "lead_hours", "sw1_height_ft"])
+
+
+@query("s15_two_models_one_date", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS eval_date, event_type AS model, count(*) AS n, {r6('max(value)')} AS top FROM ev GROUP BY 1, 2""")
+def _(v):
+    """Models of one date stored one after another, the first of them twice: none erases another."""
+    path = work_path(v.spark, "live-eval")
+    rows = v.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("eval_date"), F.col("event_type").alias("model")).agg(
+        F.count("*").alias("n"), F.max("value").alias("top"))
+    Tb.append_or_update(v.spark, rows.filter("model = 'click'").withColumn("top", F.lit(-1.0)), path, ["model"])
+    for part in ("model = 'click'", "model = 'view'", "model not in ('click', 'view')"):
+        Tb.append_or_update(v.spark, rows.filter(part), path, ["model"])
+    return v.spark.read.schema("model string, n long, top double, eval_date string").parquet(path)
+
+
 @query("s10_schema_drift", f"""
 SELECT station, {iso('valid_utc')} AS valid_utc, partition, {r6('max(hs_m)')} AS hs_m FROM obs WHERE source = 'archive' GROUP BY station, valid_utc, partition""")
 def _(v):
@@ -215,8 +250,8 @@ def _(v):
     """Daily rows written with half their dates first and all of them again: one row per date and station."""
     path = work_path(v.spark, "live-eval")
     rows = v.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("eval_date"), "station").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    Tb.append_or_update(v.spark, rows.filter(F.col("eval_date") < "2024-01-15").withColumn("top", F.lit(0.0)), path)
-    Tb.append_or_update(v.spark, rows, path)
+    Tb.append_or_update(v.spark, rows.filter(F.col("eval_date") < "2024-01-15").withColumn("top", F.lit(0.0)), path, ["station"])
+    Tb.append_or_update(v.spark, rows, path, ["station"])
     return v.spark.read.schema("station string, n long, top double, eval_date string").parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sea
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the session names none (tests, single-machine runs) a
-    temporary folder is made and recorded in the session.
+    Only a session on one machine that names none (tests) gets a temporary
+    folder, recorded in the session; a cluster must name its own.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordered import latest_by
+from .fold import exists, fold, load, replace_parts, touched
 
 FORECAST_PARTITIONS = ["model", "station", "year", "month"]
 OBS_PARTITIONS = ["station", "year", "month"]
@@ -19,10 +20,8 @@ def _plain_partitions(spark: SparkSession) -> None:
 
 def read_forecasts(spark: SparkSession, root: str, models=None, stations=None, months=None,
                    columns: list[str] | None = None) -> DataFrame:
-    """Archive scan. Filters on model, station and (year, month) prune directories."""
-    _plain_partitions(spark)
-    schema = schemas.FORECAST + ", year string, month string"
-    df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(root)
+    """Archive scan. Filters on model, station and (year, month) prune directories; a file that cannot be read fails the scan."""
+    df = load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS)
     if models:
         df = df.filter(F.col("model").isin(*models))
     if stations:
@@ -54,17 +53,10 @@ def write_forecasts(rows: DataFrame, root: str, force: bool = False) -> None:
     spark = rows.sparkSession
     keys = ["model", "station", "cycle_utc"]
     new = with_year_month(rows, "cycle_utc")
-    if _exists(spark, root):
-        # The months of the new cycles: a short list that prunes the archive scan.
-        months = [(int(r.year), int(r.month)) for r in new.select("year", "month").distinct().collect()]
-        old = with_year_month(read_forecasts(spark, root, months=months), "cycle_utc")
+    if exists(spark, root):
+        old = touched(load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS), new, FORECAST_PARTITIONS)
         if force:
-            from ..session import materialise
-            touched = new.select("model", "station", "year", "month").distinct()
-            kept = missing_cycles(old.join(touched, FORECAST_PARTITIONS, "left_semi"), new, keys)
-            new = materialise(kept.unionByName(new.select(*kept.columns)), "forecast-rewrite")
-            _spread(new, FORECAST_PARTITIONS).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").partitionBy(*FORECAST_PARTITIONS).parquet(root)
+            replace_parts(missing_cycles(old, new, keys).unionByName(new.select(*old.columns)), root, FORECAST_PARTITIONS)
             return
         new = missing_cycles(new, old, keys)
     _spread(new, FORECAST_PARTITIONS).write.mode("append").partitionBy(*FORECAST_PARTITIONS).parquet(root)
@@ -75,24 +67,21 @@ def _spread(df: DataFrame, partitions: list[str]) -> DataFrame:
     return df.hint("rebalance", *partitions)
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def _plain_path(c: Column) -> Column:
     """One spelling of a file address, whoever lists it."""
     return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
 
 
 def read_observations(spark: SparkSession, roots: list[str], drifted: DataFrame | None = None) -> DataFrame:
-    """Both archive roots, explicit schema, one union; files listed in ``drifted`` are left out."""
+    """Both archive roots, explicit schema, one union; files listed in ``drifted`` are left out.
+
+    A file that cannot be read fails the scan, unless a report was asked for first and given here.
+    """
     _plain_partitions(spark)
     schema = schemas.OBS + ", year string, month string"
     out = None
     for r in roots:
-        df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(r)
+        df = spark.read.schema(schema).option("ignoreCorruptFiles", drifted is not None).parquet(r)
         df = df.select("*", _plain_path(F.col("_metadata.file_path")).alias("path")).drop("year", "month")
         out = df if out is None else out.unionByName(df)
     if drifted is not None:
@@ -101,7 +90,7 @@ def read_observations(spark: SparkSession, roots: list[str], drifted: DataFrame
 
 
 def schema_drift(spark: SparkSession, roots: list[str], expected: list[str]) -> DataFrame:
-    """(path, missing) for parquet files that lack expected columns.
+    """(path, missing, error) for parquet files that lack expected columns or cannot be read.
 
     The files are listed by Spark and their footers are read inside tasks, so
     neither the listing nor the check runs as a loop on the driver.
@@ -111,32 +100,44 @@ def schema_drift(spark: SparkSession, roots: list[str], expected: list[str]) ->
 
     def footers(batches):
         import pandas as pd
+        import pyarrow as pa
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         for pdf in batches:
-            missing = []
+            missing, errors = [], []
             for path in pdf["path"]:
                 where = path.replace("file:", "file://", 1) if path.startswith("file:/") and not path.startswith("file://") else path
                 store, inner = fs.FileSystem.from_uri(where)
-                missing.append(sorted(set(expected) - set(pq.read_schema(inner, filesystem=store).names)))
-            yield pd.DataFrame({"path": pdf["path"], "missing": missing})
+                try:
+                    names, error = pq.read_schema(inner, filesystem=store).names, None
+                except (pa.ArrowException, OSError) as e:  # the report is about these
+                    names, error = expected, str(e)[:200]
+                missing.append(sorted(set(expected) - set(names)))
+                errors.append(error)
+            yield pd.DataFrame({"path": pdf["path"], "missing": missing, "error": errors})
+
+    found = files.mapInPandas(footers, "path string, missing array<string>, error string")
+    found = found.filter((F.size("missing") > 0) | F.col("error").isNotNull())
+    return found.select(_plain_path(F.col("path")).alias("path"), "missing", "error")
+
+
+OBS_KEYS = ["station", "valid_utc", "partition"]
+
 
-    found = files.mapInPandas(footers, "path string, missing array<string>").filter(F.size("missing") > 0)
-    return found.select(_plain_path(F.col("path")).alias("path"), "missing")
+def _obs_order() -> list[Column]:
+    return [F.col("ingest_utc"), F.col("source"), F.struct("hs_m", "tp_s", "dp_deg")]
 
 
 def clean_observations(rows: DataFrame) -> DataFrame:
     """Drop all-null readings; one row per (station, valid time, partition), latest ingest wins."""
     have = F.col("hs_m").isNotNull() | F.col("tp_s").isNotNull() | F.col("dp_deg").isNotNull()
-    return latest_by(rows.filter(have), ["station", "valid_utc", "partition"],
-                     [F.col("ingest_utc"), F.col("source"), F.struct("hs_m", "tp_s", "dp_deg")])
+    return latest_by(rows.filter(have), OBS_KEYS, _obs_order())
 
 
 def write_observations(rows: DataFrame, root: str) -> None:
-    out = with_year_month(clean_observations(rows), "valid_utc")
-    _spread(out, OBS_PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(*OBS_PARTITIONS).parquet(root)
+    """Merge readings into the archive: stored months keep their rows, the latest ingest wins per reading."""
+    fold(with_year_month(clean_observations(rows), "valid_utc"), root, schemas.OBS, OBS_KEYS, _obs_order(), OBS_PARTITIONS)
 
 
 def pivot_samples(samples: DataFrame, keys: list[str], variable: str, value: str, names: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import timefn as T
 from ..operators.bias import DIRECTIONS, SCALARS
+from .fold import exists, load, replace_parts, touched
 
 
 def save_bias(table: DataFrame, path: str) -> None:
@@ -64,9 +65,13 @@ def merge_counted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def append_or_update(spark: SparkSession, rows: DataFrame, path: str, key: str = "eval_date") -> None:
-    """Daily evaluation sink: a date is written once, a rerun replaces it."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def append_or_update(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], key: str = "eval_date") -> None:
+    """Daily evaluation sink: a rerun replaces its own rows (``keys`` and date); other models of the date stay."""
+    rows = rows.withColumn(key, F.col(key).cast("string"))
+    if exists(spark, path):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != key)
+        rows = replace_rows(touched(load(spark, path, schema, [key]), rows, [key]).select(*rows.columns), rows, [*keys, key])
+    replace_parts(rows, path, [key])
 
 
 def flatten_sites(regions: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming.
 
 Sources are folders of landed files. A batch is folded into a keyed table
-whose rows live in per-day partitions; only the touched days are rewritten.
+whose rows live in per-day partitions; only the touched days are rewritten, in a way that survives a crash.
 """
 
 from __future__ import annotations
@@ -13,47 +13,29 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import timefn as T
-from ..operators.ordered import latest_by
-from ..session import materialise
-from ..sources.archive import _exists
-from ..sources.tables import only_new_keys
-
-OBS_KEYS = ["station", "valid_utc", "partition"]
-
+from ..sources.archive import OBS_KEYS
+from ..sources.fold import fold, load
+from ..sources.tables import append_or_update
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema + ", day string").parquet(path)
+    return load(spark, path, schema, ["day"])
 
 
 def upsert_by_day(batch: DataFrame, path: str, schema: str, keys: list[str], ts: str, order: list[str],
                   skip_known: bool = False) -> bool:
-    """Fold a batch into the table; the greatest ``order`` wins per key.
-
-    Days are the unit of rewriting, so the cost follows the batch: the list of
-    its days (a handful of dates) becomes a partition filter, and the scan of
-    the table opens those folders only. The merged days are written to a side table first: the target is never read and
-    overwritten in one job, and a lost executor only repeats tasks. Replaying
-    a batch gives the same table. With ``skip_known`` a batch whose keys are
-    all stored is not written at all. Returns whether something was written.
+    """Fold a batch into the table; the greatest ``order`` wins per key, whole rows deciding ties.
+
+    Days are the unit of rewriting, so the cost follows the batch. Replaying a batch gives the same table, and a crash at
+    any point loses nothing (see ``fold``). With ``skip_known`` a batch that would change nothing is not written;
+    a revision of a stored reading does change something. Returns whether something was written.
     """
-    spark = batch.sparkSession
-    cols = [c for c in batch.columns if c != "day"]
     new = batch.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
-    if _exists(spark, path):
-        days = [r.day for r in new.select("day").distinct().collect()]
-        old = read_table(spark, path, schema).filter(F.col("day").isin(days)).select(*cols, "day")
-        if skip_known and only_new_keys(new, old, keys).isEmpty():
-            return False
-        new = old.unionByName(new.select(*cols, "day"))
-    merged = latest_by(new, keys, [F.col(c) for c in order], [c for c in new.columns if c not in keys])
-    ready = materialise(merged.select(*cols, "day"), "upsert")
-    ready.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("day").parquet(path)
-    return True
+    rest = [c for c in batch.columns if c not in (*keys, *order, "day")]
+    return fold(new, path, schema, keys, [F.col(c) for c in (*order, *rest)], ["day"], skip_known)
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
@@ -111,10 +93,17 @@ def freshness(table: DataFrame, keys: list[str], ingest: str, now, max_hours: in
     return table.groupBy(*keys).agg(F.max(ingest).alias("last_write"), h.alias("hours_since"), (h > max_hours).alias("alarm"))
 
 
-def daily_evaluation(stream: DataFrame, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Evaluate each landed batch and store it under its date; a rerun replaces the date."""
+def daily_evaluation(stream: DataFrame, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame], path: str, keys: list[str],
+                     rows_path: str, schema: str, row_keys: list[str], ts: str, order: list[str]) -> None:
+    """Keep landed rows by day and evaluate every touched day as a whole; results are stored by ``keys`` and eval_date.
+
+    ``evaluate`` gets all stored rows of the touched days, so several batches of one day give the same result as one.
+    """
     def sink(batch: DataFrame, _: int) -> None:
-        evaluate(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("eval_date").parquet(path)
+        spark = batch.sparkSession
+        upsert_by_day(batch, rows_path, schema, row_keys, ts, order)
+        days = batch.select(F.date_format(ts, "yyyy-MM-dd").alias("day")).distinct()
+        rows = read_table(spark, rows_path, schema).join(days, "day", "left_semi").drop("day")
+        append_or_update(spark, evaluate(rows), path, keys)
 
     run_available(stream, checkpoint, sink)

@@ -1,12 +1,16 @@
 """Files in, files out, and streams: late rows, replays, restarts."""
 
 import datetime as dt
+import glob
 import os
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from seastate import schemas
 from seastate.sources import archive as A
+from seastate.sources import fold as Fo
 from seastate.sources import jsonfeeds as J
 from seastate.sources import tables as Tb
 from seastate.sources import text as X
@@ -114,12 +118,13 @@ def test_observation_roots_and_drift(spark, folder):
 
 def test_daily_evaluation_stream(spark, folder):
     land(spark, folder, "b1", [("s", 0, 1, 1.0, 1), ("s", 1, 1, 3.0, 1)])
-    rate = lambda b: b.groupBy(F.date_format("valid_utc", "yyyy-MM-dd").alias("eval_date")).agg(F.avg("hs_m").alias("m"))
+    land(spark, folder, "b2", [("s", 2, 1, 8.0, 1)])
+    rate = lambda b: b.groupBy(F.date_format("valid_utc", "yyyy-MM-dd").alias("eval_date"), F.lit("x").alias("model")).agg(F.avg("hs_m").alias("m"))
     stream = spark.readStream.schema(schemas.OBS).parquet(folder + "/in/*")
     for ckpt in ("c1", "c2"):              # the second run evaluates the same day again
-        St.daily_evaluation(stream, f"{folder}/{ckpt}", rate, folder + "/ev")
+        St.daily_evaluation(stream, f"{folder}/{ckpt}", rate, folder + "/ev", ["model"], folder + "/rows", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
     got = spark.read.schema("m double, eval_date string").parquet(folder + "/ev").collect()
-    assert [(r.eval_date, r.m) for r in got] == [("2024-03-01", 2.0)]
+    assert [(r.eval_date, r.m) for r in got] == [("2024-03-01", 4.0)]   # both batches of the day
 
 
 def forecasts(spark, cycles, h):
@@ -143,7 +148,7 @@ def test_forecast_sink_skips_or_forces(spark, folder):
 def test_daily_row_is_replaced(spark, folder):
     row = lambda d, v: spark.createDataFrame([("m", v, d)], "name string, mae double, eval_date string")
     for d, v in (("2024-03-01", 1.0), ("2024-03-02", 2.0), ("2024-03-01", 3.0)):
-        Tb.append_or_update(spark, row(d, v), folder + "/ev")
+        Tb.append_or_update(spark, row(d, v), folder + "/ev", ["name"])
     got = spark.read.schema("name string, mae double, eval_date string").parquet(folder + "/ev")
     assert sorted((r.eval_date, r.mae) for r in got.collect()) == [("2024-03-01", 3.0), ("2024-03-02", 2.0)]
 
@@ -185,12 +190,58 @@ def test_stream_late_rows_replay_and_restart(spark, folder):
     assert table(spark, folder) == got
 
 
-def test_known_batch_is_not_written(spark, folder):
-    d = obs(spark, [("s", 0, 1, 1.0, 1)])
+def test_revision_of_a_known_key_is_written(spark, folder):
     args = (folder + "/table", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
-    assert St.upsert_by_day(d, *args, skip_known=True)
-    assert not St.upsert_by_day(obs(spark, [("s", 0, 1, 5.0, 9)]), *args, skip_known=True)
+    first = obs(spark, [("s", 0, 1, 1.0, 1)])
+    assert St.upsert_by_day(first, *args, skip_known=True)
+    assert not St.upsert_by_day(first, *args, skip_known=True)                                     # nothing new
+    assert not St.upsert_by_day(obs(spark, [("s", 0, 1, 7.0, 0)]), *args, skip_known=True)         # older: would lose
+    assert St.upsert_by_day(obs(spark, [("s", 0, 1, 5.0, 9)]), *args, skip_known=True)             # a revision
     assert St.upsert_by_day(obs(spark, [("s", 1, 1, 5.0, 9)]), *args, skip_known=True)
+    assert [h for _, _, h in table(spark, folder)] == [5.0, 5.0]
+
+
+def test_write_survives_a_crash(spark, folder, monkeypatch):
+    """A job that dies after the table's folders are gone, and one that dies before its rows are ready."""
+    args = (folder + "/table", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
+    St.upsert_by_day(obs(spark, [("s", 0, 1, 1.0, 1), ("s", 50, 1, 2.0, 1)]), *args)
+
+    def die(spark_, path, parts):
+        shutil.rmtree(path + "/day=2024-03-01")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Fo, "_put", die)
+        with pytest.raises(RuntimeError):
+            St.upsert_by_day(obs(spark, [("s", 3, 1, 3.0, 1)]), *args)
+    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]     # readers see the ready rows
+    assert Fo.recover(spark, folder + "/table", ["day"]) and not Fo.recover(spark, folder + "/table", ["day"])
+    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]
+    with monkeypatch.context() as m:
+        m.setattr(Fo, "_mark", lambda spark_, path, ready: (_ for _ in ()).throw(RuntimeError("lost")) if ready else None)
+        with pytest.raises(RuntimeError):
+            St.upsert_by_day(obs(spark, [("s", 4, 1, 9.0, 1)]), *args)
+    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]
+    St.upsert_by_day(obs(spark, [("s", 4, 1, 9.0, 1)]), *args)            # the batch again
+    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 9.0, 2.0]
+
+
+def test_truncated_file_is_reported_not_lost(spark, folder):
+    root = folder + "/fc"
+    A.write_forecasts(forecasts(spark, [0], 1.0), root)
+    A.write_forecasts(forecasts(spark, [12], 2.0), root)
+    files = sorted(glob.glob(root + "/**/*.parquet", recursive=True), key=os.path.getmtime)
+    with open(files[-1], "r+b") as f:
+        f.truncate(os.path.getsize(files[-1]) // 2)
+    for crc in glob.glob(root + "/**/.*.crc", recursive=True):
+        os.remove(crc)
+    with pytest.raises(Exception):
+        A.read_forecasts(spark, root).collect()
+    with pytest.raises(Exception):
+        A.write_forecasts(forecasts(spark, [0], 5.0), root, force=True)
+    assert all(os.path.exists(f) for f in files)
+    bad = A.schema_drift(spark, [root], ["sw1_height_ft"]).collect()
+    assert len(bad) == 1 and bad[0].error and bad[0].path.endswith(os.path.basename(files[-1]))
 
 
 def test_retention_and_pruning(spark, folder):
