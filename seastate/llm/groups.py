@@ -28,7 +28,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = print_of(edges)
     while before[0]:
-        edges = materialise(_star(materialise(_star(edges, True), "large-star"), False), "small-star")
+        edges = materialise(_star(_star(edges, True), False), "stars")
         now = print_of(edges)
         if now == before:
             break

@@ -8,8 +8,9 @@ thousands of copies are one row per task.
 
 *Links.* Within a band bucket every member is compared with the bucket's first member only: as many pairs as members. A pair is
 verified on the full sets of n-grams. Verified pairs join texts into groups. Buckets whose members then lie in one group are done;
-in the others the members of different groups are compared with each other, unless their similarities to the bucket's first
-member rule a link out (the Jaccard distance is a metric). So any two texts that share a band end in one group or have been
+in the others the members outside the first one's group are compared, block by block inside the tasks, with the members of other
+groups, unless the similarities to the first member rule a link out (the Jaccard distance is a metric); only the best link to
+each other group leaves the task. So any two texts that share a band end in one group or have been
 compared, and no link between groups is lost, while a bucket of near copies costs no more pairs than it has members.
 
 ``n_links`` counts the verified pairs a text takes part in. Within a group these are enough to connect it; they are not all
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .groups import connected
 from .scan import NON_SPACE, Chunk, WordSums, chunks, mix, span_hashes, spans
+from .tables import runs
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 SMALLEST = -(1 << 63)
+BLOCK, COLUMNS = 1024, 4096
 _U = np.uint64
 
 
@@ -135,6 +138,71 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def across(left: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Links between groups that share a bucket: a, b, similarity; for each text set apart, the best link to every other group.
+
+    ``left`` holds bucket, id, g (group), similarity to the bucket's lead, and apart (not of the lead's group). Large buckets are
+    compared in blocks of ``BLOCK`` by ``BLOCK`` texts, as products of 0/1 matrices over the n-grams that two texts share.
+    """
+    gap = 1 - threshold + 1e-9
+    bucket = left.groupBy("bucket").agg(
+        F.min(F.when(F.col("apart"), F.col("similarity"))).alias("lo"), F.max(F.when(F.col("apart"), F.col("similarity"))).alias("hi"),
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("xs"), F.ceil(F.count_if("apart") / BLOCK).alias("ys"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    both = left.join(bucket.where("ys > 0 and g0 != g1").drop("g0", "g1"), "bucket").where(F.col("similarity").between(F.col("lo") - gap, F.col("hi") + gap))
+    place = lambda k: F.pmod(F.xxhash64("id"), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    some = ["bucket", "id", "g", "similarity"]
+    x = both.select(*some, F.lit(False).alias("asks"), place("xs").alias("bx"), every("ys").alias("by"))
+    y = both.where("apart").select(*some, F.lit(True).alias("asks"), place("ys").alias("by"), every("xs").alias("bx"))
+    rows = x.unionByName(y).join(texts, "id").repartition("bucket", "bx", "by").sortWithinPartitions("bucket", "bx", "by", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        for t in runs(batches, "bucket", "bx", "by"):
+            ids, g, asks = (t[k].to_numpy() for k in ("id", "g", "asks"))
+            asks = asks.astype(bool)
+            if asks.all() or not asks.any():
+                continue
+            if len(sets) > 2 * BLOCK:
+                sets.clear()
+            for k, key in enumerate(ids):
+                if key not in sets:
+                    sets[key] = np.unique(ngram_sets(next(chunks(pa.array([t["text"][k].as_py()], pa.string()))), n)[0])
+            found = _best_links([sets[k] for k in ids[asks]], [sets[k] for k in ids[~asks]], g[asks], g[~asks], threshold)
+            a, b, sim = ids[asks][found[0]], ids[~asks][found[1]], found[2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(sim)], names=["a", "b", "similarity"])
+
+    return rows.mapInArrow(run, "a long, b long, similarity double")
+
+
+def _best_links(ys: list[np.ndarray], xs: list[np.ndarray], gy: np.ndarray, gx: np.ndarray, threshold: float):
+    """(index into ys, index into xs, similarity): per y and group of xs, the most similar x that reaches the threshold."""
+    size_y, size_x = np.array([len(v) for v in ys]), np.array([len(v) for v in xs])
+    _, where, count = np.unique(np.concatenate(ys + xs), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    column[count < 2] = -1
+    column = column[where]
+    row = np.repeat(np.arange(len(ys) + len(xs)), np.append(size_y, size_x))
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(ys), len(xs)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((len(ys) + len(xs), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        shared += m[: len(ys)] @ m[len(ys) :].T
+    similar = shared / np.maximum(1, size_y[:, None] + size_x[None, :] - shared).astype(np.float64)
+    # Exact at the edge: counts are whole numbers far below the limit of float32.
+    fits = (similar >= threshold) & (gy[:, None] != gx[None, :])
+    i, j = np.nonzero(fits)
+    order = np.lexsort((-similar[i, j], gx[j], i))
+    i, j = i[order], j[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (gx[j[1:]] != gx[j[:-1]])
+    return i[first], j[first], similar[i[first], j[first]]
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x1 (hash of the text), class_id (smallest id of its group), n_copies (rows with the same words), n_links, n_words."""
@@ -163,16 +231,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     known = star.select(F.col("a").alias("id"), F.col("b").alias("lead"), "similarity")
     left = grouped.join(split, "bucket").where("id != lead").join(known, ["id", "lead"])
     left = left.join(root.select(F.col("id").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
-    left = left.withColumn("cell", F.floor(F.col("similarity") / (1 - threshold)))
     left = materialise(left.withColumn("apart", F.col("g") != F.coalesce("lead_root", "lead")).drop("lead", "lead_root"), "left")
-    near = left.where("apart").select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("similarity").alias("sa"), "bucket",
-                                      F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("cell"))
-    cross = near.join(left.select("id", "g", "similarity", "bucket", "cell"), ["bucket", "cell"])
-    cross = cross.where((F.col("g") != F.col("ga")) & (F.abs(F.col("similarity") - F.col("sa")) <= 1 - threshold + 1e-9))
-    cross = cross.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
-    links = star.unionByName(verified(materialise(cross, "cross"), texts, n)).where(F.col("similarity") >= threshold)
-    links = materialise(links.select("a", "b"), "links").distinct()
-    root = connected(links)
+    more = materialise(across(left, texts, threshold, n).select("a", "b"), "across")
+    links = star.where(F.col("similarity") >= threshold).select("a", "b").unionByName(more).distinct()
+    if not more.isEmpty():
+        root = connected(more.unionByName(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
     degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     placed = node.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -189,6 +252,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id; of rows with that id and text, one."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("x1").alias("kept_x")).distinct()
-    mine = docs.withColumn("_x", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)))
-    kept = mine.join(found, (F.col("_id") == F.coalesce("kept_id", F.lit(SMALLEST))) & (F.col("_x") == F.col("kept_x")))
-    return kept.dropDuplicates(["_id", "_x"]).select(*docs.columns)
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("x"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("id"))
+    kept = mine.join(found, (F.col("id") == F.coalesce("kept_id", F.lit(SMALLEST))) & (F.col("x") == F.col("kept_x")))
+    return kept.dropDuplicates(["id", "x"]).select("doc.*")
