@@ -8,33 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import stage
-from ..functions.rules import _toml, section_wind_rating
-
-# Wind fit of each rating, 0.5 where there is none.
-WIND_FIT = {"GLASSY": 1.0, "GROOMED": 1.0, "CLEAN": 0.8, "STRONG OFFSHORE": 0.75,
-            "TEXTURED": 0.5, "CHOPPY": 0.2, "ONSHORE": 0.05}
-# The ratings that leave the reef surfable.
-SURFABLE = ("GLASSY", "GROOMED", "CLEAN", "TEXTURED", "STRONG OFFSHORE")
+from ..functions.circular import abs_diff_deg
+from ..functions.rules import WindStep, _toml, curve, ladder_rating, load_wind_ladder
 
 
 @dataclass(frozen=True)
 class Section:
+    """One part of a break: response curves and tables, all from the user's file."""
     key: str
-    min_face: float
-    ideal: tuple[float, float]
-    max_face: float
-    best_dir: tuple[float, float]
-    grower: bool
-    tide: str
+    size: list[list[float]]
+    facing: float
+    off_axis: list[list[float]]
+    period: list[list[float]]
+    tide: dict[str, float]
     offshore: float
-    prestige: float
+    standing: float
+
 
+@dataclass(frozen=True)
+class Break:
+    """Its sections, what the parts of a score weigh, how much swell allows at all, and the wind ladder."""
+    sections: list[Section]
+    weights: dict[str, float]
+    potential: dict[str, list[list[float]]]
+    ladder: list[WindStep]
 
-def load_sections(path: str | None = None) -> list[Section]:
-    return [Section(s["key"], float(s["min_face_ft"]), tuple(map(float, s["ideal_face_ft"])),
-                    float(s["max_face_ft"]), tuple(map(float, s["best_dir"])), bool(s["grower"]),
-                    s["tide"], float(s["offshore"]), float(s["prestige"]))
-            for s in _toml(path, "sections.toml")["section"]]
+
+def load_break(path: str | None = None) -> Break:
+    raw = _toml(path, "sections.toml")
+    return Break([Section(**s) for s in raw["section"]], raw["weights"], raw["potential"], load_wind_ladder(path))
 
 
 def merge_hourly(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -50,70 +52,53 @@ def merge_hourly(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
-def _section_parts(s: Section, i: int) -> dict[str, str]:
-    """Size, tide and raw score of one section as SQL over the staged columns.
+def potential(face: Column, period: Column, b: Break) -> Column:
+    """Upper limit of any score for the swell in the water; 0 without swell."""
+    lift = F.coalesce(curve(period, b.potential["period"]), F.lit(1.0))
+    return F.coalesce(F.least(F.lit(1.0), curve(face, b.potential["face"]) * lift), F.lit(0.0))
 
-    Size gates everything; direction, period, tide and wind add up to 100.
-    """
-    (lo, hi), (dlo, dhi) = s.ideal, s.best_dir
-    size = (f"CASE WHEN _face IS NULL OR _face < {s.min_face}D THEN 0D "
-            f"WHEN _face < {lo}D THEN (_face - {s.min_face}D) / {max(1e-6, lo - s.min_face)}D WHEN _face <= {hi}D THEN 1D "
-            f"WHEN _face <= {s.max_face}D THEN 1D - 0.6D * (_face - {hi}D) / {max(1e-6, s.max_face - hi)}D ELSE 0.3D END")
-    dirf = (f"CASE WHEN _deg IS NULL THEN 0.5D WHEN _deg BETWEEN {dlo}D AND {dhi}D THEN 1D "
-            f"ELSE greatest(0D, 1D - least(abs(_deg - {dlo}D), abs(_deg - {dhi}D)) / 45D) END")
-    tide = {"high": "CASE _state WHEN 'low' THEN 0.15D WHEN 'mid' THEN 0.6D ELSE 1D END",
-            "mid-high": "CASE _state WHEN 'low' THEN 0.45D ELSE 1D END",
-            "mid": "CASE WHEN _state IN ('low', 'high') THEN 0.7D ELSE 1D END"}.get(s.tide, "1D")
-    wind = f"CASE _wind_{i} " + " ".join(f"WHEN '{n}' THEN {w}D" for n, w in WIND_FIT.items()) + " ELSE 0.5D END"
-    return {f"_size_{i}": size, f"_dir_{i}": dirf, f"_fit_{i}": f"CASE WHEN _tide IS NULL THEN 1D ELSE {tide} END", f"_air_{i}": wind}
-
-
-def _section_raw(s: Section, i: int) -> str:
-    points = f"CASE WHEN _per >= 14 THEN {15 if s.grower else 11}D WHEN _per >= 12 THEN 7D ELSE 0D END"
-    return f"least(100D, _dir_{i} * 30 + ({points}) + _fit_{i} * 30 + _air_{i} * 25)"
-
-
-def _section_struct(s: Section, i: int) -> str:
-    dry = "_tide IS NOT NULL AND _state = 'low'" if s.tide == "high" else "false"
-    reasons = (f"array_compact(array(CASE WHEN _face IS NULL THEN 'no swell in window' WHEN _face < {s.min_face}D THEN 'too small' "
-               f"WHEN _face < {s.ideal[0]}D THEN 'small side' WHEN _face > {s.max_face}D THEN 'over its range' END, "
-               f"CASE WHEN _dir_{i} < 0.4D THEN 'swell angle off' END, "
-               f"CASE WHEN _per >= 14 AND {str(s.grower).lower()} THEN 'long lines grow' END, "
-               f"CASE WHEN {dry} THEN 'needs water' END, CASE WHEN _air_{i} <= 0.2D THEN 'wind is wrong' END))")
-    # The leading field is the sort key: best score first, reef order among equals.
-    score = f"cast(rint(_raw_{i} * _size_{i} * _ceiling * {s.prestige}D) as int)"
-    return (f"named_struct('order', struct(-{score}, {i}), 'section', '{s.key}', 'score', {score}, "
-            f"'raw_score', cast(rint(_raw_{i}) as int), 'size_fit', round(_size_{i}, 2), 'tide_fit', round(_fit_{i}, 2), "
-            f"'wind', _wind_{i}, 'reasons', {reasons})")
-
-
-def quality_ceiling(face: Column, period: Column) -> Column:
-    """How good any section can be with this much swell in the water."""
-    base = (F.when(face < 2.5, 0.18).when(face < 4, 0.45).when(face < 6, 0.70)
-            .when(face < 8, 0.88).otherwise(1.0))
-    lifted = (F.when(period >= 15, F.least(F.lit(1.0), base * 1.15))
-              .when((period < 11) & (period != 0), base * 0.88).otherwise(base))
-    return F.when(face.isNull(), F.lit(0.0)).otherwise(lifted)
-
-
-def rank_sections(df: DataFrame, sections: list[Section], height: str, period: str, direction: str,
-                  speed_kt: str, wind_dir: str, tide: str, state: str, out: str = "ranked") -> DataFrame:
-    """Add the scored sections, best first; equal scores keep the reef order.
-
-    The sections are a short fixed list, so the ranking is one array per row
-    and nothing is shuffled.
+
+def section_fits(s: Section, b: Break, face: Column, period: Column, deg: Column, state: Column, wind: Column) -> dict[str, Column]:
+    """Fit of each part between 0 and 1; what is unknown counts half, an unknown tide nothing against."""
+    half = F.lit(0.5)
+    by_tide, by_wind = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, fit in s.tide.items():
+        by_tide = F.when(state == name, F.lit(float(fit))).otherwise(by_tide)
+    for w in b.ladder:
+        by_wind = F.when(wind == w.name, F.lit(w.fit)).otherwise(by_wind)
+    return {"size": F.coalesce(curve(face, s.size), F.lit(0.0)), "angle": F.coalesce(curve(abs_diff_deg(deg, F.lit(s.facing)), s.off_axis), half),
+            "period": F.coalesce(curve(period, s.period), half), "tide": F.coalesce(by_tide, F.lit(1.0)), "wind": F.coalesce(by_wind, half)}
+
+
+def rank_sections(df: DataFrame, b: Break, height: str, period: str, direction: str, speed_kt: str, wind_dir: str, state: str,
+                  out: str = "ranked") -> DataFrame:
+    """Add the scored sections, best first; equal scores keep the order of the file.
+
+    A score is the weighted mean of angle, period, tide and wind, scaled by the section's size fit, the potential of the
+    swell and its standing. The sections are a short fixed list, so the ranking is one array per row and nothing is shuffled.
     """
-    face = F.when(F.col(height) != 0, F.col(height))
-    staged = {"_face": face, "_per": F.col(period), "_deg": F.col(direction), "_tide": F.col(tide), "_state": F.col(state),
-              "_ceiling": quality_ceiling(face, F.col(period))}
-    for i, s in enumerate(sections):
-        staged[f"_wind_{i}"] = section_wind_rating(F.col(speed_kt), F.col(wind_dir), F.lit(s.offshore))
-    d = stage(df, staged)
-    parts = {k: F.expr(sql) for i, s in enumerate(sections) for k, sql in _section_parts(s, i).items()}
-    d = stage(d, parts)
-    d = stage(d, {f"_raw_{i}": F.expr(_section_raw(s, i)) for i, s in enumerate(sections)})
-    scored = ", ".join(_section_struct(s, i) for i, s in enumerate(sections))
-    return d.select(*df.columns, F.expr(f"sort_array(array({scored}))").alias(out))
+    names = ("angle", "period", "tide", "wind")
+    d = stage(df, {"_face": F.when(F.col(height) != 0, F.col(height)), **{
+        f"_name_{i}": ladder_rating(F.col(speed_kt), F.col(wind_dir), F.lit(s.offshore), b.ladder) for i, s in enumerate(b.sections)}})
+    d = stage(d, {"_potential": potential(F.col("_face"), F.col(period), b), **{
+        f"_{k}_{i}": c for i, s in enumerate(b.sections)
+        for k, c in section_fits(s, b, F.col("_face"), F.col(period), F.col(direction), F.col(state), F.col(f"_name_{i}")).items()}})
+    mix = {}
+    for i in range(len(b.sections)):
+        total = F.lit(0.0)
+        for k in names:
+            total = total + F.col(f"_{k}_{i}") * b.weights[k]
+        mix[f"_mix_{i}"] = total
+    d = stage(d, mix)
+    each = []
+    for i, s in enumerate(b.sections):
+        score = F.rint(F.col(f"_mix_{i}") * F.col(f"_size_{i}") * F.col("_potential") * (100.0 * s.standing)).cast("int")
+        low = [F.when(F.col(f"_{k}_{i}") < 0.4, F.lit(f"poor {k}")) for k in ("size", *names)]
+        each.append(F.struct(
+            F.struct((-score).alias("s"), F.lit(i).alias("i")).alias("order"), F.lit(s.key).alias("section"), score.alias("score"),
+            F.rint(F.col(f"_mix_{i}") * 100.0).cast("int").alias("raw_score"), F.round(f"_size_{i}", 2).alias("size_fit"),
+            F.round(f"_tide_{i}", 2).alias("tide_fit"), F.col(f"_name_{i}").alias("wind"), F.array_compact(F.array(*low)).alias("reasons")))
+    return d.select(*df.columns, F.sort_array(F.array(*each)).alias(out))
 
 
 def best_section(ranked: str = "ranked") -> Column:
@@ -136,11 +121,11 @@ def daylight(df: DataFrame, sun: DataFrame, keys: list[str], ts: str) -> DataFra
 
 
 def good_days(windows: DataFrame, keys: list[str], ts: str, rank_a: str, rank_b: str, cat_a: str, cat_b: str,
-              wind: str, threshold: int, per_day: int = 2) -> DataFrame:
-    """Days with enough windows in which both models reach the threshold and the wind is fine."""
+              wind: str, ridable: list[str], threshold: int, per_day: int = 2) -> DataFrame:
+    """Days with enough windows in which both models reach the threshold and the wind is unknown or ridable."""
     low = F.least(F.when(F.col(rank_b).isNotNull(), F.col(rank_a)), F.when(F.col(rank_a).isNotNull(), F.col(rank_b)))
     cat = F.when(F.col(rank_a) <= F.col(rank_b), F.col(cat_a)).otherwise(F.col(cat_b))
-    fine = F.col(wind).isNull() | F.col(wind).isin(*SURFABLE)
+    fine = F.col(wind).isNull() | F.col(wind).isin(*ridable)
     d = windows.withColumns({"_low": low, "_cat": cat, "_day": F.to_date(ts)})
     best = F.max(F.when(F.col("_low").isNotNull(), F.struct(
         F.col("_low").alias("r"), (-F.unix_micros(ts)).alias("t"), F.col("_cat").alias("c"))))

@@ -11,7 +11,7 @@ from ..functions import circular as C
 from ..functions import geo as G
 from ..functions import units as U
 from ..functions.arrays import stage
-from ..functions.rules import VERDICTS, SwellWindow, verdict
+from ..functions.rules import Level, SwellWindow, Tier, confidence, load_levels, load_tiers, verdict
 from .ordered import DAY, as_of, epoch, latest_by
 
 # Travel times tried, source latitudes, leads kept, storm belt.
@@ -179,7 +179,7 @@ def fit_source(groups: DataFrame) -> DataFrame:
     return stage(g, {"fit": F.coalesce(fine, F.col("coarse"))})
 
 
-def cluster_summary(fitted: DataFrame, keys: list[str], t: Target, now: str) -> DataFrame:
+def cluster_summary(fitted: DataFrame, keys: list[str], t: Target, now: str, tiers: list[Tier] | None = None) -> DataFrame:
     """Arrival of each group at the target, its height and how well the rays met."""
     tl, tn = F.lit(t.lat), F.lit(t.lon)
     d = stage(fitted, {"source_km": G.haversine_km(F.col("fit.lat"), F.col("fit.lon"), tl, tn),
@@ -197,8 +197,7 @@ def cluster_summary(fitted: DataFrame, keys: list[str], t: Target, now: str) ->
         ((F.col("arrive_epoch") - epoch(F.col(now))) / 3600.0).alias("lead_h"), "theta",
         F.col("theta").between(*t.window.edge).alias("in_window"),
         F.when(F.size("_h") > 0, U.m_to_ft(total / F.size("_h"))).alias("hs_ft"),
-        F.when((n >= 3) & (err < 8) & (spread < 12), "firm")
-        .when((n >= 2) & (err < 15) & (spread < 24), "fair").otherwise("weak").alias("confidence"))
+        confidence(n, err, spread, load_tiers() if tiers is None else tiers).alias("confidence"))
 
 
 def model_at_arrival(clusters: DataFrame, timeline: DataFrame, keys: list[str], at: str, ts: str,
@@ -211,18 +210,17 @@ def model_at_arrival(clusters: DataFrame, timeline: DataFrame, keys: list[str],
                                            *[F.col(f"_p.{c}").alias(c) for c in cols])
 
 
-def compare(df: DataFrame, height: str, direction: str, models: list[str]) -> DataFrame:
+def compare(df: DataFrame, height: str, direction: str, models: list[str], rules: tuple[list[Level], str] | None = None) -> DataFrame:
     """Difference and verdict against each model, and the best verdict of all."""
     cols = {}
     for m in models:
         cols[f"{m}_d_hs"] = F.round(F.col(height) - F.col(f"{m}_height_ft"), 1)
         cols[f"{m}_d_dir"] = F.rint(C.diff_deg(F.col(direction), F.col(f"{m}_direction_deg")))
     d = df.withColumns(cols)
-    d = d.withColumns({f"{m}_verdict": verdict(F.col(f"{m}_d_hs"), F.col(f"{m}_d_dir")) for m in models})
-    best = F.lit(None).cast("string")
-    for v in reversed(VERDICTS):
-        hit = F.lit(False)
-        for m in models:
-            hit = hit | F.coalesce(F.col(f"{m}_verdict") == v, F.lit(False))
-        best = F.when(hit, F.lit(v)).otherwise(best)
-    return d.withColumn("best_verdict", best)
+    levels, last = load_levels() if rules is None else rules
+    d = d.withColumns({f"{m}_verdict": verdict(F.col(f"{m}_d_hs"), F.col(f"{m}_d_dir"), levels, last) for m in models})
+    names = F.array(*(F.lit(n) for n in (*(x.name for x in levels), last)))
+    # The best verdict is the one named first.
+    place = [F.when(F.col(f"{m}_verdict").isNotNull(), F.array_position(names, F.col(f"{m}_verdict"))) for m in models]
+    first = F.least(*place) if len(place) > 1 else place[0]
+    return d.withColumn("best_verdict", F.when(first.isNotNull(), F.get(names, first.cast("int") - 1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import rules as R
 from ..functions.rules import SWELL_CATEGORIES, load_bands, load_box_categories, load_boxes, load_wind_rules
 
 SCALE = "0.061803398875"
@@ -123,13 +124,18 @@ def wind_sql(s: str, d: str, n: str) -> str:
             f"WHEN {s} < {r.on_textured} THEN 'Textured' WHEN {s} < {r.on_messy} THEN 'Messy' ELSE 'Blown Out' END)")
 
 
-def section_wind_sql(s: str, d: str, o: str) -> str:
+def ladder_sql(s: str, d: str, o: str) -> str:
+    """Name of the first wind step that holds."""
     off = f"abs({cdiff(d, o)})"
-    return (f"(CASE WHEN {s} IS NULL OR {d} IS NULL THEN NULL WHEN {s} < 3 THEN 'GLASSY' "
-            f"WHEN {off} <= 45 THEN CASE WHEN {s} <= 14 THEN 'GROOMED' ELSE 'STRONG OFFSHORE' END "
-            f"WHEN {off} <= 80 THEN CASE WHEN {s} <= 12 THEN 'CLEAN' ELSE 'TEXTURED' END "
-            f"WHEN {off} <= 115 THEN CASE WHEN {s} <= 10 THEN 'TEXTURED' ELSE 'CHOPPY' END "
-            f"ELSE CASE WHEN {s} > 6 THEN 'ONSHORE' ELSE 'TEXTURED' END END)")
+    rows = [f"WHEN {off} <= {w.angle}" + (f" AND {s} <= {w.speed}" if w.speed < 1e9 else "") + f" THEN '{w.name}'" for w in R.load_wind_ladder()]
+    return f"(CASE WHEN {s} IS NULL OR {d} IS NULL THEN NULL {' '.join(rows)} END)"
+
+
+def curve_sql(x: str, points: list[list[float]]) -> str:
+    """Piecewise linear value, flat beyond the ends."""
+    steps = " ".join(f"WHEN {x} <= {b[0]} THEN {a[1]}::DOUBLE + ({x} - {a[0]}::DOUBLE) * {(b[1] - a[1]) / (b[0] - a[0])!r}::DOUBLE"
+                     for a, b in zip(points, points[1:], strict=False))
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {points[0][0]} THEN {points[0][1]}::DOUBLE {steps} ELSE {points[-1][1]}::DOUBLE END)"
 
 
 def window_sql(d: str) -> str:

@@ -11,7 +11,7 @@ from ..functions import timefn as T
 from ..functions import units as U
 from ..operators.swelltrack import Target
 from .ctes import (GROUP_KMH, bearing, box_sql, band_sql, cat_rank, cdiff, circ_mean, cosd, epoch, haversine, iso, m2ft,
-                   m360, r6, rint, sc2deg, score_sql, sec, section_wind_sql, sind, snap, spread, wind_sql, window_sql)
+                   m360, r6, rint, sc2deg, score_sql, sec, ladder_sql, sind, snap, spread, wind_sql, window_sql)
 from .registry import query
 
 TARGET = Target()
@@ -129,10 +129,10 @@ def _(v):
 
 
 @query("f16_section_wind", f"""
-SELECT station, {iso('valid_utc')} AS valid_utc, partition, {section_wind_sql('(hs_m * 3)', 'dp_deg', '115.0')} AS rating FROM obs""")
+SELECT station, {iso('valid_utc')} AS valid_utc, partition, {ladder_sql('(hs_m * 3)', 'dp_deg', '115.0')} AS rating FROM obs""")
 def _(v):
     return v.obs.select("station", "valid_utc", "partition",
-                        R.section_wind_rating(F.col("hs_m") * 3, F.col("dp_deg"), F.lit(115.0)).alias("rating"))
+                        R.ladder_rating(F.col("hs_m") * 3, F.col("dp_deg"), F.lit(115.0), R.load_wind_ladder()).alias("rating"))
 
 
 @query("f17_window_score", f"""
@@ -161,12 +161,15 @@ def _(v):
                     G.destination_lon(lat, lon, F.col("brg"), F.col("km1"), F.col("dest_lat")).alias("dest_lon"))
 
 
-@query("f23_a26_verdict", f"""
-SELECT *, CASE WHEN a_verdict = 'agree' OR b_verdict = 'agree' THEN 'agree' WHEN a_verdict = 'close' OR b_verdict = 'close' THEN 'close'
- WHEN a_verdict = 'diverge' OR b_verdict = 'diverge' THEN 'diverge' END AS best_verdict FROM (
+_LEVELS, _LAST = R.load_levels()
+_NAMES = [x.name for x in _LEVELS] + [_LAST]
+
+
+@query("f23_a26_verdict", "SELECT *, CASE " + " ".join(f"WHEN a_verdict = '{n}' OR b_verdict = '{n}' THEN '{n}'" for n in _NAMES) + f""" END AS best_verdict FROM (
 SELECT station, {iso('cycle_utc')} AS cycle_utc, {iso('valid_utc')} AS valid_utc, """ + ", ".join(
-    f"CASE WHEN {m}h IS NULL AND {m}d IS NULL THEN NULL WHEN coalesce(abs({m}h) <= 1, TRUE) AND coalesce(abs({m}d) <= 15, TRUE) THEN 'agree' "
-    f"WHEN coalesce(abs({m}h) <= 2, TRUE) AND coalesce(abs({m}d) <= 30, TRUE) THEN 'close' ELSE 'diverge' END AS {m}_verdict" for m in "ab")
+    f"CASE WHEN {m}h IS NULL AND {m}d IS NULL THEN NULL "
+    + " ".join(f"WHEN coalesce(abs({m}h) <= {x.height}, TRUE) AND coalesce(abs({m}d) <= {x.direction}, TRUE) THEN '{x.name}'" for x in _LEVELS)
+    + f" ELSE '{_LAST}' END AS {m}_verdict" for m in "ab")
     + " FROM (SELECT *, " + ", ".join(
     f"round(obs_sw1_height_ft - {m}_sw1_height_ft, 1) AS {m}h, {rint(cdiff('obs_sw1_direction_deg', f'{m}_sw1_direction_deg'))} AS {m}d" for m in "ab")
     + " FROM paired))")

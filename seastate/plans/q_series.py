@@ -13,7 +13,7 @@ from ..operators import tides as Td
 from ..operators import waves as Wv
 from ..operators import wind as Wd
 from ..operators.ordered import DAY, HOUR, WEEK, as_of, epoch, latest_by, nearest, neighbours
-from .ctes import (box_sql, cdiff, cosd, epoch as esql, haversine, iso, m360, r6, rint, sc2deg, sec, section_wind_sql, sind, snap,
+from .ctes import (box_sql, cdiff, cosd, epoch as esql, haversine, iso, m360, r6, rint, sc2deg, sec, curve_sql, ladder_sql, sind, snap,
                    wind_sql)
 from .registry import query
 
@@ -209,22 +209,18 @@ def _section_sql(m: str) -> str:
     out = []
     h, p, d = f"(CASE WHEN {m}_h <> 0 THEN {m}_h END)", f"{m}_p", f"{m}_d"
     st = f"(CASE WHEN hi > lo THEN CASE WHEN (tide - lo) / (hi - lo) < 0.33 THEN 'low' WHEN (tide - lo) / (hi - lo) < 0.67 THEN 'mid' WHEN tide IS NOT NULL THEN 'high' END END)"
-    for i, s in enumerate(O.load_sections()):
-        size = (f"(CASE WHEN {h} IS NULL OR {h} < {s.min_face} THEN 0.0 WHEN {h} < {s.ideal[0]} THEN ({h} - {s.min_face}) / {s.ideal[0] - s.min_face}::DOUBLE WHEN {h} <= {s.ideal[1]} THEN 1.0 "
-                f"WHEN {h} <= {s.max_face} THEN 1.0 - 0.6::DOUBLE * ({h} - {s.ideal[1]}) / {s.max_face - s.ideal[1]}::DOUBLE ELSE 0.3::DOUBLE END)")
-        dirf = (f"(CASE WHEN {d} IS NULL THEN 0.5 WHEN {d} BETWEEN {s.best_dir[0]} AND {s.best_dir[1]} THEN 1.0 ELSE greatest(0.0, 1.0 - least(abs({d} - {s.best_dir[0]}), "
-                f"abs({d} - {s.best_dir[1]})) / 45.0) END)")
-        per = f"(CASE WHEN {p} >= 14 THEN {15 if s.grower else 11} WHEN {p} >= 12 THEN 7 ELSE 0 END)"
-        tide = {"high": f"CASE {st} WHEN 'low' THEN 0.15 WHEN 'mid' THEN 0.6 ELSE 1.0 END", "mid-high": f"CASE {st} WHEN 'low' THEN 0.45 ELSE 1.0 END",
-                "mid": f"CASE {st} WHEN 'low' THEN 0.7 WHEN 'high' THEN 0.7 ELSE 1.0 END"}.get(s.tide, "1.0")
-        tide = f"(CASE WHEN tide IS NULL THEN 1.0 ELSE {tide} END)::DOUBLE"
-        rating = section_wind_sql("wind_kt", "wind_deg", str(s.offshore))
-        wind = "(CASE " + rating + " " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in O.WIND_FIT.items()) + " ELSE 0.5 END)::DOUBLE"
-        base = f"(CASE WHEN {h} < 2.5 THEN 0.18 WHEN {h} < 4 THEN 0.45 WHEN {h} < 6 THEN 0.70 WHEN {h} < 8 THEN 0.88 ELSE 1.0 END)::DOUBLE"
-        ceil = f"(CASE WHEN {h} IS NULL THEN 0.0 WHEN {p} >= 15 THEN least(1.0, {base} * 1.15) WHEN {p} < 11 AND {p} <> 0 THEN {base} * 0.88 ELSE {base} END)"
-        raw = f"least(100.0::DOUBLE, {dirf} * 30 + {per} + {tide} * 30 + {wind} * 25)"
-        out.append(f"SELECT station, hour_utc, '{m}' AS model, '{s.key}' AS section, {i} AS pos, CAST({rint(f'{raw} * {size} * {ceil} * {s.prestige}::DOUBLE')} AS INTEGER) AS score, "
-                   f"CAST({rint(raw)} AS INTEGER) AS raw_score, {rating} AS wind FROM tls")
+    rule = O.load_break()
+    for i, s in enumerate(rule.sections):
+        wind = ladder_sql("wind_kt", "wind_deg", str(s.offshore))
+        fit = {"angle": f"coalesce({curve_sql(f'abs({cdiff(d, s.facing)})', s.off_axis)}, 0.5)", "period": f"coalesce({curve_sql(p, s.period)}, 0.5)",
+               "tide": "coalesce(CASE " + st + " " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in s.tide.items()) + " END, 1.0)::DOUBLE",
+               "wind": "coalesce(CASE " + wind + " " + " ".join(f"WHEN '{w.name}' THEN {w.fit}" for w in rule.ladder) + " END, 0.5)::DOUBLE"}
+        mix = "(" + " + ".join(f"{fit[k]} * {rule.weights[k]}::DOUBLE" for k in ("angle", "period", "tide", "wind")) + ")"
+        size = f"coalesce({curve_sql(h, s.size)}, 0.0)"
+        most = f"coalesce(CASE WHEN {h} IS NULL THEN 0.0 ELSE least(1.0::DOUBLE, {curve_sql(h, rule.potential['face'])} * coalesce({curve_sql(p, rule.potential['period'])}, 1.0)) END, 0.0)"
+        score = f"{mix} * {size} * {most} * {100.0 * s.standing!r}::DOUBLE"
+        out.append(f"SELECT station, hour_utc, '{m}' AS model, '{s.key}' AS section, {i} AS pos, CAST({rint(score)} AS INTEGER) AS score, "
+                   f"CAST({rint(f'{mix} * 100.0::DOUBLE')} AS INTEGER) AS raw_score, {wind} AS wind FROM tls")
     return " UNION ALL ".join(out)
 
 
@@ -232,9 +228,9 @@ _SCORES = f"WITH {_TL}, sc AS ({_section_sql('a')} UNION ALL {_section_sql('b')}
 
 
 def ranked(v):
-    d, secs = with_state(v), O.load_sections()
+    d, rule = with_state(v), O.load_break()
     for m in ("a", "b"):
-        d = O.rank_sections(d, secs, f"{m}_h", f"{m}_p", f"{m}_d", "wind_kt", "wind_deg", "tide", "tide_state", f"{m}_ranked")
+        d = O.rank_sections(d, rule, f"{m}_h", f"{m}_p", f"{m}_d", "wind_kt", "wind_deg", "tide_state", f"{m}_ranked")
     return d
 
 
@@ -285,12 +281,13 @@ def _(v):
 
 
 _LADDER = R.load_box_categories()
+_RIDABLE = ", ".join(f"'{w.name}'" for w in R.load_wind_ladder() if w.ridable)
 _BR = lambda c: "(CASE " + " ".join(f"WHEN {c} = '{n}' THEN {i}" for i, n in enumerate(_LADDER)) + " END)"
 
 
-@query("a16_w18_good_days", f"""{_LIT}, cat AS (SELECT *, {box_sql('a_h', 'a_p', 'a_d')} AS ca, {box_sql('b_h', 'b_p', 'b_d')} AS cb, {section_wind_sql('wind_kt', 'wind_deg', '115.0')} AS wr FROM lit),
+@query("a16_w18_good_days", f"""{_LIT}, cat AS (SELECT *, {box_sql('a_h', 'a_p', 'a_d')} AS ca, {box_sql('b_h', 'b_p', 'b_d')} AS cb, {ladder_sql('wind_kt', 'wind_deg', '115.0')} AS wr FROM lit),
  rr AS (SELECT *, CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN {_BR('ca')} END AS ra, CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN {_BR('cb')} END AS rb FROM cat),
- dd AS (SELECT station, CAST(hour_utc AS DATE) AS d, count(*) FILTER (WHERE least(ra, rb) >= 2 AND ra IS NOT NULL AND (wr IS NULL OR wr NOT IN ('CHOPPY', 'ONSHORE'))) AS n FROM rr GROUP BY 1, 2),
+ dd AS (SELECT station, CAST(hour_utc AS DATE) AS d, count(*) FILTER (WHERE least(ra, rb) >= 2 AND ra IS NOT NULL AND (wr IS NULL OR wr IN ({_RIDABLE}))) AS n FROM rr GROUP BY 1, 2),
  bb AS (SELECT station, CASE WHEN ra <= rb THEN ca ELSE cb END AS c, row_number() OVER (PARTITION BY station ORDER BY least(ra, rb) DESC, hour_utc) AS rn FROM rr WHERE ra IS NOT NULL),
  sp AS (SELECT station, CAST({rint('(epoch(max(hour_utc)) - epoch(min(hour_utc))) / 86400.0')} AS INTEGER) AS window_days FROM samp GROUP BY 1)
 SELECT sp.station, count(*) FILTER (WHERE dd.n >= 2) AS good_days, coalesce(max(bb.c), 'FLAT') AS category, max(window_days) AS window_days
@@ -302,8 +299,8 @@ def _(v):
     for m in ("a", "b"):
         d = d.withColumn(f"c{m}", R.box_category(F.col(f"{m}_h"), F.col(f"{m}_p"), F.col(f"{m}_d"), boxes, low))
         d = d.withColumn(f"r{m}", F.when(both, R.category_rank(F.col(f"c{m}"), _LADDER)))
-    d = d.withColumn("wr", R.section_wind_rating(F.col("wind_kt"), F.col("wind_deg"), F.lit(115.0)))
-    g = O.good_days(d, ["station"], "hour_utc", "ra", "rb", "ca", "cb", "wr", threshold=2)
+    d = d.withColumn("wr", R.ladder_rating(F.col("wind_kt"), F.col("wind_deg"), F.lit(115.0), R.load_wind_ladder()))
+    g = O.good_days(d, ["station"], "hour_utc", "ra", "rb", "ca", "cb", "wr", [w.name for w in R.load_wind_ladder() if w.ridable], threshold=2)
     return g.join(O.span_days(s, ["station"], "hour_utc"), "station")
 
 

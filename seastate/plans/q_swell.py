@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import circular as C
 from ..operators import swelltrack as Sw
 from ..operators import waves as Wv
-from ..functions.rules import SwellWindow
+from ..functions.rules import SwellWindow, load_tiers
 from .ctes import (GROUP_KMH, bearing, cdiff, cosd, epoch, haversine, iso, m2ft, m360, r6, rint, score_sql, sec, sind, spread)
 from .q_functions import TARGET, TLAT, TLON
 from .registry import query
 
+_TIERS = "CASE " + " ".join(f"WHEN n >= {t.sites} AND be <= {t.bearing_err} AND ts <= {t.time_spread} THEN '{t.name}'" for t in load_tiers()) + " ELSE 'weak' END"
+
 _CG = f"(tp_s * {GROUP_KMH})"
 
 
@@ -115,7 +117,7 @@ _SUM = f"""{_FIT}, ft AS (SELECT line, cluster, coalesce(fi.la, co.la) AS la, co
 
 
 @query("a23_cluster_summary", f"WITH {_SUM} SELECT line, cluster::INTEGER AS cluster, {r6('tp_s')} AS tp_s, n::INTEGER AS n_sites, {r6('source_km')} AS source_km, {r6(f'(arrive_epoch - {epoch(chr(110) + chr(111) + chr(119))}) / 3600.0')} AS lead_h, "
-       f"{r6('theta')} AS theta, theta BETWEEN 165 AND 250 AS in_window, {r6(m2ft('hs'))} AS hs_ft, CASE WHEN n >= 3 AND be < 8 AND ts < 12 THEN 'firm' WHEN n >= 2 AND be < 15 AND ts < 24 THEN 'fair' ELSE 'weak' END AS confidence FROM cs")
+       f"{r6('theta')} AS theta, theta BETWEEN 165 AND 250 AS in_window, {r6(m2ft('hs'))} AS hs_ft, {_TIERS} AS confidence FROM cs")
 def _(v):
     s = Sw.cluster_summary(Sw.fit_source(_groups(v)), ["line", "now"], TARGET, "now")
     return s.select("line", "cluster", "tp_s", "n_sites", "source_km", "lead_h", "theta", "in_window", "hs_ft", "confidence")

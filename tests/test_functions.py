@@ -114,7 +114,22 @@ def test_destination_returns(spark):
 
 def test_verdict_ignores_missing(spark):
     none = F.lit(None).cast("double")
-    assert one(spark, R.verdict(none, none)) is None
-    assert one(spark, R.verdict(F.lit(0.5), none)) == "agree"
-    assert one(spark, R.verdict(F.lit(1.5), F.lit(10.0))) == "close"
-    assert one(spark, R.verdict(F.lit(0.0), F.lit(31.0))) == "diverge"
+    levels = [R.Level("agree", 1.0, 15.0), R.Level("close", 2.0, 30.0)]
+    say = lambda h, d: one(spark, R.verdict(h, d, levels, "diverge"))
+    assert say(none, none) is None
+    assert say(F.lit(0.5), none) == "agree" and say(none, F.lit(20.0)) == "close"
+    assert say(F.lit(1.5), F.lit(10.0)) == "close"
+    assert say(F.lit(0.0), F.lit(31.0)) == "diverge"
+
+
+def test_skill_weights_sum_to_one():
+    from seastate.operators.metrics import SKILL_WEIGHTS
+    assert abs(sum(SKILL_WEIGHTS.values()) - 1.0) < 1e-9
+
+
+def test_curve_and_ladder(spark):
+    at = lambda x: one(spark, R.curve(F.lit(x).cast("double"), [[1.0, 0.0], [3.0, 1.0], [5.0, 0.5]]))
+    assert [at(x) for x in (0.0, 1.0, 2.0, 3.0, 4.0, 9.0, None)] == [0.0, 0.0, 0.5, 1.0, 0.75, 0.5, None]
+    ladder = [R.WindStep("a", 180.0, 3.0, 1.0, True), R.WindStep("b", 45.0, 10.0, 1.0, True), R.WindStep("c", 180.0, float("inf"), 0.0, False)]
+    rate = lambda s, d: one(spark, R.ladder_rating(F.lit(s).cast("double"), F.lit(d).cast("double"), F.lit(10.0), ladder))
+    assert [rate(2, 200), rate(3, 0), rate(4, 350), rate(4, 100), rate(11, 10), rate(None, 0), rate(1, None)] == ["a", "a", "b", "c", "c", None, None]

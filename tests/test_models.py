@@ -113,12 +113,12 @@ def test_flat_day_is_half(spark):
 
 
 def test_small_surf_scores_nothing(spark):
-    secs = O.load_sections()
-    df = spark.createDataFrame([(0.5, 15.0, 200.0, 5.0, 110.0, 1.0, "high"), (8.0, 15.0, 200.0, 5.0, 110.0, 1.0, "high"), (None, None, None, None, None, None, None)],
-                               "h double, p double, d double, s double, w double, t double, st string")
-    r = [x.ranked for x in O.rank_sections(df, secs, "h", "p", "d", "s", "w", "t", "st").collect()]
-    assert {s.score for s in r[0]} == {0} and r[1][0].section == "bowl" and r[1][0].score == 100
-    assert "no swell in window" in r[2][0].reasons and "long lines grow" in r[1][0].reasons
+    rule = O.load_break()
+    df = spark.createDataFrame([(0.5, 15.0, 171.0, 5.0, 352.0, "mid"), (8.0, 17.0, 171.0, 3.0, 352.0, "mid"), (None, None, None, None, None, None)],
+                               "h double, p double, d double, s double, w double, st string")
+    r = [x.ranked for x in O.rank_sections(df, rule, "h", "p", "d", "s", "w", "st").collect()]
+    assert {s.score for s in r[0]} == {0} and r[1][0].section == "wedge" and r[1][0].score > 80 and r[1][0].reasons == []
+    assert all("poor size" in s.reasons and s.score == 0 for s in r[2])
 
 
 def paired(spark, n=600):
