@@ -28,12 +28,12 @@ def hourly_obs(obs: DataFrame, partitions=(1, 2)) -> DataFrame:
     """One observation per (station, hour, partition).
 
     The latest ingest wins; equal ingest times fall to the reading nearest the
-    hour, then to the later reading.
+    hour, then to the later reading, then to the larger values.
     """
     snapped = obs.filter(F.col("partition").isin(*partitions)).withColumn("hour_utc", T.snap_hour(F.col("valid_utc")))
     near = -F.abs(epoch(F.col("valid_utc")) - epoch(F.col("hour_utc")))
     return latest_by(snapped, ["station", "hour_utc", "partition"],
-                     [F.col("ingest_utc"), near, F.col("valid_utc")],
+                     [F.col("ingest_utc"), near, F.col("valid_utc"), F.struct("hs_m", "tp_s", "dp_deg")],
                      ["hs_m", "tp_s", "dp_deg", "valid_utc", "ingest_utc"])
 
 
@@ -45,8 +45,8 @@ def obs_wide(obs: DataFrame) -> DataFrame:
     """
     snapped = obs.filter(F.col("partition").isin(1, 2)).withColumn("hour_utc", T.snap_hour(F.col("valid_utc")))
     near = -F.abs(epoch(F.col("valid_utc")) - epoch(F.col("hour_utc")))
-    order = F.struct(F.col("ingest_utc"), near.alias("near"), F.col("valid_utc"))
     value = F.struct("hs_m", "tp_s", "dp_deg")
+    order = F.struct(F.col("ingest_utc"), near.alias("near"), F.col("valid_utc"), value.alias("value"))
     picks = [F.max_by(value, F.when(F.col("partition") == p, order)).alias(f"_p{p}") for p in (1, 2)]
     out = snapped.groupBy("station", "hour_utc").agg(*picks)
     cols = []

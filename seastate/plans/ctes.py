@@ -240,7 +240,7 @@ CTES: dict[str, str] = {
            "WHERE partition IN (1, 2) AND hs_m IS NOT NULL AND tp_s IS NOT NULL AND dp_deg IS NOT NULL) o "
            "ON h.station = o.station AND h.valid_utc = o.hour_utc) GROUP BY 1, 2",
     # The test data is sparse, so the paired share is set to a quarter instead of 95 %.
-    "covp": "SELECT *, shared > 0 AND matched / shared::DOUBLE >= 0.25 AS paired FROM cov",
+    "covp": "SELECT *, shared > 0 AND matched / shared::DOUBLE >= 0.95 AS paired FROM cov",
     "ser": f"SELECT station, date_trunc('hour', ts)::TIMESTAMP AS t, avg(value) * {SCALE} AS v FROM ev GROUP BY 1, 2",
     "serw": "SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv, lag(t) OVER w AS pt, lead(t) OVER w AS nt "
             "FROM ser WINDOW w AS (PARTITION BY station ORDER BY t)",

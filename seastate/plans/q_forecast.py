@@ -52,8 +52,7 @@ def predicted(v):
 
 
 def cover(v):
-    # The test data is sparse, so the paired share is set to a quarter instead of 95 %.
-    return P.cycle_coverage(v.a, v.b, v.obs, threshold=0.25)
+    return P.cycle_coverage(v.a, v.b, v.obs)
 
 
 @query("flagship_agreement", f"""
@@ -217,11 +216,11 @@ def _(v):
 
 @query("a09_station_coverage", f"""
 SELECT station, {_COVCOLS}, CAST(coalesce(sum(matched) FILTER (WHERE paired), 0) AS BIGINT) AS paired_samples,
- {r6('round(least(1.0, count(*) FILTER (WHERE paired) / 40.0::DOUBLE), 3)')} AS progress_target,
+ {r6('round(least(1.0, count(*) FILTER (WHERE paired) / 365.0::DOUBLE), 3)')} AS progress_target,
  {iso('coalesce(min(cycle_utc) FILTER (WHERE in_a), min(cycle_utc) FILTER (WHERE in_b))')} AS earliest,
  {iso('coalesce(max(cycle_utc) FILTER (WHERE in_a), max(cycle_utc) FILTER (WHERE in_b))')} AS latest FROM covp GROUP BY station""")
 def _(v):
-    return P.station_coverage(cover(v), target_cycles=40)
+    return P.station_coverage(cover(v))
 
 
 @query("a10_doy_histogram", """
@@ -427,11 +426,11 @@ def _(v):
 
 
 @query("t06_stale_models", f"""
-SELECT scope, name, CAST(floor((epoch(nc) - epoch(trained_utc)) / 86400) AS INTEGER) AS age_days, floor((epoch(nc) - epoch(trained_utc)) / 86400) > 20 AS stale
+SELECT scope, name, CAST(floor((epoch(nc) - epoch(trained_utc)) / 86400) AS INTEGER) AS age_days, floor((epoch(nc) - epoch(trained_utc)) / 86400) > 120 AS stale
 FROM mdl JOIN (SELECT scope, max(trained_utc) AS nc FROM mdl GROUP BY 1) USING (scope)""")
 def _(v):
     newest = v.models.select("scope", F.col("trained_utc").alias("cycle_utc"))
-    return G.stale_models(v.models, newest, ["scope"], max_days=20).select("scope", "name", "age_days", "stale")
+    return G.stale_models(v.models, newest, ["scope"]).select("scope", "name", "age_days", "stale")
 
 
 @query("x05_correct_cycle", f"SELECT {KEYS}, b_sw1_source, " + ", ".join(

@@ -42,6 +42,23 @@ def _(v):
     return X.parse_station(station_lines(v)).select(F.col("path").alias("station"), (F.col("pos") - 2).alias("event_id"), "valid_utc", "hs_m", "tp_s", "dp_deg", "wind_ms")
 
 
+@query("s01_files_round_trip", f"SELECT station, event_id, {iso('valid_utc')} AS valid_utc, {r6('hs_m')} AS hs_m, tp_s, dp_deg FROM {_TXT}")
+def _(v):
+    """Station files, half of them with a plain header line, written below the shared folder and read whole."""
+    root = work_path(v.spark, "station-files")
+    odd = F.pmod(F.xxhash64("path"), F.lit(2)) == 1
+    value = F.when(odd & (F.col("pos") == 0), F.regexp_replace("value", "^#", "")).otherwise(F.col("value"))
+    # The number of a reading rides along as a column of its own.
+    value = F.concat_ws(" ", value, F.when(F.col("pos") == 0, F.lit("ID")).otherwise((F.col("pos") - 2).cast("string")))
+    lines = station_lines(v).filter(~(odd & (F.col("pos") == 1))).select(value.alias("value"), F.col("path").alias("station"), "pos")
+    lines.repartition("station").sortWithinPartitions("station", "pos").select("value", "station").write.partitionBy("station").text(root)
+    read = X.read_whole(v.spark, root)
+    at = F.array_position("header", F.lit("ID")).cast("int") - 1
+    ids = read.filter(~X.is_comment(F.col("value"))).select("path", "pos", F.get(X.tokens(F.col("value")), at).try_cast("long").alias("event_id"))
+    return (X.parse_station(read).join(ids, ["path", "pos"])
+            .select(F.regexp_extract("path", "station=([^/]+)/", 1).alias("station"), "event_id", "valid_utc", "hs_m", "tp_s", "dp_deg"))
+
+
 @query("w15_newest_usable", f"""SELECT station, {iso('valid_utc')} AS valid_utc, {r6('hs_m')} AS hs_m, tp_s FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY
  CASE WHEN hs_m IS NOT NULL AND tp_s IS NOT NULL THEN 2 WHEN hs_m IS NOT NULL THEN 1 ELSE 0 END DESC, valid_utc DESC) AS rn FROM {_TXT}) WHERE rn = 1""")
 def _(v):

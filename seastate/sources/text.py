@@ -1,7 +1,7 @@
 """Station and spectrum text files as DataFrames.
 
-Readers work on lines ``(path, pos, value)``. Only the header of each file is
-looked up by file; data lines are parsed where they are.
+Readers work on lines ``(path, pos, value)``, with the file's ``header`` in the
+row where the file was read whole, else looked up by file.
 """
 
 from __future__ import annotations
@@ -44,16 +44,34 @@ def time_of(year: Column, month: Column, day: Column, hour: Column, minute: Colu
                                 minute.try_cast("int"), F.lit(0).cast("decimal(16,6)"))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """First '#' line of each file as an array of names: one row per file."""
-    h = lines.filter(is_comment(F.col("value")))
-    h = h.groupBy("path").agg(F.min_by("value", "pos").alias("_h"))
-    return stage(h, {"header": tokens(F.regexp_replace("_h", "^[# ]+", ""))}).drop("_h")
+def read_whole(spark: SparkSession, paths) -> DataFrame:
+    """Small text files to (path, pos, value, header): each file is read whole and its first line goes with every other.
+
+    No join and no shuffle; for files larger than a task's memory use ``read_lines``, where headers are looked up by file.
+    """
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("_l"))
+    lines = raw.select("path", names_of(F.get("_l", F.lit(0))).alias("header"), F.posexplode("_l").alias("pos", "value"))
+    return lines.filter("pos > 0").select("path", F.col("pos").cast("long").alias("pos"), F.rtrim("value").alias("value"), "header")
+
+
+def names_of(line: Column) -> Column:
+    """Column names of a header line, with or without a leading '#'."""
+    return tokens(F.regexp_replace(line, "^[# ]+", ""))
+
+
+def headers(lines: DataFrame, plain: bool) -> DataFrame:
+    """Header of each file as an array of names and its place: the first line, or the first '#' line unless ``plain``."""
+    h = lines if plain else lines.filter(is_comment(F.col("value")))
+    h = h.filter(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "pos").alias("_h"), F.min("pos").alias("_at"))
+    return stage(h, {"header": names_of(F.col("_h"))}).drop("_h")
 
 
-def _with_header(lines: DataFrame) -> DataFrame:
+def _with_header(lines: DataFrame, plain: bool = False) -> DataFrame:
+    """Data lines with their tokens and the header of their file."""
     data = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != ""))
-    return stage(data.join(headers(lines), "path"), {"tok": tokens(F.col("value"))})
+    if "header" not in lines.columns:
+        data = data.join(headers(lines, plain), "path").filter(F.col("pos") > F.col("_at")).drop("_at")
+    return stage(data, {"tok": tokens(F.col("value"))})
 
 
 def named(header: Column, tok: Column, *names: str) -> Column:
@@ -68,7 +86,7 @@ def named(header: Column, tok: Column, *names: str) -> Column:
 def _by_name(lines: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
     """Data lines with the wanted tokens as columns and the line's instant as valid_utc."""
     parts = {"_y": ("YYYY", "YY"), "_mo": ("MM",), "_dy": ("DD",), "_hr": ("hh",), "_mi": ("mm",), **wanted}
-    d = _with_header(lines)
+    d = _with_header(lines, plain=True)
     d = stage(d, {k: named(F.col("header"), F.col("tok"), *names) for k, names in parts.items()})
     minute = F.when(F.array_contains("header", "mm"), F.col("_mi")).otherwise(F.lit("0"))
     return stage(d, {"valid_utc": time_of(year_of(F.col("_y")), F.col("_mo"), F.col("_dy"), F.col("_hr"), minute)})
@@ -92,7 +110,7 @@ def newest_usable(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Newest row with height and period, else with height only, else the newest row."""
     tier = F.when(F.col("hs_m").isNotNull() & F.col("tp_s").isNotNull(), 2).when(F.col("hs_m").isNotNull(), 1).otherwise(0)
     from ..operators.ordered import latest_by
-    return latest_by(rows, keys, [tier, F.col("valid_utc")])
+    return latest_by(rows, keys, [tier, F.col("valid_utc"), F.struct("hs_m", "tp_s", "dp_deg")])
 
 
 def parse_spectrum_pairs(lines: DataFrame, value: str, leading: int) -> DataFrame:
@@ -162,7 +180,7 @@ def parse_summary(lines: DataFrame) -> DataFrame:
                     U.parse_direction(F.col("_d")).alias("d"))
     from ..operators.ordered import latest_by
     best = latest_by(rows.filter(F.col("valid_utc").isNotNull()), ["path"],
-                     [F.col("h").isNotNull(), F.col("valid_utc")])
+                     [F.col("h").isNotNull(), F.col("valid_utc"), F.struct("h", "p", "d")])
     h = U.m_to_ft(F.col("h"))
     comp = F.struct(h.alias("height_ft"), F.round("p", 1).alias("period_s"), F.col("d").alias("direction_deg"),
                     U.observed_energy(h, F.col("p")).alias("energy"), F.lit("swell").alias("type"))

@@ -263,3 +263,22 @@ def test_stream_windows_equal_batch(spark, folder):
     assert got == [(T0, 2, 2.0)]           # the newest hour stays open behind the watermark
     dd = St.first_wins(spark.readStream.schema(schemas.OBS).parquet(folder + "/in/*"))
     assert dd.isStreaming
+
+
+def test_plain_header_lines_are_read(spark, folder):
+    plain = "YY MM DD hh WVHT DPD MWD\n96 03 01 05 1.5 9.0 SE\n96 03 01 06 MM 9.0 99\n"
+    put(folder, "old.txt", plain)
+    put(folder, "new.txt", STATION)
+    by_lines = X.parse_station(X.read_lines(spark, folder))
+    whole = X.parse_station(X.read_whole(spark, folder))
+    pick = lambda df: sorted((os.path.basename(r.path), r.valid_utc, r.hs_m or -1.0) for r in df.collect())
+    assert pick(by_lines) == pick(whole) and len([r for r in pick(whole) if r[0] == "old.txt"]) == 2
+    assert (("old.txt", dt.datetime(1996, 3, 1, 5), 1.5)) in pick(whole)
+
+
+def test_ties_do_not_depend_on_order(spark):
+    from seastate.operators.pairing import hourly_obs, obs_wide
+    rows = [("s", 0, 1, 2.0, 1), ("s", 0, 1, 1.0, 1)]
+    for some in (rows, rows[::-1]):
+        assert [r.hs_m for r in hourly_obs(obs(spark, some).coalesce(1)).collect()] == [2.0]
+        assert [round(r.obs_sw1_height_ft, 2) for r in obs_wide(obs(spark, some).coalesce(1)).collect()] == [6.56]
