@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import circular as C
+from ..session import materialise
 from .bias import SCALARS, apply_bias
 from .pairing import features
 from .waves import combined_fallback
 
 TARGETS = SCALARS + [f"{sw}_dp_{x}" for sw in ("sw1", "sw2") for x in ("sin", "cos")]
 MIN_ROWS = 100
+#: Boosting rounds of a production fit; each round costs a few passes over the stored features, so tests pass fewer.
+ROUNDS = 400
+
+
+def stations_of(train: DataFrame) -> list[str]:
+    """The stations of a training table, for the one-hot columns: one short row each."""
+    return [r.station for r in train.select("station").distinct().orderBy("station").collect()]
 
 
 def feature_columns(stations: list[str]) -> list[str]:
@@ -27,27 +35,43 @@ def feature_columns(stations: list[str]) -> list[str]:
     return cols
 
 
-def fit_trees(train: DataFrame, stations: list[str], targets: list[str] | None = None, rounds: int = 20,
-              depth: int = 5, step: float = 0.1, seed: int = 42) -> dict[str, PipelineModel]:
+def _usable(cols: list[str]) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def fit_report(train: DataFrame, stations: list[str], targets: list[str] | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+    """target, n (rows with the target and every feature) and fitted (whether that is enough), for every target."""
+    data = features(train, stations)
+    names = targets or TARGETS
+    counts = data.filter(_usable(feature_columns(stations))).agg(*[F.count(f"obs_{t}").alias(t) for t in names])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("n")) for t in names])).alias("r"))
+    return rows.select("r.target", "r.n", (F.col("r.n") >= min_rows).alias("fitted"))
+
+
+def fit_trees(train: DataFrame, stations: list[str], targets: list[str] | None = None, rounds: int = ROUNDS,
+              depth: int = 5, step: float = 0.1, seed: int = 42, min_rows: int = MIN_ROWS) -> dict[str, PipelineModel]:
     """One pipeline per target on rows whose target and features all exist.
 
-    Targets with fewer than 100 rows are left out; one aggregate counts them all.
+    The features are computed once and stored. Targets with fewer than ``min_rows`` rows are not fitted; ``fit_report``
+    names them.
     """
     cols = feature_columns(stations)
-    data = features(train, stations)
-    usable = F.lit(True)
-    for c in cols:
-        usable = usable & F.col(c).isNotNull()
     names = targets or TARGETS
-    counts = data.filter(usable).agg(*[F.count(f"obs_{t}").alias(t) for t in names]).first()
+    enough = [r.target for r in fit_report(train, stations, names, min_rows).collect() if r.fitted]
+    if not enough:
+        return {}
+    data = features(train, stations).filter(_usable(cols)).select(*[F.col(c).cast("double").alias(c) for c in cols], *[f"obs_{t}" for t in enough])
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data).select("features", *[f"obs_{t}" for t in enough])
+    data = materialise(data, "features")
     models = {}
-    for t in names:
-        if counts[t] < MIN_ROWS:
-            continue
-        rows = data.filter(usable & F.col(f"obs_{t}").isNotNull()).select(*cols, F.col(f"obs_{t}").alias("label"))
+    for t in enough:
         gbt = GBTRegressor(featuresCol="features", labelCol="label", predictionCol=f"pred_{t}", maxIter=rounds,
                            maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=True, checkpointInterval=10)
-        models[t] = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(rows)
+        rows = data.filter(F.col(f"obs_{t}").isNotNull()).select("features", F.col(f"obs_{t}").alias("label"))
+        models[t] = PipelineModel([VectorAssembler(inputCols=cols, outputCol="features"), gbt.fit(rows)])
     return models
 
 
@@ -61,10 +85,7 @@ def apply_trees(df: DataFrame, models: dict[str, PipelineModel], stations: list[
     """Predictions for every target; rows with a missing feature get null predictions."""
     cols = feature_columns(stations)
     data = features(df, stations)
-    usable = F.lit(True)
-    for c in cols:
-        usable = usable & F.col(c).isNotNull()
-    data = data.withColumn("_ok", usable)
+    data = data.withColumn("_ok", _usable(cols))
     # Fill so the assembler accepts the row; its prediction is blanked below.
     data = data.withColumns({f"_keep_{c}": F.col(c) for c in cols}).na.fill(0.0, cols)
     for t, model in models.items():
@@ -85,7 +106,12 @@ def detect_arch(registry: DataFrame) -> DataFrame:
                                .otherwise("?"))
 
 
-def correct_cycle(paired: DataFrame, table: DataFrame, fallback: bool = True) -> DataFrame:
-    """Corrected values beside the originals for every paired forecast row."""
+def correct_cycle(paired: DataFrame, arch: str, table: DataFrame | None = None, models: dict[str, PipelineModel] | None = None,
+                  stations: list[str] | None = None, fallback: bool = True) -> DataFrame:
+    """Corrected values beside the originals for every paired forecast row, by the branch that ``detect_arch`` names."""
     p = combined_fallback(paired, "b_", "b_sw1_source") if fallback else paired
-    return apply_bias(p, table)
+    if arch == "baseline" and table is not None:
+        return apply_bias(p, table)
+    if arch == "ML" and models:
+        return apply_trees(p, models, stations or [])
+    raise ValueError(f"no artefacts for a model of kind {arch!r}")

@@ -439,6 +439,6 @@ def _(v):
 def _(v):
     """Every paired forecast row corrected, the originals beside."""
     from ..operators.mlcorrect import correct_cycle
-    return correct_cycle(P.pair_models(v.a, v.b), fitted(v)).select(
+    return correct_cycle(P.pair_models(v.a, v.b), "baseline", fitted(v)).select(
         *P.PAIR_KEYS, "b_sw1_source", *[f"{m}_{s}" for m in "ab" for s in ("sw1_height_ft", "sw1_period_s", "sw1_direction_deg")],
         *[f"pred_{s}" for s in SCALARS])

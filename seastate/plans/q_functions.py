@@ -118,6 +118,24 @@ def _(v):
     return m.select("station", "cycle_utc", "valid_utc", "model", "category")
 
 
+_BOXES = R.load_boxes()
+
+
+def _num(x):
+    return "NULL" if x is None else "'Infinity'::DOUBLE" if x == float("inf") else f"{float(x)}::DOUBLE"
+
+
+@query("s17_rule_table", "SELECT rule_no::INTEGER AS rule_no, r.category, height_lo, (SELECT count(*) FROM (SELECT "
+       + box_sql("sw1_height_ft", "sw1_period_s", "sw1_direction_deg") + " AS c FROM fc) f WHERE f.c = r.category) AS n FROM (VALUES "
+       + ", ".join(f"({b.rule_no}, '{b.category}', {_num(b.height[0])})" for b in _BOXES) + ") r(rule_no, category, height_lo)")
+def _(v):
+    """The rule file as rows, each with the number of forecasts that fall into its category."""
+    m = R.match_boxes(v.forecast, _BOXES, "sw1_height_ft", "sw1_period_s", "sw1_direction_deg", R.load_box_categories()[0])
+    n = m.groupBy("category").agg(F.count("*").alias("n"))
+    rules = R.boxes_frame(v.spark, _BOXES)
+    return rules.join(n, "category", "left").select("rule_no", "category", "height_lo", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("f15_wind_rating", f"""
 SELECT event_id, {wind_sql('spd', 'deg', 'normal')} AS rating FROM (SELECT event_id, CASE WHEN k = 96 THEN NULL ELSE value / 3.0 END AS spd,
  CASE WHEN k <> 98 THEN ((k * 37 + user_id * 11) % 360)::DOUBLE END AS deg, (user_id * 37 % 360)::DOUBLE AS normal FROM ev)""")

@@ -261,6 +261,26 @@ def _(v):
     return inv.join(skill, ["scope", "name"]).drop("sw1_height_skill").select("scope", "name", "arch", "date_yymmdd", "version", "trained_ts", "composite_skill")
 
 
+@query("s14_meta_files", f"""
+SELECT scope, name, {iso('trained_utc')} AS trained_ts, {r6('composite_skill')} AS composite_skill FROM mrank""")
+def _(v):
+    """Model metadata written as JSON files, one per scope, and read back by the directory reader."""
+    from ..operators.metrics import composite_skill
+    root = work_path(v.spark, "model-meta")
+    docs = _meta(v).select(F.get_json_object("j", "$.scope").alias("scope"), "j")
+    docs.groupBy("scope").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).write.partitionBy("scope").text(root)
+    meta = J.read_model_meta(v.spark, f"{root}/*")
+    skill = composite_skill(Tb.meta_skill_parts(meta), ["scope", "name"])
+    inv = Tb.model_inventory(meta, "sea").select("scope", "name", "trained_ts")
+    return inv.join(skill, ["scope", "name"]).select("scope", "name", "trained_ts", "composite_skill")
+
+
+@query("o04_listing_order", "SELECT scope, name, row_number() OVER (PARTITION BY scope ORDER BY trained_utc DESC, name)::INTEGER AS place FROM mdl")
+def _(v):
+    """Models of each scope, newest first, names among equals, with their place as a column."""
+    return Tb.listed(v.models, ["scope"], [F.col("trained_utc").desc_nulls_last(), F.col("name")]).select("scope", "name", "place")
+
+
 @query("s15_append_or_update", f"""
 SELECT strftime(ts, '%Y-%m-%d') AS eval_date, station, count(*) AS n, {r6('max(value)')} AS top FROM ev GROUP BY 1, 2""")
 def _(v):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -28,6 +28,11 @@ def model_inventory(meta: DataFrame, prefix: str) -> DataFrame:
             .orderBy(F.col("trained_ts").desc_nulls_last(), "name"))
 
 
+def listed(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add ``place``, 1 for the first row of each group in a total order; sort by keys and place to print a listing."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def meta_skill_parts(meta: DataFrame, reference: str = "raw_A") -> DataFrame:
     """Model metadata to (scope, name, variable, model_value, ref_value) for the composite skill.
 

@@ -143,17 +143,25 @@ def test_trees_and_bias_beat_the_raw_models(spark):
     fixed = {r.variable: r.mae for r in M.error_metrics(B.apply_bias(test, B.fit_bias(train))).collect()}
     assert raw["sw1_height_ft"] > 0.4 and fixed["sw1_height_ft"] < 1e-9
     assert raw["sw1_direction_deg"] == pytest.approx(20) and fixed["sw1_direction_deg"] < 1e-6
-    names = ["sw1_height_ft", "sw1_dp_sin", "sw1_dp_cos"]
-    models = Ml.fit_trees(train, ["s0", "s1"], names, rounds=12, depth=5, step=0.3)
-    assert sorted(models) == sorted(names)
+    assert Ml.stations_of(train) == ["s0", "s1"]
+    models = Ml.fit_trees(train, ["s0", "s1"], rounds=10, depth=4, step=0.3)
+    assert sorted(models) == sorted(Ml.TARGETS)
     got = Ml.apply_trees(test, models, ["s0", "s1"])
     assert got.select(F.avg(F.abs(F.col("pred_sw1_height_ft") - F.col("obs_sw1_height_ft")))).first()[0] < raw["sw1_height_ft"]
-    assert got.filter(F.col("pred_sw1_direction_deg").isNull()).count() == 0
+    assert got.filter(F.col("pred_sw1_direction_deg").isNull() | F.col("pred_sw2_direction_deg").isNull()).count() == 0
+    for t in Ml.SCALARS:  # every biased scalar gets better, none much worse
+        err = Ml.features(got, ["s0", "s1"]).select(F.avg(F.abs(F.col(f"pred_{t}") - F.col(f"obs_{t}")))).first()[0]
+        assert err < max(raw[t], 0.8), t
+    by_kind = Ml.correct_cycle(test, "ML", models=models, stations=["s0", "s1"], fallback=False)
+    assert by_kind.filter("pred_sw2_period_s is null").count() == 0
+    with pytest.raises(ValueError):
+        Ml.correct_cycle(test, "?", fallback=False)
     with pytest.raises(ValueError):
         Ml.check_features(models["sw1_height_ft"], ["lead_hours"])
     holed = test.limit(3).withColumn("a_sw2_period_s", F.lit(None).cast("double"))
     assert Ml.apply_trees(holed, models, ["s0", "s1"]).filter("pred_sw1_height_ft is not null").count() == 0
-    assert Ml.fit_trees(train.limit(50), ["s0", "s1"], names) == {}
+    assert Ml.fit_trees(train.limit(50), ["s0", "s1"]) == {}
+    assert {(r.target, r.fitted) for r in Ml.fit_report(train.limit(50), ["s0", "s1"]).collect()} == {(t, False) for t in Ml.TARGETS}
 
 
 def test_unknown_cell_is_left_uncorrected(spark):
