@@ -13,27 +13,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, as one table each, across batch borders; the rows come sorted by the keys."""
-    held: list[pa.RecordBatch] = []
+def runs(batches: Iterator[pa.RecordBatch], *keys: str, least: int = 1) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, as one table each, across batch borders; the rows come sorted by the keys.
+
+    Runs of fewer than ``least`` rows are passed over without being built.
+    """
+    held: list[pa.RecordBatch] = []  # the run that is still open
     last = None
+    whole = lambda: [pa.Table.from_batches(held)] if sum(b.num_rows for b in held) >= max(1, least) else []
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
         cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(b.num_rows, bool)
+        new = np.zeros(n, bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
         head = tuple(c[0] for c in cols)
         if last is not None and head != last:
-            yield pa.Table.from_batches(held)
+            yield from whole()
             held = []
-        cut = [0, *np.flatnonzero(new).tolist(), b.num_rows]
-        for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if i:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
+        cut = np.concatenate([[0], np.flatnonzero(new), [n]])
+        held.append(b.slice(0, int(cut[1])))
+        if len(cut) > 2:
+            yield from whole()
+            size = np.diff(cut[1:-1])
+            for i in np.flatnonzero(size >= least):
+                yield pa.Table.from_batches([b.slice(int(cut[i + 1]), int(size[i]))])
+            held = [b.slice(int(cut[-2]), int(n - cut[-2]))]
         last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
+    yield from whole()
