@@ -13,8 +13,8 @@ groups, unless the similarities to the first member rule a link out (the Jaccard
 each other group leaves the task. So any two texts that share a band end in one group or have been
 compared, and no link between groups is lost, while a bucket of near copies costs no more pairs than it has members.
 
-``n_links`` counts the verified pairs a text takes part in. Within a group these are enough to connect it; they are not all
-pairs that reach the threshold.
+*Counts.* ``n_links`` counts the other texts at the threshold, all of them: every linked pair lies in one group, so inside each group all
+pairs are compared, on full sets, in blocks inside tasks; only a count per text and block leaves the task.
 
 Defined results: words are runs of non-blanks; a text of fewer than n words, but not none, is one n-gram; texts without words (null
 too) have no n-grams and link to nothing; equal rows are copies of each other; a null id counts as the smallest; an empty table
@@ -177,6 +177,18 @@ def across(left: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataF
 
 def _best_links(ys: list[np.ndarray], xs: list[np.ndarray], gy: np.ndarray, gx: np.ndarray, threshold: float):
     """(index into ys, index into xs, similarity): per y and group of xs, the most similar x that reaches the threshold."""
+    similar = _similar(ys, xs)
+    fits = (similar >= threshold) & (gy[:, None] != gx[None, :])
+    i, j = np.nonzero(fits)
+    order = np.lexsort((-similar[i, j], gx[j], i))
+    i, j = i[order], j[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (gx[j[1:]] != gx[j[:-1]])
+    return i[first], j[first], similar[i[first], j[first]]
+
+
+def _similar(ys: list[np.ndarray], xs: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of every y (row) with every x (column)."""
     size_y, size_x = np.array([len(v) for v in ys]), np.array([len(v) for v in xs])
     _, where, count = np.unique(np.concatenate(ys + xs), return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
@@ -192,20 +204,45 @@ def _best_links(ys: list[np.ndarray], xs: list[np.ndarray], gy: np.ndarray, gx:
         m = np.zeros((len(ys) + len(xs), COLUMNS), np.float32)
         m[row[a:b], column[a:b] - lo] = 1
         shared += m[: len(ys)] @ m[len(ys) :].T
-    similar = shared / np.maximum(1, size_y[:, None] + size_x[None, :] - shared).astype(np.float64)
     # Exact at the edge: counts are whole numbers far below the limit of float32.
-    fits = (similar >= threshold) & (gy[:, None] != gx[None, :])
-    i, j = np.nonzero(fits)
-    order = np.lexsort((-similar[i, j], gx[j], i))
-    i, j = i[order], j[order]
-    first = np.ones(len(i), bool)
-    first[1:] = (i[1:] != i[:-1]) | (gx[j[1:]] != gx[j[:-1]])
-    return i[first], j[first], similar[i[first], j[first]]
+    return shared / np.maximum(1, size_y[:, None] + size_x[None, :] - shared).astype(np.float64)
+
+
+def link_counts(grouped: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """id, n_links: how many other texts of its group reach the threshold with it; ``grouped`` has id and g (group).
+
+    The texts of a group are dealt to blocks of about ``BLOCK``, and every two blocks meet in one cell.
+    """
+    size = grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ks"))
+    dealt = grouped.join(size, "g").withColumn("k", F.pmod(F.xxhash64("id"), F.col("ks")))
+    dealt = dealt.select("g", "id", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ks") - 1)).alias("other"))
+    dealt = dealt.select("g", "id", "k", F.least("k", "other").alias("bx"), F.greatest("k", "other").alias("by"))
+    rows = dealt.join(texts, "id").repartition("g", "bx", "by").sortWithinPartitions("g", "bx", "by", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "g", "bx", "by", least=2):
+            ids, k = t["id"].to_numpy(), t["k"].to_numpy()
+            sets = [np.unique(ngram_sets(next(chunks(pa.array([x.as_py()], pa.string()))), n)[0]) for x in t["text"]]
+            if t["bx"][0] == t["by"][0]:
+                near = (_similar(sets, sets) >= threshold).sum(1) - 1
+            else:
+                left = k == t["bx"][0].as_py()
+                if left.all() or not left.any():
+                    continue
+                fits = _similar([sets[i] for i in np.flatnonzero(left)], [sets[i] for i in np.flatnonzero(~left)]) >= threshold
+                near = np.zeros(len(ids), np.int64)
+                near[left], near[~left] = fits.sum(1), fits.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.int64())], names=["id", "n_links"])
+
+    return rows.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL,
-            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x1 (hash of the text), class_id (smallest id of its group), n_copies (rows with the same words), n_links, n_words."""
+            id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """doc_id, x1 (hash of the text), class_id (smallest id of its group), n_copies (rows with the same words), n_links, n_words.
+
+    Without ``count_links``, n_links is null for texts that have links.
+    """
     bands, rows = bands_for(threshold, recall)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(SMALLEST)).alias("doc_id"),
@@ -233,16 +270,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     left = left.join(root.select(F.col("id").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
     left = materialise(left.withColumn("apart", F.col("g") != F.coalesce("lead_root", "lead")).drop("lead", "lead_root"), "left")
     more = materialise(across(left, texts, threshold, n).select("a", "b"), "across")
-    links = star.where(F.col("similarity") >= threshold).select("a", "b").unionByName(more).distinct()
     if not more.isEmpty():
         root = connected(more.unionByName(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "g")
+    degree = link_counts(linked, texts, threshold, n) if count_links else linked.select("id", F.lit(None).cast("long").alias("n_links"))
+    degree = degree.withColumn("has_links", F.lit(True))
     placed = node.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = placed.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    placed = placed.join(first, "root").join(degree, "id", "left").select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "class_id", "n_copies", "n_links")
+    placed = placed.join(first, "root").join(degree, "id", "left").select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "class_id", "n_copies",
+                                                                              F.when(F.col("has_links"), F.col("n_links")).otherwise(0).alias("n_links"))
     worded = signed.where("n_words > 0").join(materialise(placed, "placed"), (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
-    out = worded.select("doc_id", "x1", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_words")
+    out = worded.select("doc_id", "x1", "class_id", "n_copies", "n_links", "n_words")
     alone = signed.where("n_words = 0").select("doc_id", "x1", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"),
                                                F.lit(0).cast("long").alias("n_links"), "n_words")
     back = F.when(F.col("doc_id") != SMALLEST, F.col("doc_id"))
@@ -251,7 +290,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id; of rows with that id and text, one."""
-    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("x1").alias("kept_x")).distinct()
+    found = classes(docs, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("x1").alias("kept_x")).distinct()
     mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("x"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("id"))
     kept = mine.join(found, (F.col("id") == F.coalesce("kept_id", F.lit(SMALLEST))) & (F.col("x") == F.col("kept_x")))

@@ -91,6 +91,29 @@ def test_blocks_find_the_best_link_to_each_group():
     assert {(a, g[8 + b]): pytest.approx(v) for a, b, v in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)} == want
 
 
+def test_join_counts_every_link(spark, monkeypatch):
+    """Mutually similar variants, a drifting chain and exact copies, in blocks far smaller than the groups."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(200)], {}
+    for i in range(40):
+        mine = list(base)
+        mine[5 * i] = word()
+        texts[i] = " ".join(mine)
+    text = [word() for _ in range(200)]
+    for i in range(30):
+        text[5 * i] = word()
+        texts[100 + i] = " ".join(text)
+    texts |= {200: "a b", 201: " ".join(word() for _ in range(50))}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    want = {d: sum(e != d and len(s & o) >= 0.8 * len(s | o) for e, o in sets.items()) for d, s in sets.items()}
+    assert {want[d] for d in range(40)} == {39} and 0 < min(want[100 + i] for i in range(30)) < 29
+    rows = [*texts.items(), (0, texts[0])]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(rows)
+
+
 def test_join_on_odd_rows(spark, odd, none):
     got = jaccard.classes(odd).collect()
     assert len(got) == odd.count()
