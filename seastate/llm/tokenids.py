@@ -7,13 +7,14 @@ Frequent ids have small ranks and take one byte. Reading looks each control byte
 Spark's writer commits the files, so a lost executor or a retried task leaves no half-written part, on any store.
 
 *Work.* Texts are encoded where they are read. A text is cut into the pieces that the tokenizer's own splitter would give (checked
-by asking it about each character once), and every distinct piece is encoded once per worker by the tokenizers library; its
+by asking it about each character once), and every distinct piece is encoded once per worker by the tokenizers library; a text that
+holds the string of an added token (such as an end-of-text mark) goes through the library's own ``encode``. The
 memory of pieces is emptied at ``CACHE_PIECES``. The ids are stored once, counted, dealt by document id and coded. Only compressed ids
 are shuffled. The rank table has as many rows as the vocabulary, the part table as the output has partitions.
 
 Defined results: a null text is an empty one and holds only the end id; rows without an id come first; rows with equal ids are
-ordered by a hash of the text, then by their place in the input; an empty table gives empty files; special tokens' strings are
-ordinary text; other columns are not looked at. Pieces are told apart by 64-bit hashes.
+ordered by a hash of the text, then by their place in the input; an empty table gives empty files; ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``, so an added token's string in a text is that token; other columns are not looked at. Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.chars = {i: c for i, c in enumerate(_byte_chars())}
         self.kind = np.full(0x110000, _NEW, np.uint8)
         self.clear()
@@ -100,8 +102,36 @@ class PieceEncoder:
         at = np.append(lead, len(data))[np.flatnonzero(start[: n + 1])]
         return at[:-1], at[1:]
 
+    def _marked(self, chunk: Chunk) -> list[int]:
+        """Rows that hold the string of an added token."""
+        raw, rows = chunk.data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(chunk.begin, at, side="right")) - 1
+                if at + len(token) <= chunk.end[row]:
+                    rows.add(row)
+                    at = raw.find(token, int(chunk.end[row]))
+                else:  # only where two rows meet
+                    at = raw.find(token, at + 1)
+        return sorted(rows)
+
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, number of ids per row)."""
+        ids, size = self._encode_plain(chunk)
+        marked = self._marked(chunk)
+        if not marked:
+            return ids, size
+        stop, out, at = np.cumsum(size), [], 0
+        size = size.copy()
+        for i in marked:
+            own = np.array(self.tok.encode(chunk.text(i), add_special_tokens=False).ids, np.uint32)
+            out += [ids[at : stop[i] - size[i]], own]
+            at, size[i] = stop[i], len(own)
+        return np.concatenate([*out, ids[at:]]), size
+
+    def _encode_plain(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with added tokens' strings as ordinary text."""
         begin, end = self.pieces(chunk)
         rows = len(chunk.begin)
         if not len(begin):

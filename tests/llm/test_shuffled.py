@@ -333,6 +333,19 @@ def test_token_files_on_odd_rows(spark, odd, none):
     assert queries.token_digest(none).collect() == []
 
 
+def test_token_files_know_added_tokens(spark):
+    tok, mark = Tokenizer.from_file(BPE), "<|endoftext|>"
+    texts = [f"a {mark} b", "plain text", mark, "", f"{mark}{mark} it's{mark}\nend ", "<|endof", "text|> é", f"漢字 {mark} {mark[:-1]}"]
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in queries.token_digest(rows).orderBy("start").collect()] == want
+
+
 def test_token_query(spark, sample):
     got = [tuple(r) for r in queries.QUERIES["op10_token_id_output"](spark, sample).orderBy("start").collect()]
     assert got == expected_digest(sorted(texts_of(spark, sample).items()))
