@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -145,7 +147,19 @@ class _Stream:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "greek" if any("Ͱ" <= c <= "Ͽ" for c in word) else "latin"
+    if any("Ѐ" <= c <= "ӿ" for c in word):
+        return "cyrillic"
+    if any("Ͱ" <= c <= "Ͽ" for c in word):
+        return "greek"
+    return "latin" if any(unicodedata.name(c, "").startswith("LATIN") for c in word) else "other"
+
+
+@lru_cache(maxsize=4096)
+def _neighbours(c: str) -> str:
+    """Letters of the same script and category among the 256 code points around an uncommon letter, whose case can be changed and back."""
+    kind, script, base = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0], ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(base, base + 256)) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script
+                   and (kind != "Ll" or len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x))
 
 
 def _like(c: str, s: _Stream, hexa: bool = False) -> str:
@@ -155,8 +169,8 @@ def _like(c: str, s: _Stream, hexa: bool = False) -> str:
     if not c.isalpha():
         return c
     low = c.lower()
-    pool = "abcdef" if hexa else next((p for p in _LETTERS.values() if low in p), None)
-    if pool is None:
+    pool = "abcdef" if hexa else next((p for p in _LETTERS.values() if low in p), None) or _neighbours(low[0])
+    if not pool:
         return c
     new = pool[s.below(len(pool))]
     return new.upper() if c != low else new
@@ -194,6 +208,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         # A permutation of the list keyed by script and gender keeps given names apart.
         order = sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key, digest_size=8).digest())
         return order[(order.index(next(n for n in names if n.casefold() == value)) + 1 + attempt % (len(names) - 1)) % len(order)].casefold()
+    if _script(value) == "other":
+        return "".join(_like(c, s) for c in value + (value[-1] if attempt >= 8 else ""))
     bits = SYLLABLES[_script(value)]
     n = max(2, min(5, (len(value) + 1) // 2)) + (1 if attempt >= 8 else 0)
     tail = {"latin": "nrstl", "cyrillic": "внрк", "greek": "ς"}[_script(value)]

@@ -209,6 +209,17 @@ def test_surrogates_keep_form_and_identity():
         assert len(mapped) == len(names) and mapped == {n.casefold() for n in names}, (script, gender)
 
 
+def test_surrogates_of_letters_of_any_script():
+    key = b"k"
+    for local in ("محمود.علي", "שרהכהן", "王小明李", "김민수박", "йёйёйё", "øłčøłč", "ØŁČØŁČ", "դավիթ"):
+        new = surrogates.rewrite(f"to {local}@mail.example.com now", key, {})[0].split()[1].split("@")[0]
+        assert new != local and len(new) == len(local) and sum(a == b for a, b in zip(new, local, strict=True) if a.isalpha()) <= 2, local
+        assert [(surrogates.unicodedata.name(c).split()[0], c.isalpha(), c.isupper()) for c in new] == \
+            [(surrogates.unicodedata.name(c).split()[0], c.isalpha(), c.isupper()) for c in local]
+    new = surrogates.rewrite("Mr 王小明 met Mr Çelik", key, {})[0].split()
+    assert new[1] != "王小明" and all(surrogates.unicodedata.name(c).startswith("CJK") for c in new[1]) and surrogates._script(new[4]) == "latin"
+
+
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     """With surrogates of few values, all entities still end apart, and none equals a value of the corpus."""
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, key, attempt=0: f"{kind}{zlib.crc32(f'{value}/{attempt}'.encode()) % 60}")
