@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import chaining, decontaminate, jaccard, lmscore, mixing, quality, surrogates, tokencount, tokenids, urlrules
+from . import (
+    cellcodes,
+    chaining,
+    decontaminate,
+    jaccard,
+    lmscore,
+    mixing,
+    quality,
+    resample,
+    surrogates,
+    tokencount,
+    tokenids,
+    toxicity,
+    urlrules,
+)
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +187,64 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.summarise(*chaining.find_repeats(read(spark, sf_dir, "documents")))
+
+
+RESAMPLING_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+      FROM (SELECT unnest(range(256)) AS i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+y AS (SELECT w, list_transform(range(1, length(x), 2), lambda k: 16 * (strpos('0123456789ABCDEF', substr(x, k, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, k + 1, 1)) - 1) AS b FROM h),
+k AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bw JOIN k USING (w) GROUP BY bucket),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000)::DOUBLE)
+             / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT AS h FROM d LEFT JOIN w ON d.r = w.r),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score, n_features >= 20 AS fit FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (fit) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * n // 100 THEN place END AS rank FROM o"""
+
+
+@query("op11_importance_resampling", RESAMPLING_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def codes_sql(parts: int = cellcodes.PARTS, entries: int = cellcodes.ENTRIES, rounds: int = cellcodes.ROUNDS) -> str:
+    """Every part against every entry, in doubles that hold the integers exactly; tables whose vectors have one length, a multiple of ``parts``."""
+    nearest = f"""SELECT r, p, min((xx - 2 * list_inner_product(x, c) + cc) * {entries} + k) AS best FROM v JOIN {{book}} USING (p) GROUP BY r, p"""
+    steps = []
+    for i in range(rounds):
+        steps += [f"a{i} AS MATERIALIZED ({nearest.format(book=f'c{i}')})",
+                  f"m{i} AS (SELECT p, k, list(q ORDER BY j) AS c FROM (SELECT p, k, j, floor(sum(e) / count(*)) AS q FROM "
+                  f"(SELECT p, best % {entries} AS k, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM a{i} JOIN v USING (r, p)) GROUP BY p, k, j) GROUP BY p, k)",
+                  f"c{i + 1} AS MATERIALIZED (SELECT p, k, c, list_inner_product(c, c) AS cc FROM (SELECT o.p, o.k, coalesce(m{i}.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} ON m{i}.p = o.p AND m{i}.k = o.k))"]
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda z: floor({cellcodes.SCALE} * z::DOUBLE)) AS x FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r FROM e),
+v AS MATERIALIZED (SELECT r, p, x, list_inner_product(x, x) AS xx FROM (
+      SELECT r, p, x[len(x) // {parts} * p + 1:len(x) // {parts} * (p + 1)] AS x FROM n, (SELECT unnest(range({parts})) AS p))),
+c0 AS MATERIALIZED (SELECT p, (r - 1)::DOUBLE AS k, x AS c, xx AS cc FROM v WHERE r <= {entries}),
+{", ".join(steps)},
+f AS (SELECT r, string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY p) AS code, sum(floor(best / {entries}))::BIGINT AS error FROM ({nearest.format(book=f"c{rounds}")}) GROUP BY r),
+h AS (SELECT sha256(string_agg(b::BIGINT::VARCHAR, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM (SELECT p, k, unnest(c) AS b, generate_subscripts(c, 1) AS j FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM n JOIN f USING (r), h"""
+
+
+@query("op13_vector_codes", codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = cellcodes.compress(read(spark, sf_dir, "embeddings"))
+    return cellcodes.with_label_errors(codes).drop("label").withColumn("codebooks_sha256", F.lit(cellcodes.digest(books)))
