@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import units as U
 from ..operators import waves as Wv
-from ..session import work_path
+from ..session import materialise, work_path
 from ..sources import archive as A
 from ..sources import jsonfeeds as J
 from ..sources import tables as Tb
@@ -214,7 +214,7 @@ def _(v):
     Tb.append_or_update(v.spark, rows.filter("model = 'click'").withColumn("top", F.lit(-1.0)), path, ["model"])
     for part in ("model = 'click'", "model = 'view'", "model not in ('click', 'view')"):
         Tb.append_or_update(v.spark, rows.filter(part), path, ["model"])
-    return v.spark.read.schema("model string, n long, top double, eval_date string").parquet(path)
+    return Tb.read_evaluations(v.spark, path, "model string, n long, top double")
 
 
 @query("s10_schema_drift", f"""
@@ -229,6 +229,21 @@ def _(v):
     return rows.groupBy("station", "valid_utc", "partition").agg(F.max("hs_m").alias("hs_m"))
 
 
+@query("s10_verified_scan", _CLEAN)
+def _(v):
+    """Both roots and a folder whose files lack a column: the report names that one, the rest is read as often as its manifest says."""
+    roots = [work_path(v.spark, "obs-hist"), work_path(v.spark, "obs-live"), work_path(v.spark, "obs-other")]
+    for r, s in zip(roots, ("archive", "realtime")):
+        A.write_observations(v.obs.filter(F.col("source") == s), r)
+    v.obs.drop("dp_deg").withColumn("station", F.lit("none")).write.parquet(roots[2])
+    scan, report = A.verified_observations(v.spark, roots)
+    rows = materialise(scan.rows.drop("path"), "verified")
+    scan.check()
+    if {r.state for r in report.select("state").distinct().collect()} != {"lacks columns"}:
+        raise ValueError("the folder without directions was not reported")
+    return A.clean_observations(rows)
+
+
 @query("s13_bias_store", f"SELECT station, lead_hours, variable, {r6('bias')} AS bias, {r6('s')} AS s, {r6('c')} AS c, n FROM bias")
 def _(v):
     from .q_forecast import fitted
@@ -289,7 +304,7 @@ def _(v):
     rows = v.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("eval_date"), "station").agg(F.count("*").alias("n"), F.max("value").alias("top"))
     Tb.append_or_update(v.spark, rows.filter(F.col("eval_date") < "2024-01-15").withColumn("top", F.lit(0.0)), path, ["station"])
     Tb.append_or_update(v.spark, rows, path, ["station"])
-    return v.spark.read.schema("station string, n long, top double, eval_date string").parquet(path)
+    return Tb.read_evaluations(v.spark, path, "station string, n long, top double")
 
 
 @query("s16_flatten_sites", "SELECT line AS region, 'b' || min(site) OVER (PARTITION BY line) AS buoy, 's' || site AS name, (round(shore_normal, 6) + 0.0) AS shore_normal FROM site")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,34 @@ def materialise(df, label: str):
     path = work_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, as Spark's own readers use it (a classic session; Spark Connect has none)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path, with its scheme."""
+    fs, at = _store(spark, path)
+    return fs.makeQualified(at).toString().rstrip("/")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none if it is not there."""
+    fs, at = _store(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def make(spark: SparkSession, path: str) -> None:
+    """Create an empty folder, at once or not at all."""
+    fs, at = _store(spark, path)
+    fs.mkdirs(at)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete files and folders that are no longer needed."""
+    for p in paths:
+        fs, at = _store(spark, p)
+        fs.delete(at, True)

@@ -7,30 +7,28 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ordered import latest_by
-from .fold import exists, fold, load, replace_parts, touched
+from ..session import materialise
+from . import manifest, snapshots
+from .fold import fold
 
 FORECAST_PARTITIONS = ["model", "station", "year", "month"]
 OBS_PARTITIONS = ["station", "year", "month"]
 
 
-def _plain_partitions(spark: SparkSession) -> None:
-    # A station id made of digits must stay a string.
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-
-
 def read_forecasts(spark: SparkSession, root: str, models=None, stations=None, months=None,
                    columns: list[str] | None = None) -> DataFrame:
-    """Archive scan. Filters on model, station and (year, month) prune directories; a file that cannot be read fails the scan."""
-    df = load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS)
+    """Archive scan. Filters on model, station and (year, month) pick directories before any is listed; a file that cannot be read fails the scan."""
+    which = F.lit(True)
     if models:
-        df = df.filter(F.col("model").isin(*models))
+        which = which & F.col("model").isin(*models)
     if stations:
-        df = df.filter(F.col("station").isin(*stations))
+        which = which & F.col("station").isin(*stations)
     if months:
         test = F.lit(False)
         for y, m in months:
             test = test | ((F.col("year") == str(y)) & (F.col("month") == f"{m:02d}"))
-        df = df.filter(test)
+        which = which & test
+    df = snapshots.load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS, which)
     return df.select(*columns) if columns else df.drop("year", "month")
 
 
@@ -46,80 +44,58 @@ def missing_cycles(rows: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
 def write_forecasts(rows: DataFrame, root: str, force: bool = False) -> None:
     """Add cycles to the archive: one file set per (model, station, month).
 
-    Present cycles are skipped unless forced. Each commit appends under a
-    committed write, so readers never see half a cycle; forced cycles are
-    rewritten per month together with what the month already holds.
+    Present cycles are skipped unless forced; forced cycles are rewritten per month together with what the month already holds.
+    Either way rows are written once and become visible all at once.
     """
     spark = rows.sparkSession
     keys = ["model", "station", "cycle_utc"]
     new = with_year_month(rows, "cycle_utc")
-    if exists(spark, root):
-        old = touched(load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS), new, FORECAST_PARTITIONS)
-        if force:
-            replace_parts(missing_cycles(old, new, keys).unionByName(new.select(*old.columns)), root, FORECAST_PARTITIONS)
-            return
-        new = missing_cycles(new, old, keys)
-    _spread(new, FORECAST_PARTITIONS).write.mode("append").partitionBy(*FORECAST_PARTITIONS).parquet(root)
-
-
-def _spread(df: DataFrame, partitions: list[str]) -> DataFrame:
-    """Bring the rows of one directory together; AQE splits a directory that is too large for one task."""
-    return df.hint("rebalance", *partitions)
-
-
-def _plain_path(c: Column) -> Column:
-    """One spelling of a file address, whoever lists it."""
-    return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    if not snapshots.exists(spark, root):
+        snapshots.append_rows(new, root, FORECAST_PARTITIONS)
+        return
+    old = snapshots.touched(new, root, schemas.FORECAST, FORECAST_PARTITIONS)
+    if force:
+        snapshots.replace_parts(missing_cycles(old, new, keys).unionByName(new.select(*old.columns)), root, FORECAST_PARTITIONS)
+    else:
+        snapshots.append_rows(missing_cycles(new, old, keys), root, FORECAST_PARTITIONS)
 
 
 def read_observations(spark: SparkSession, roots: list[str], drifted: DataFrame | None = None) -> DataFrame:
-    """Both archive roots, explicit schema, one union; files listed in ``drifted`` are left out.
+    """Both archive roots, explicit schema, one union; files listed in ``drifted`` are left out of the scan.
 
-    A file that cannot be read fails the scan, unless a report was asked for first and given here.
+    A file that cannot be read fails the scan, also beside a report: only what the report names is passed over.
     """
-    _plain_partitions(spark)
-    schema = schemas.OBS + ", year string, month string"
+    if drifted is not None:
+        listed = None
+        for r in roots:
+            one = manifest.data_files(spark, r)
+            listed = one if listed is None else listed.unionByName(one)
+        return manifest.read_files(spark, listed.join(drifted.select("path"), "path", "left_anti"), schemas.OBS).drop("path")
     out = None
     for r in roots:
-        df = spark.read.schema(schema).option("ignoreCorruptFiles", drifted is not None).parquet(r)
-        df = df.select("*", _plain_path(F.col("_metadata.file_path")).alias("path")).drop("year", "month")
+        stored = snapshots.exists(spark, r)
+        df = snapshots.load(spark, r, schemas.OBS, OBS_PARTITIONS).drop("year", "month") if stored else spark.read.schema(schemas.OBS).parquet(r)
         out = df if out is None else out.unionByName(df)
-    if drifted is not None:
-        out = out.join(drifted.select("path"), "path", "left_anti")
-    return out.drop("path")
+    return out
 
 
 def schema_drift(spark: SparkSession, roots: list[str], expected: list[str]) -> DataFrame:
-    """(path, missing, error) for parquet files that lack expected columns or cannot be read.
+    """(path, missing, error) for parquet files that lack expected columns or whose footer cannot be read."""
+    return manifest.manifest(spark, roots, expected).where(manifest.faulty()).select("path", "missing", "error")
+
 
-    The files are listed by Spark and their footers are read inside tasks, so
-    neither the listing nor the check runs as a loop on the driver.
+def verified_observations(spark: SparkSession, roots: list[str]) -> tuple[manifest.CountedScan, DataFrame]:
+    """(the readings of all files that are whole, counted; a report of the others).
+
+    Every file is decoded once for the report, so a spoilt page, a truncated and a missing file are all found before the scan; ``check`` on
+    the scan compares the rows it gave with the manifest.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
-        "recursiveFileLookup", "true").load(roots).select("path")
-
-    def footers(batches):
-        import pandas as pd
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for pdf in batches:
-            missing, errors = [], []
-            for path in pdf["path"]:
-                where = path.replace("file:", "file://", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-                store, inner = fs.FileSystem.from_uri(where)
-                try:
-                    names, error = pq.read_schema(inner, filesystem=store).names, None
-                except (pa.ArrowException, OSError) as e:  # the report is about these
-                    names, error = expected, str(e)[:200]
-                missing.append(sorted(set(expected) - set(names)))
-                errors.append(error)
-            yield pd.DataFrame({"path": pdf["path"], "missing": missing, "error": errors})
-
-    found = files.mapInPandas(footers, "path string, missing array<string>, error string")
-    found = found.filter((F.size("missing") > 0) | F.col("error").isNotNull())
-    return found.select(_plain_path(F.col("path")).alias("path"), "missing", "error")
+    expected = [c.split()[0] for c in schemas.OBS.split(", ")]
+    inside = [c for c in expected if c not in OBS_PARTITIONS]
+    listed = materialise(manifest.manifest(spark, roots, inside), "manifest")
+    report = materialise(manifest.verify(spark, listed, schemas.OBS), "scan-report")
+    whole = listed.join(report.where("state = 'ok'").select("path"), "path", "left_semi")
+    return manifest.counted(spark, whole, schemas.OBS), report.where("state != 'ok'")
 
 
 OBS_KEYS = ["station", "valid_utc", "partition"]
@@ -129,15 +105,18 @@ def _obs_order() -> list[Column]:
     return [F.col("ingest_utc"), F.col("source"), F.struct("hs_m", "tp_s", "dp_deg")]
 
 
+def _with_values(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("hs_m").isNotNull() | F.col("tp_s").isNotNull() | F.col("dp_deg").isNotNull())
+
+
 def clean_observations(rows: DataFrame) -> DataFrame:
     """Drop all-null readings; one row per (station, valid time, partition), latest ingest wins."""
-    have = F.col("hs_m").isNotNull() | F.col("tp_s").isNotNull() | F.col("dp_deg").isNotNull()
-    return latest_by(rows.filter(have), OBS_KEYS, _obs_order())
+    return latest_by(_with_values(rows), OBS_KEYS, _obs_order())
 
 
 def write_observations(rows: DataFrame, root: str) -> None:
     """Merge readings into the archive: stored months keep their rows, the latest ingest wins per reading."""
-    fold(with_year_month(clean_observations(rows), "valid_utc"), root, schemas.OBS, OBS_KEYS, _obs_order(), OBS_PARTITIONS)
+    fold(with_year_month(_with_values(rows), "valid_utc"), root, schemas.OBS, OBS_KEYS, _obs_order(), OBS_PARTITIONS)
 
 
 def pivot_samples(samples: DataFrame, keys: list[str], variable: str, value: str, names: list[str]) -> DataFrame:

@@ -1,81 +1,12 @@
-"""Stored tables that rows are folded into: merged by key, rewritten by folder, whole after a crash.
-
-The merged folders are first written beside the table and marked as ready, then put in place. A crash before the mark leaves the
-table as it was; a crash after it is finished by the next write, and readers see the ready rows meanwhile. One writer at a time.
-Everything goes through Spark's readers and writers, so any store and Spark Connect will do.
-"""
+"""Rows folded into a stored table: merged by key, partition by partition, committed as one snapshot."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import latest_by
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("x int").parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
-    return True
-
-
-def _beside(path: str) -> tuple[str, str]:
-    p = path.rstrip("/")
-    return f"{p}.pending", f"{p}.pending-mark"
-
-
-def _mark(spark: SparkSession, path: str, ready: bool) -> None:
-    spark.range(1).select(F.lit(ready).alias("ready")).write.mode("overwrite").parquet(_beside(path)[1])
-
-
-def _ready(spark: SparkSession, path: str) -> bool:
-    mark = _beside(path)[1]
-    return exists(spark, mark) and not spark.read.schema("ready boolean").parquet(mark).where("ready").isEmpty()
-
-
-def _put(spark: SparkSession, path: str, parts: list[str]) -> None:
-    spark.read.parquet(_beside(path)[0]).hint("rebalance", *parts).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-    _mark(spark, path, False)
-
-
-def recover(spark: SparkSession, path: str, parts: list[str]) -> bool:
-    """Finish a write that was ready when its job died; returns whether there was one."""
-    found = _ready(spark, path)
-    if found:
-        _put(spark, path, parts)
-    return found
-
-
-def replace_parts(rows: DataFrame, path: str, parts: list[str]) -> None:
-    """Put ``rows`` in place of all rows of the folders they fall into."""
-    spark = rows.sparkSession
-    recover(spark, path, parts)
-    _mark(spark, path, False)
-    rows.write.mode("overwrite").parquet(_beside(path)[0])
-    _mark(spark, path, True)
-    _put(spark, path, parts)
-
-
-def load(spark: SparkSession, path: str, schema: str, parts: list[str]) -> DataFrame:
-    """The table with its folder columns as strings, ready rows in place of those they replace."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")  # a station id of digits stays a string
-    extra = "".join(f", {p} string" for p in parts if f"{p} " not in f" {schema}".replace(",", " "))
-    table = spark.read.schema(schema + extra).parquet(path)
-    if not _ready(spark, path):
-        return table
-    pending = spark.read.parquet(_beside(path)[0])
-    return table.join(pending.select(*parts).distinct(), parts, "left_anti").unionByName(pending.select(*table.columns))
-
-
-def touched(old: DataFrame, new: DataFrame, parts: list[str]) -> DataFrame:
-    """Old rows of the folders that new rows fall into; the join prunes the scan's folders."""
-    return old.join(new.select(*parts).distinct(), parts, "left_semi")
+from .snapshots import exists, replace_parts, touched
 
 
 def fold(new: DataFrame, path: str, schema: str, keys: list[str], order: list[Column], parts: list[str], skip_known: bool = False) -> bool:
@@ -83,11 +14,9 @@ def fold(new: DataFrame, path: str, schema: str, keys: list[str], order: list[Co
 
     With ``skip_known`` a batch that would change nothing is not written: every key is stored with an order at least as great.
     """
-    spark = new.sparkSession
-    recover(spark, path, parts)
     best = latest_by(new, keys, order)
-    if exists(spark, path):
-        old = touched(load(spark, path, schema, parts), new, parts).select(*best.columns)
+    if exists(new.sparkSession, path):
+        old = touched(new, path, schema, parts).select(*best.columns)
         if skip_known:
             rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
             had = old.select(*keys, rank.alias("_had"))

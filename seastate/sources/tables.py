@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import timefn as T
 from ..operators.bias import DIRECTIONS, SCALARS
-from .fold import exists, load, replace_parts, touched
+from .snapshots import exists, load, replace_parts, touched
 
 
 def save_bias(table: DataFrame, path: str) -> None:
@@ -75,10 +75,15 @@ def append_or_update(spark: SparkSession, rows: DataFrame, path: str, keys: list
     rows = rows.withColumn(key, F.col(key).cast("string"))
     if exists(spark, path):
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != key)
-        rows = replace_rows(touched(load(spark, path, schema, [key]), rows, [key]).select(*rows.columns), rows, [*keys, key])
+        rows = replace_rows(touched(rows, path, schema, [key]).select(*rows.columns), rows, [*keys, key])
     replace_parts(rows, path, [key])
 
 
+def read_evaluations(spark: SparkSession, path: str, schema: str, key: str = "eval_date") -> DataFrame:
+    """The rows that ``append_or_update`` keeps; ``schema`` without the date column."""
+    return load(spark, path, schema, [key])
+
+
 def flatten_sites(regions: DataFrame) -> DataFrame:
     """Nested (region, buoy, spots) to one row per (region, spot); a spot may be in several regions."""
     return regions.select("region", "buoy", F.explode("spots").alias("_s")).select("region", "buoy", "_s.*")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import timefn as T
 from ..sources.archive import OBS_KEYS
-from ..sources.fold import fold, load
+from ..sources.fold import fold
+from ..sources.snapshots import drop_parts, load
 from ..sources.tables import append_or_update
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -77,14 +78,8 @@ def retain(table: DataFrame, ts: str, days: int = 14, now=None) -> DataFrame:
 
 
 def prune_days(spark: SparkSession, path: str, keep_from: str) -> None:
-    """Delete whole day folders before a date: retention without rewriting rows."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("day=") and name[4:] < keep_from:
-            fs.delete(st.getPath(), True)
+    """Take whole days before a date out of a table: retention without reading or rewriting rows."""
+    drop_parts(spark, path, ["day"], F.col("day") < keep_from)
 
 
 def freshness(table: DataFrame, keys: list[str], ingest: str, now, max_hours: int = 24) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from seastate import schemas
 from seastate.sources import archive as A
-from seastate.sources import fold as Fo
 from seastate.sources import jsonfeeds as J
+from seastate.sources import manifest as M
+from seastate.sources import snapshots as Sn
 from seastate.sources import tables as Tb
 from seastate.sources import text as X
 from seastate.streaming import ingest as St
@@ -123,7 +124,7 @@ def test_daily_evaluation_stream(spark, folder):
     stream = spark.readStream.schema(schemas.OBS).parquet(folder + "/in/*")
     for ckpt in ("c1", "c2"):              # the second run evaluates the same day again
         St.daily_evaluation(stream, f"{folder}/{ckpt}", rate, folder + "/ev", ["model"], folder + "/rows", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
-    got = spark.read.schema("m double, eval_date string").parquet(folder + "/ev").collect()
+    got = Tb.read_evaluations(spark, folder + "/ev", "m double").collect()
     assert [(r.eval_date, r.m) for r in got] == [("2024-03-01", 4.0)]   # both batches of the day
 
 
@@ -149,7 +150,7 @@ def test_daily_row_is_replaced(spark, folder):
     row = lambda d, v: spark.createDataFrame([("m", v, d)], "name string, mae double, eval_date string")
     for d, v in (("2024-03-01", 1.0), ("2024-03-02", 2.0), ("2024-03-01", 3.0)):
         Tb.append_or_update(spark, row(d, v), folder + "/ev", ["name"])
-    got = spark.read.schema("name string, mae double, eval_date string").parquet(folder + "/ev")
+    got = Tb.read_evaluations(spark, folder + "/ev", "name string, mae double")
     assert sorted((r.eval_date, r.mae) for r in got.collect()) == [("2024-03-01", 3.0), ("2024-03-02", 2.0)]
 
 
@@ -201,47 +202,175 @@ def test_revision_of_a_known_key_is_written(spark, folder):
     assert [h for _, _, h in table(spark, folder)] == [5.0, 5.0]
 
 
-def test_write_survives_a_crash(spark, folder, monkeypatch):
-    """A job that dies after the table's folders are gone, and one that dies before its rows are ready."""
-    args = (folder + "/table", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
-    St.upsert_by_day(obs(spark, [("s", 0, 1, 1.0, 1), ("s", 50, 1, 2.0, 1)]), *args)
+STEPS = ["_store", "_list_write", "_add_to_log", "_sweep"]
 
-    def die(spark_, path, parts):
-        shutil.rmtree(path + "/day=2024-03-01")
-        raise RuntimeError("lost")
 
+def dying(name):
+    """A step of a write whose job dies when it has done its work, or (the log) just before."""
+    whole = getattr(Sn, name)
+
+    def step(*args):
+        if name != "_add_to_log":
+            whole(*args)
+        raise RuntimeError("lost")
+    return step
+
+
+def sinks(spark, folder):
+    """(write a first and a second batch, read) of every sink."""
+    key = (folder + "/t", schemas.OBS, St.OBS_KEYS, "valid_utc", ["ingest_utc"])
+    row = lambda v: spark.createDataFrame([("m", v, "2024-03-01")], "name string, mae double, eval_date string")
+    return {
+        "observations": (lambda k: A.write_observations(obs(spark, [("s", k, 1, float(k), 1)]), folder + "/o"),
+                         lambda: sorted(r.hs_m for r in A.read_observations(spark, [folder + "/o"]).collect())),
+        "days": (lambda k: St.upsert_by_day(obs(spark, [("s", k, 1, float(k), 1)]), *key),
+                 lambda: sorted(r.hs_m for r in St.read_table(spark, folder + "/t", schemas.OBS).collect())),
+        "cycles": (lambda k: A.write_forecasts(forecasts(spark, [12 * k], float(k)), folder + "/f"),
+                   lambda: sorted({r.sw1_height_ft for r in A.read_forecasts(spark, folder + "/f").collect()})),
+        "forced": (lambda k: A.write_forecasts(forecasts(spark, [12 * k], float(k)), folder + "/g", force=True),
+                   lambda: sorted({r.sw1_height_ft for r in A.read_forecasts(spark, folder + "/g").collect()})),
+        "evaluations": (lambda k: Tb.append_or_update(spark, row(float(k)).withColumn("name", F.lit(f"m{k}")), folder + "/e", ["name"]),
+                        lambda: sorted(r.mae for r in Tb.read_evaluations(spark, folder + "/e", "name string, mae double").collect())),
+    }
+
+
+@pytest.mark.parametrize("sink", ["observations", "days", "cycles", "forced", "evaluations"])
+def test_sinks_survive_a_crash_at_each_step(spark, folder, monkeypatch, sink):
+    write, read = sinks(spark, folder)[sink]
+    write(1)
+    for k, step in enumerate(STEPS):
+        before = read()
+        with monkeypatch.context() as m:
+            m.setattr(Sn, step, dying(step))
+            with pytest.raises(RuntimeError, match="lost"):
+                write(k + 2)
+        assert read() == (sorted([*before, k + 2.0]) if step == "_sweep" else before)   # before the switch, or after it
+        write(k + 2)                                                                     # the next write succeeds at once
+        assert read() == sorted([*before, k + 2.0])
+
+
+def tree(path):
+    return sorted(os.path.relpath(f, path) for f in glob.glob(path + "/data/**/*.parquet", recursive=True))
+
+
+def test_rows_are_written_once_and_old_ones_go(spark, folder):
+    write, read = sinks(spark, folder)["days"]
+    for k in range(6):
+        write(k)                                   # six times the same day, rewritten as a whole
+    assert read() == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    assert len(tree(folder + "/t")) == Sn.KEEP     # one file per kept snapshot: nothing is stored twice, nothing piles up
+    assert len(os.listdir(folder + "/t/log")) == Sn.KEEP
+    listed = Sn.files(spark, folder + "/t", ["day"]).collect()
+    assert [(r.day, r.rows) for r in listed] == [("2024-03-01", 6)] and listed[0].bytes > 0
+
+
+def test_readers_that_have_begun_keep_their_snapshot(spark, folder):
+    write, _ = sinks(spark, folder)["days"]
+    write(1)
+    held = St.read_table(spark, folder + "/t", schemas.OBS)
+    write(2)
+    assert held.count() == 1 and St.read_table(spark, folder + "/t", schemas.OBS).count() == 2
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, folder, monkeypatch):
+    write, read = sinks(spark, folder)["days"]
+    write(1)
+    log = Sn._log(spark, folder + "/t")
+    whole = Sn._add_to_log
     with monkeypatch.context() as m:
-        m.setattr(Fo, "_put", die)
-        with pytest.raises(RuntimeError):
-            St.upsert_by_day(obs(spark, [("s", 3, 1, 3.0, 1)]), *args)
-    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]     # readers see the ready rows
-    assert Fo.recover(spark, folder + "/table", ["day"]) and not Fo.recover(spark, folder + "/table", ["day"])
-    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]
-    with monkeypatch.context() as m:
-        m.setattr(Fo, "_mark", lambda spark_, path, ready: (_ for _ in ()).throw(RuntimeError("lost")) if ready else None)
-        with pytest.raises(RuntimeError):
-            St.upsert_by_day(obs(spark, [("s", 4, 1, 9.0, 1)]), *args)
-    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 2.0]
-    St.upsert_by_day(obs(spark, [("s", 4, 1, 9.0, 1)]), *args)            # the batch again
-    assert [h for _, _, h in table(spark, folder)] == [1.0, 3.0, 9.0, 2.0]
+        m.setattr(Sn, "_add_to_log", lambda s, path, seq, name: (whole(s, path, seq, "0" * 32), whole(s, path, seq, name)))
+        shutil.copytree(f"{folder}/t/lists/{log[0][1]}", f"{folder}/t/lists/" + "0" * 32)
+        with pytest.raises(Sn.WriteConflict):
+            write(2)
+    assert read() == [1.0]
+    write(2)
+    assert read() == [1.0, 2.0]
+
+
+def test_odd_partition_values(spark, folder):
+    names = ["a b", "c:d", "e%f", "g+h", "07", None, "x=y", "é"]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, p string")
+    Sn.append_rows(rows, folder + "/t", ["p"])
+    Sn.replace_parts(rows.where("k < 6").withColumn("k", F.col("k") + 10), folder + "/t", ["p"])
+    got = {r.p: r.k for r in Sn.load(spark, folder + "/t", "k int", ["p"]).collect()}
+    assert got == {n: k + 10 if k < 6 else k for k, n in enumerate(names)}
+    one = Sn.load(spark, folder + "/t", "k int", ["p"], F.col("p") == "c:d").collect()
+    assert [r.k for r in one] == [11] and Sn.load(spark, folder + "/t", "k int", ["p"], F.lit(False)).count() == 0
+    Sn.drop_parts(spark, folder + "/t", ["p"], F.col("p").startswith("a"))
+    assert Sn.load(spark, folder + "/t", "k int", ["p"]).count() == 7
+
+
+def spoil(path, how):
+    if how == "missing":
+        os.remove(path)
+    else:
+        size = os.path.getsize(path)
+        with open(path, "r+b") as f:
+            if how == "truncated":
+                f.truncate(size // 2)
+            else:                                  # a data page in the middle, the footer stays good
+                f.seek(size // 3)
+                f.write(b"\xff" * 400)
+    crc = os.path.join(os.path.dirname(path), "." + os.path.basename(path) + ".crc")
+    if os.path.exists(crc):
+        os.remove(crc)
 
 
-def test_truncated_file_is_reported_not_lost(spark, folder):
+@pytest.mark.parametrize("how, state", [("page", "short"), ("truncated", "unreadable"), ("missing", "missing")])
+def test_damaged_files_are_reported_and_never_lost_in_silence(spark, folder, how, state):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 4000)
+    rows = spark.range(20_000).select(F.lit("s").alias("station"), F.timestamp_seconds(F.lit(1709251200) + F.col("id")).alias("valid_utc"), F.lit(1).alias("partition"),
+                                      F.rand(1).alias("hs_m"), F.rand(2).alias("tp_s"), F.rand(3).alias("dp_deg"), F.lit("x").alias("source"), F.lit(T0).alias("ingest_utc"))
+    try:
+        A.write_observations(rows, folder + "/o")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    listed = M.manifest(spark, [folder + "/o"], ["hs_m"]).collect()
+    assert sum(r.rows for r in listed) == 20_000 and len(listed) >= 5 and not any(r.error or r.missing for r in listed)
+    scan, report = A.verified_observations(spark, [folder + "/o"])
+    assert scan.rows.agg(F.sum("hs_m")).count() == 1 and scan.check() == 20_000 and report.count() == 0
+    hit = sorted(tree(folder + "/o"))[1]
+    spoil(f"{folder}/o/{hit}", how)
+    held = spark.createDataFrame(listed, M.MANIFEST)
+    bad = [r for r in M.verify(spark, held, schemas.OBS).collect() if r.state != "ok"]
+    assert [(os.path.basename(r.path), r.state) for r in bad] == [(os.path.basename(hit), state)] and bad[0].rows_read < bad[0].rows
+    with pytest.raises(Exception):
+        A.read_observations(spark, [folder + "/o"]).agg(F.sum("hs_m")).collect()        # strict
+    scan, report = A.verified_observations(spark, [folder + "/o"])
+    assert [r.state for r in report.collect()] == [state]
+    n = scan.rows.select(F.sum("hs_m"), F.count("*").alias("n")).collect()[0].n
+    assert n == scan.check() == 20_000 - bad[0].rows                                     # rows read equal the manifest
+    if how != "page":
+        drift = A.schema_drift(spark, [folder + "/o"], ["hs_m"])
+        assert drift.count() == 1 and A.read_observations(spark, [folder + "/o"], drift).agg(F.count("hs_m")).first()[0] == n
+    else:                                                                                # a good footer: the report has nothing, the scan must fail
+        drift = A.schema_drift(spark, [folder + "/o"], ["hs_m"])
+        assert drift.count() == 0
+        with pytest.raises(Exception):
+            A.read_observations(spark, [folder + "/o"], drift).agg(F.sum("hs_m")).collect()
+
+
+def test_a_short_scan_is_noticed(spark, folder):
+    obs(spark, [("s", k, 1, float(k), 1) for k in range(50)]).coalesce(1).write.parquet(folder + "/o")
+    listed = M.manifest(spark, [folder + "/o"], ["hs_m"]).withColumn("rows", F.col("rows") + 3)
+    scan = M.counted(spark, spark.createDataFrame(listed.collect(), M.MANIFEST), schemas.OBS)
+    scan.rows.write.format("noop").mode("overwrite").save()
+    with pytest.raises(M.ScanMismatch) as e:
+        scan.check()
+    assert [r.state for r in e.value.report] == ["unreadable"]      # its footer says 50
+
+
+def test_truncated_file_fails_a_forced_rewrite(spark, folder):
     root = folder + "/fc"
     A.write_forecasts(forecasts(spark, [0], 1.0), root)
     A.write_forecasts(forecasts(spark, [12], 2.0), root)
-    files = sorted(glob.glob(root + "/**/*.parquet", recursive=True), key=os.path.getmtime)
-    with open(files[-1], "r+b") as f:
-        f.truncate(os.path.getsize(files[-1]) // 2)
-    for crc in glob.glob(root + "/**/.*.crc", recursive=True):
-        os.remove(crc)
+    files = sorted(glob.glob(root + "/data/**/*.parquet", recursive=True), key=os.path.getmtime)
+    spoil(files[-1], "truncated")
     with pytest.raises(Exception):
         A.read_forecasts(spark, root).collect()
     with pytest.raises(Exception):
         A.write_forecasts(forecasts(spark, [0], 5.0), root, force=True)
     assert all(os.path.exists(f) for f in files)
-    bad = A.schema_drift(spark, [root], ["sw1_height_ft"]).collect()
-    assert len(bad) == 1 and bad[0].error and bad[0].path.endswith(os.path.basename(files[-1]))
 
 
 def test_retention_and_pruning(spark, folder):
