@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import DAY, as_of
+
 # Size of a holdout that may be ranked first, and its height floor.
 MIN_TEST_ROWS = 1000
 HEIGHT_SKILL_FLOOR = 0.0
@@ -50,10 +52,20 @@ def stale_models(models: DataFrame, cycles: DataFrame, keys: list[str], max_days
             .withColumn("stale", F.col("age_days") > max_days))
 
 
-def unseen_rows(paired: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """Each model's rows for cycles later than its training time.
+def unseen_cycles(cycles: DataFrame, models: DataFrame, keys: list[str], cycle: str = "cycle_utc", trained: str = "trained_utc") -> DataFrame:
+    """(keys, cycle, the model's columns) for every distinct cycle and every model trained before it.
 
-    An equi join on the scope with the time test on top. The fan-out is the
-    number of models of one scope, which the caller keeps to the listed ones.
+    Cycles and training times of a scope are merged in time, once: each cycle learns how many models are older, and the models of a scope
+    are numbered by age, so a cycle meets models 1 to that number by equality. No pair is formed that is thrown away again.
     """
-    return paired.join(models, keys).filter(F.col("cycle_utc") > F.col("trained_utc"))
+    rest = [c for c in models.columns if c not in keys]
+    age = Window.partitionBy(*keys).orderBy(F.col(trained), F.struct(*rest))
+    numbered = models.where(F.col(trained).isNotNull()).withColumn("_k", F.row_number().over(age))
+    each = cycles.select(*keys, cycle).distinct().withColumn("_before", F.col(cycle) - F.expr("INTERVAL 1 MICROSECOND"))
+    met = as_of(each, numbered, keys, "_before", trained, ["_k"], width=30 * DAY).where(F.col("before").isNotNull())
+    return met.select(*keys, cycle, F.explode(F.sequence(F.lit(1), F.col("before._k"))).alias("_k")).join(numbered, [*keys, "_k"]).drop("_k")
+
+
+def unseen_rows(paired: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """Each model's rows for cycles later than its training time: rows meet their cycle's models by equality."""
+    return paired.join(unseen_cycles(paired, models, keys), [*keys, "cycle_utc"])

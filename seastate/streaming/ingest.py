@@ -15,7 +15,7 @@ from .. import schemas
 from ..functions import timefn as T
 from ..sources.archive import OBS_KEYS
 from ..sources.fold import fold
-from ..sources.snapshots import drop_parts, load
+from ..sources.snapshots import drop_parts, load, touched
 from ..sources.tables import append_or_update
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -97,8 +97,7 @@ def daily_evaluation(stream: DataFrame, checkpoint: str, evaluate: Callable[[Dat
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         upsert_by_day(batch, rows_path, schema, row_keys, ts, order)
-        days = batch.select(F.date_format(ts, "yyyy-MM-dd").alias("day")).distinct()
-        rows = read_table(spark, rows_path, schema).join(days, "day", "left_semi").drop("day")
-        append_or_update(spark, evaluate(rows), path, keys)
+        days = batch.select(F.date_format(ts, "yyyy-MM-dd").alias("day"))
+        append_or_update(spark, evaluate(touched(days, rows_path, schema, ["day"]).drop("day")), path, keys)
 
     run_available(stream, checkpoint, sink)

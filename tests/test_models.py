@@ -7,13 +7,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seastate.functions import rules as R
 from seastate.operators import bias as B
+from seastate.operators import livecheck as L
 from seastate.operators import metrics as M
 from seastate.operators import mlcorrect as Ml
 from seastate.operators import outlook as O
 from seastate.operators import pairing as P
 from seastate.operators import registry as G
 from seastate.operators import tides as Td
+from seastate.sources import modelstore as Ms
+from seastate.sources import snapshots as Sn
 
 T0 = dt.datetime(2022, 1, 1)
 MODELS = "scope string, name string, trained_utc timestamp, n_test_rows long, composite_skill double, sw1_height_skill double"
@@ -169,3 +173,63 @@ def test_unknown_cell_is_left_uncorrected(spark):
     empty = B.fit_bias(d.limit(0))
     r = B.apply_bias(d, empty).first()
     assert r.pred_sw1_height_ft == pytest.approx((r.a_sw1_height_ft + r.b_sw1_height_ft) / 2)
+
+
+def test_stored_models_are_whole_checked_and_predict_the_same(spark, folder):
+    d = P.time_split(paired(spark))
+    train, test = d.filter(~F.col("is_test")), d.filter("is_test")
+    store, stations = folder + "/models", ["s0", "s1"]
+    trees = Ml.fit_trees(train, stations, ["sw1_height_ft", "sw1_dp_sin", "sw1_dp_cos"], rounds=3, depth=3)
+    table = B.fit_bias(train)
+    Ms.save_tree_model(spark, store, "t1", "east", trees, stations, T0 + dt.timedelta(days=9))
+    Ms.save_bias_model(store, "b1", "east", table, T0 + dt.timedelta(days=3))
+    assert {(r.name, r.arch) for r in Ml.detect_arch(Ms.artefacts(spark, store)).collect()} == {("t1", "ML"), ("b1", "baseline")}
+    loaded = Ms.load_all(spark, store)
+    assert [(m.name, m.kind) for m in loaded] == [("b1", "baseline"), ("t1", "ML")]
+    keys = ["station", "cycle_utc", "lead_hours"]
+    for m, before in zip(loaded, (B.apply_bias(test, table), Ml.apply_trees(test, trees, stations))):
+        cols = sorted(c for c in before.columns if c.startswith("pred_"))
+        want, got = (sorted(map(tuple, x.select(*keys, *cols).collect())) for x in (before, m.predict(test)))
+        assert got == want and cols
+    with pytest.raises(KeyError):
+        Ms.load_model(spark, store, "none")
+    # An artefact without its registry row is not listed: the save died on the way.
+    Ms.save_bias(table, store + "/artefacts/half/bias")
+    assert [m.name for m in Ms.load_all(spark, store)] == ["b1", "t1"]
+    row = Ms.registry(spark, store).where("name = 't1'").first()
+    for change in ({"features": row.features[::-1]}, {"features": row.features[:-1]}, {"version": 99}, {"stations": ["s1", "s0"]}, {"targets": [*row.targets, "sw2_dp_sin"]}):
+        old = row.asDict() | change
+        spoilt = spark.createDataFrame([tuple(old[c] for c in ("name", "scope", "version", "trained_utc", "features", "stations", "targets"))], "name string, " + Ms.REGISTRY)
+        Sn.replace_parts(spoilt, store + "/registry", ["name"])
+        with pytest.raises(ValueError):
+            Ms.load_model(spark, store, "t1")
+
+
+def test_unseen_cycles_by_brute_force(spark):
+    rnd = random.Random(6)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [(rnd.choice("abc"), at(rnd.randrange(0, 24 * 90, 6)), k) for k in range(400)]
+    models = [(rnd.choice("abd"), f"m{k}", at(rnd.randrange(-100, 24 * 100, 6))) for k in range(30)] + [("a", "twin", rows[0][1]), ("b", "never", None)]
+    paired_ = spark.createDataFrame(rows, "scope string, cycle_utc timestamp, k int")
+    listed = spark.createDataFrame(models, "scope string, name string, trained_utc timestamp")
+    want = sorted((s, c, k, n) for s, c, k in rows for g, n, t in models if g == s and t is not None and c > t)
+    got = G.unseen_rows(paired_, listed, ["scope"])
+    assert sorted((r.scope, r.cycle_utc, r.k, r.name) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert G.unseen_rows(paired_, listed.limit(0), ["scope"]).count() == 0
+
+
+def test_live_check_rates_each_model_on_what_it_has_not_seen(spark, folder):
+    d = paired(spark, 200).withColumn("scope", F.when(F.col("station") == "s0", "x").otherwise("y"))
+    cut = lambda k: T0 + dt.timedelta(hours=12 * k)
+    zero = B.fit_bias(d.limit(0))
+    for name, scope, table, k in (("old", "x", zero, 99), ("new", "x", B.fit_bias(d), 149), ("other", "y", zero, 180), ("fresh", "x", zero, 500)):
+        Ms.save_bias_model(folder + "/m", name, scope, table, cut(k))
+    models = Ms.load_all(spark, folder + "/m")
+    got = {r.name: r for r in L.evaluate_unseen(d, models, R.load_bands(), F.lit("2024-07-01")).collect()}
+    assert set(got) == {"old", "new", "other"}
+    assert {n: r.n_live_rows for n, r in got.items()} == {"old": 50, "new": 25, "other": 10}
+    assert got["old"].sw1_height_ft_mae == pytest.approx(1.0) and got["new"].sw1_height_ft_mae == pytest.approx(0, abs=1e-9)
+    assert got["other"].sw1_height_ft_mae == pytest.approx(0.5) and got["old"].sw1_direction_deg_mae == pytest.approx(20)
+    assert L.evaluate_unseen(d, [], R.load_bands(), F.lit("x")) is None
