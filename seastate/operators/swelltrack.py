@@ -11,7 +11,7 @@ from ..functions import circular as C
 from ..functions import geo as G
 from ..functions import units as U
 from ..functions.arrays import stage
-from ..functions.rules import Level, SwellWindow, Tier, confidence, load_levels, load_tiers, verdict
+from ..functions.rules import Level, SwellWindow, Tier, confidence, load_levels, load_tiers, load_window, verdict
 from .ordered import DAY, as_of, epoch, latest_by
 
 # Travel times tried, source latitudes, leads kept, storm belt.
@@ -32,7 +32,7 @@ class Target:
     """Where the swell should arrive; example values."""
     lat: float = -9.25
     lon: float = 114.75
-    window: SwellWindow = field(default_factory=SwellWindow)
+    window: SwellWindow = field(default_factory=load_window)
 
 
 def latest_readings(readings: DataFrame, keys: list[str], ts: str, ties: list[str]) -> DataFrame:

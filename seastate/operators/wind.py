@@ -77,8 +77,8 @@ def stale_since(ingested: Column, now: Column, hours: tuple[int, ...]) -> Column
     return F.when(ingested.isNull(), F.lit(True)).otherwise(hit)
 
 
-def regions_with_clean_wind(spot_winds: DataFrame, ratings=("Glassy", "Groomed", "Clean")) -> DataFrame:
-    """(region, hour) pairs in which at least one spot has clean wind."""
+def regions_with_clean_wind(spot_winds: DataFrame, ratings: list[str]) -> DataFrame:
+    """(region, hour) pairs in which the wind of at least one spot has one of these ratings."""
     return (spot_winds.groupBy("region", "hour_utc")
             .agg(F.count_if(F.col("rating").isin(*ratings)).alias("clean_spots"))
             .filter(F.col("clean_spots") > 0))

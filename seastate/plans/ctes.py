@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import rules as R
-from ..functions.rules import SWELL_CATEGORIES, load_bands, load_box_categories, load_boxes, load_wind_rules
+from ..functions.rules import SWELL_CATEGORIES, load_bands, load_box_categories, load_boxes, load_shore_ladder, load_window
 
 SCALE = "0.061803398875"
 OBS_COLS = "station, valid_utc, partition, hs_m, tp_s, dp_deg, source, ingest_utc"
@@ -112,23 +112,19 @@ def box_sql(h: str, p: str, d: str) -> str:
     return f"(CASE {' '.join(arms)} ELSE '{load_box_categories()[0]}' END)"
 
 
+def steps_sql(s: str, d: str, o: str, ladder) -> str:
+    """Name of the first wind step that holds; blind steps hold without a direction."""
+    off = f"abs({cdiff(d, o)})"
+    rows = [f"WHEN ({off} <= {w.angle}{f' OR {d} IS NULL' if w.blind else ''})" + (f" AND {s} <= {w.speed}" if w.speed < 1e9 else "") + f" THEN '{w.name}'" for w in ladder]
+    return f"(CASE WHEN {s} IS NULL OR {o} IS NULL THEN NULL {' '.join(rows)} END)"
+
+
 def wind_sql(s: str, d: str, n: str) -> str:
-    r = load_wind_rules()
-    off = f"abs({cdiff(d, f'(({n}) + 180.0)')})"
-    return (f"(CASE WHEN {s} IS NULL OR {n} IS NULL THEN NULL "
-            f"WHEN {off} <= {r.offshore_angle} THEN CASE WHEN {s} < {r.glassy_below} THEN 'Glassy' "
-            f"WHEN {s} > {r.groomed_above} THEN 'Groomed' ELSE 'Clean' END "
-            f"WHEN {s} < {r.light_any} THEN 'Clean' WHEN {d} IS NULL THEN NULL "
-            f"WHEN {off} <= {r.sideshore_angle} THEN CASE WHEN {s} < {r.side_textured} THEN 'Textured' "
-            f"WHEN {s} < {r.side_messy} THEN 'Messy' ELSE 'Blown Out' END "
-            f"WHEN {s} < {r.on_textured} THEN 'Textured' WHEN {s} < {r.on_messy} THEN 'Messy' ELSE 'Blown Out' END)")
+    return steps_sql(s, d, f"(({n}) + 180.0)", load_shore_ladder())
 
 
 def ladder_sql(s: str, d: str, o: str) -> str:
-    """Name of the first wind step that holds."""
-    off = f"abs({cdiff(d, o)})"
-    rows = [f"WHEN {off} <= {w.angle}" + (f" AND {s} <= {w.speed}" if w.speed < 1e9 else "") + f" THEN '{w.name}'" for w in R.load_wind_ladder()]
-    return f"(CASE WHEN {s} IS NULL OR {d} IS NULL THEN NULL {' '.join(rows)} END)"
+    return steps_sql(s, d, o, R.load_wind_ladder())
 
 
 def curve_sql(x: str, points: list[list[float]]) -> str:
@@ -138,15 +134,17 @@ def curve_sql(x: str, points: list[list[float]]) -> str:
     return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {points[0][0]} THEN {points[0][1]}::DOUBLE {steps} ELSE {points[-1][1]}::DOUBLE END)"
 
 
+_WINDOW = load_window()
+IN_EDGE, IN_CORE = (f"BETWEEN {lo} AND {hi}" for lo, hi in (_WINDOW.edge, _WINDOW.core))
+
+
 def window_sql(d: str) -> str:
     x = m360(d)
-    return (f"(CASE WHEN {d} IS NULL THEN 0.0 WHEN {x} BETWEEN 190 AND 220 THEN 1.0 "
-            f"WHEN {x} >= 165 AND {x} < 190 THEN ({x} - 165) / 25.0 "
-            f"WHEN {x} > 220 AND {x} <= 250 THEN (250 - {x}) / 30.0 ELSE 0.0 END)")
+    return f"(CASE WHEN {x} {IN_EDGE} THEN {curve_sql(x, [list(p) for p in _WINDOW.rose])} ELSE 0.0 END)"
 
 
 def score_sql(h: str, p: str, d: str) -> str:
-    return (f"(CASE WHEN {h} > 0 AND {p} >= 9 AND {d} IS NOT NULL THEN {h} * {h} * {p} * {window_sql(d)} ELSE 0.0 END)")
+    return f"(CASE WHEN {h} > 0 AND {p} >= {_WINDOW.floor_s} THEN {h} * {h} * {p} * {window_sql(d)} ELSE 0.0 END)"
 
 
 SWELL_VARS = [f"{p}_{x}" for p in ("sw1", "sw2") for x in ("height_ft", "period_s", "direction_deg")]

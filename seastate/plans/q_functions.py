@@ -125,6 +125,25 @@ def _num(x):
     return "NULL" if x is None else "'Infinity'::DOUBLE" if x == float("inf") else f"{float(x)}::DOUBLE"
 
 
+_MANY = """(SELECT p_partkey AS k, 'c' || p_size % 7 AS category, p_partkey * 37 % 200 / 10.0::DOUBLE AS plo, p_partkey * 37 % 200 / 10.0::DOUBLE + (5 + p_partkey % 30) / 10.0::DOUBLE AS phi,
+ p_partkey * 53 % 150 / 10.0::DOUBLE AS hlo, p_partkey * 53 % 150 / 10.0::DOUBLE + (3 + p_partkey % 20) / 10.0::DOUBLE AS hhi,
+ CASE WHEN p_partkey % 2 = 1 THEN (p_partkey * 11 % 270)::DOUBLE END AS dlo FROM part)"""
+
+
+@query("j10_many_boxes", f"""
+SELECT {iso('cycle_utc')} AS cycle_utc, {iso('valid_utc')} AS valid_utc, f.station, f.model, coalesce(arg_min(b.category, b.k), 'none') AS category FROM fc f LEFT JOIN {_MANY} b
+ ON f.sw1_period_s >= b.plo AND f.sw1_period_s < b.phi AND f.sw1_height_ft >= b.hlo AND f.sw1_height_ft < b.hhi
+ AND (b.dlo IS NULL OR (f.sw1_direction_deg >= b.dlo AND f.sw1_direction_deg < b.dlo + 90)) GROUP BY f.station, f.model, f.cycle_utc, f.valid_utc""")
+def _(v):
+    """A rule table as long as the part table, one box a part; the box with the smallest number wins."""
+    k = F.col("p_partkey")
+    plo, hlo, dlo = (k * 37 % 200) / 10.0, (k * 53 % 150) / 10.0, F.when(k % 2 == 1, (k * 11 % 270).cast("double"))
+    boxes = v.table("part").select(k.cast("int").alias("rule_no"), F.concat(F.lit("c"), F.col("p_size") % 7).alias("category"), plo.alias("period_lo"), (plo + (5 + k % 30) / 10.0).alias("period_hi"),
+                                   hlo.alias("height_lo"), (hlo + (3 + k % 20) / 10.0).alias("height_hi"), dlo.alias("dir_lo"), (dlo + 90).alias("dir_hi"))
+    m = R.match_box_table(v.forecast, boxes, "sw1_height_ft", "sw1_period_s", "sw1_direction_deg", "none")
+    return m.select("cycle_utc", "valid_utc", "station", "model", "category")
+
+
 @query("s17_rule_table", "SELECT rule_no::INTEGER AS rule_no, r.category, height_lo, (SELECT count(*) FROM (SELECT "
        + box_sql("sw1_height_ft", "sw1_period_s", "sw1_direction_deg") + " AS c FROM fc) f WHERE f.c = r.category) AS n FROM (VALUES "
        + ", ".join(f"({b.rule_no}, '{b.category}', {_num(b.height[0])})" for b in _BOXES) + ") r(rule_no, category, height_lo)")
@@ -143,7 +162,7 @@ def _(v):
     e = v.events.select("event_id", F.when(F.col("k") != 96, F.col("value") / 3.0).alias("spd"),
                         F.when(F.col("k") != 98, ((F.col("k") * 37 + F.col("user_id") * 11) % 360).cast("double")).alias("deg"),
                         (F.col("user_id") * 37 % 360).cast("double").alias("normal"))
-    return e.select("event_id", R.wind_rating(F.col("spd"), F.col("deg"), F.col("normal"), R.load_wind_rules()).alias("rating"))
+    return e.select("event_id", R.shore_rating(F.col("spd"), F.col("deg"), F.col("normal"), R.load_shore_ladder()).alias("rating"))
 
 
 @query("f16_section_wind", f"""
@@ -157,7 +176,7 @@ def _(v):
 SELECT station, {iso('valid_utc')} AS valid_utc, partition, {r6(window_sql('dp_deg'))} AS weight,
  {r6(score_sql('hs_m', 'tp_s', 'dp_deg'))} AS score FROM obs""")
 def _(v):
-    w = R.SwellWindow()
+    w = R.load_window()
     return v.obs.select("station", "valid_utc", "partition", R.window_weight(F.col("dp_deg"), w).alias("weight"),
                         R.window_score(F.col("hs_m"), F.col("tp_s"), F.col("dp_deg"), w).alias("score"))
 

@@ -418,13 +418,16 @@ _SPOTW = f"(SELECT site, region, {snap('time')} AS hour_utc, {wind_sql('(hs_m *
 
 def spot_winds(v):
     d = v.readings.join(v.sites.select("site", "region", "shore_normal"), "site")
-    rating = R.wind_rating(F.col("hs_m") * 5, F.col("dp_deg"), F.col("shore_normal"), R.load_wind_rules())
+    rating = R.shore_rating(F.col("hs_m") * 5, F.col("dp_deg"), F.col("shore_normal"), R.load_shore_ladder())
     return d.select("site", "region", T.snap_hour(F.col("time")).alias("hour_utc"), rating.alias("rating"))
 
 
-@query("j20_clean_regions", f"SELECT region, {iso('hour_utc')} AS hour_utc, count(*) AS clean_spots FROM {_SPOTW} WHERE rating IN ('Glassy', 'Groomed', 'Clean') GROUP BY 1, 2")
+_RIDABLE = ", ".join(f"'{n}'" for n in R.ridable_names(R.load_shore_ladder()))
+
+
+@query("j20_clean_regions", f"SELECT region, {iso('hour_utc')} AS hour_utc, count(*) AS clean_spots FROM {_SPOTW} WHERE rating IN ({_RIDABLE}) GROUP BY 1, 2")
 def _(v):
-    return Wd.regions_with_clean_wind(spot_winds(v))
+    return Wd.regions_with_clean_wind(spot_winds(v), R.ridable_names(R.load_shore_ladder()))
 
 
 @query("s20_grid_arrays", f"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import circular as C
 from ..operators import swelltrack as Sw
 from ..operators import waves as Wv
-from ..functions.rules import SwellWindow, load_tiers
-from .ctes import (GROUP_KMH, bearing, cdiff, cosd, epoch, haversine, iso, m2ft, m360, r6, rint, score_sql, sec, sind, spread)
+from ..functions.rules import load_tiers, load_window
+from .ctes import (IN_CORE, IN_EDGE, GROUP_KMH, bearing, cdiff, cosd, epoch, haversine, iso, m2ft, m360, r6, rint, score_sql, sec, sind, spread)
 from .q_functions import TARGET, TLAT, TLON
 from .registry import query
 
@@ -37,8 +37,8 @@ _SOL = f"""s0 AS (SELECT *, unnest(range(12, 193, 3)) AS tau_h FROM (SELECT r.si
  s3 AS (SELECT *, {m360(f"lon + degrees(atan2({sind('dp_deg')} * sin(src_km / 6371.0) * {cosd('lat')}, cos(src_km / 6371.0) - {sind('lat')} * {sind('src_lat')})) + 540.0")} - 180.0 AS src_lon
   FROM s2 WHERE src_lat BETWEEN -68 AND 5),
  s4 AS (SELECT *, {bearing(TLAT, TLON, 'src_lat', 'src_lon')} AS theta, {haversine('src_lat', 'src_lon', TLAT, TLON)} AS to_km FROM s3),
- s5 AS (SELECT *, {epoch('time')} - tau_h * 3600.0 + to_km / {_CG} * 3600.0 AS arrive_epoch FROM s4 WHERE theta BETWEEN 165 AND 250),
- sol AS (SELECT *, (arrive_epoch - {epoch('now')}) / 3600.0 AS lead_h, theta BETWEEN 190 AND 220 AS in_core, {m2ft('hs_m * ' + spread('src_km', 'to_km'))} AS hs_at FROM s5
+ s5 AS (SELECT *, {epoch('time')} - tau_h * 3600.0 + to_km / {_CG} * 3600.0 AS arrive_epoch FROM s4 WHERE theta {IN_EDGE}),
+ sol AS (SELECT *, (arrive_epoch - {epoch('now')}) / 3600.0 AS lead_h, theta {IN_CORE} AS in_core, {m2ft('hs_m * ' + spread('src_km', 'to_km'))} AS hs_at FROM s5
   WHERE (arrive_epoch - {epoch('now')}) / 3600.0 BETWEEN -6 AND 216)"""
 _LAST = _SOL.replace("SRC", "sent")
 # Every reading, with its own time as 'now': the whole history at once.
@@ -117,7 +117,7 @@ _SUM = f"""{_FIT}, ft AS (SELECT line, cluster, coalesce(fi.la, co.la) AS la, co
 
 
 @query("a23_cluster_summary", f"WITH {_SUM} SELECT line, cluster::INTEGER AS cluster, {r6('tp_s')} AS tp_s, n::INTEGER AS n_sites, {r6('source_km')} AS source_km, {r6(f'(arrive_epoch - {epoch(chr(110) + chr(111) + chr(119))}) / 3600.0')} AS lead_h, "
-       f"{r6('theta')} AS theta, theta BETWEEN 165 AND 250 AS in_window, {r6(m2ft('hs'))} AS hs_ft, {_TIERS} AS confidence FROM cs")
+       f"{r6('theta')} AS theta, theta {IN_EDGE} AS in_window, {r6(m2ft('hs'))} AS hs_ft, {_TIERS} AS confidence FROM cs")
 def _(v):
     s = Sw.cluster_summary(Sw.fit_source(_groups(v)), ["line", "now"], TARGET, "now")
     return s.select("line", "cluster", "tp_s", "n_sites", "source_km", "lead_h", "theta", "in_window", "hs_ft", "confidence")
@@ -146,6 +146,6 @@ def _(v):
     comps = F.array(*[F.struct(F.col(f"sw{i}_height_ft").alias("height_ft"), F.col(f"sw{i}_period_s").alias("period_s"),
                                F.col(f"sw{i}_direction_deg").alias("direction_deg"), F.lit(f"swell{i}").alias("type")) for i in (1, 2)])
     d = v.forecast.withColumn("comps", comps)
-    best, _scored = Wv.pick_window_swell(F.col("comps"), SwellWindow())
+    best, _scored = Wv.pick_window_swell(F.col("comps"), load_window())
     d = d.withColumn("best", best).filter(F.col("best").isNotNull())
     return d.select("station", "model", "cycle_utc", "valid_utc", "best.height_ft", "best.period_s", "best.score")

@@ -1,6 +1,8 @@
 """Edge cases of the column functions."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,10 +70,10 @@ def test_negative_lead(spark):
 def test_swell_ladder_bounds_and_nulls(spark):
     bands = R.load_bands()
     cat = lambda h, p: one(spark, R.swell_category(F.lit(h).cast("double"), F.lit(p).cast("double"), bands))
-    first = bands[1].rules[0].bound
-    assert cat(first - 0.01, 8.0) == "FLAT"
-    assert cat(first, 8.0) == "WEAK"          # a bound is not below itself
-    assert cat(100.0, 12.0) == "HECTIC"       # past every bound: the band's last category
+    first, second = bands[1].rules[0].bound, bands[1].period_ub - 0.1
+    assert cat(first - 0.01, second) == "FLAT"
+    assert cat(first, second) == "WEAK"       # a bound is not below itself
+    assert [cat(100.0, b.period_ub - 0.1) for b in bands[:-1]] == [b.rules[-1].category for b in bands[:-1]]   # past every bound
     assert cat(100.0, bands[0].period_ub - 0.01) == "FLAT"
     assert cat(None, 12.0) == "FLAT" and cat(5.0, None) == "FLAT"
 
@@ -96,13 +98,48 @@ def test_directed_box_needs_a_direction(spark):
 
 
 def test_wind_rating_without_direction(spark):
-    r = R.load_wind_rules()
+    r = R.load_shore_ladder()
     none = F.lit(None).cast("double")
-    assert one(spark, R.wind_rating(F.lit(1.0), none, F.lit(90.0), r)) == "Clean"
-    assert one(spark, R.wind_rating(F.lit(20.0), none, F.lit(90.0), r)) is None
-    assert one(spark, R.wind_rating(none, F.lit(1.0), F.lit(90.0), r)) is None
-    assert one(spark, R.wind_rating(F.lit(6.0), F.lit(275.0), F.lit(90.0), r)) == "Glassy"
-    assert one(spark, R.wind_rating(F.lit(40.0), F.lit(90.0), F.lit(90.0), r)) == "Blown Out"
+    rate = lambda s, d: one(spark, R.shore_rating(s, d, F.lit(90.0), r))
+    assert rate(F.lit(1.0), none) == "LULL" and rate(F.lit(20.0), none) is None and rate(none, F.lit(1.0)) is None
+    assert rate(F.lit(5.0), F.lit(275.0)) == "SLICK" and rate(F.lit(40.0), F.lit(90.0)) == "TORN" and rate(F.lit(40.0), F.lit(270.0)) == "BLASTED"
+    assert one(spark, R.shore_rating(F.lit(1.0), F.lit(1.0), none, r)) is None
+    assert R.ridable_names(r) == ["BRUSHED", "LULL", "RUFFLED", "SLICK"]
+
+
+def test_window_is_the_rose(spark):
+    w = R.SwellWindow(((100.0, 0.0), (120.0, 0.8), (130.0, 0.8), (140.0, 0.2)), 7.0)
+    at = lambda d: one(spark, R.window_weight(F.lit(d).cast("double"), w))
+    assert w.edge == (100.0, 140.0) and w.core == (120.0, 130.0)
+    assert [at(d) for d in (99.9, 110.0, 485.0, 140.0, 140.1, None)] == pytest.approx([0.0, 0.4, 0.8, 0.2, 0.0, 0.0])
+    score = lambda h, p, d: one(spark, R.window_score(*(F.lit(x).cast("double") for x in (h, p, d)), w))
+    assert score(2, 7, 125) == pytest.approx(4 * 7 * 0.8) and [score(2, 6.9, 125), score(None, 7, 125), score(0, 7, 125), score(2, 7, None)] == [0.0] * 4
+
+
+@pytest.mark.parametrize("n, directed", [(1, True), (40, True), (10_000, True), (300, False)])
+def test_box_index_equals_the_first_box_that_holds(spark, n, directed):
+    rnd = random.Random(n)
+    inf = math.inf
+    span = lambda top, wide: (lambda a: (a, inf if rnd.random() < 0.05 else a + rnd.uniform(0, wide)))(rnd.uniform(0, top))
+    boxes = [R.Box(k + 1, f"c{rnd.randrange(9)}", span(20, 4), span(15, 3), (lambda a: (a, a + 90))(rnd.uniform(0, 270)) if directed and rnd.random() < 0.5 else None)
+             for k in range(n)]
+    rows = [(k, rnd.choice([None, rnd.uniform(-1, 25), rnd.choice(boxes).period[0]]), rnd.choice([None, rnd.uniform(-1, 20), rnd.choice(boxes).height[0]]),
+             rnd.choice([None, rnd.uniform(0, 360)])) for k in range(300)]
+
+    def plain(p, h, d):
+        if p is None or h is None:
+            return "low"
+        fits = lambda b: b.period[0] <= p < b.period[1] and b.height[0] <= h < b.height[1] and (b.direction is None or (d is not None and b.direction[0] <= d < b.direction[1]))
+        return next((b.category for b in boxes if fits(b)), "low")
+
+    df = spark.createDataFrame(rows, "k int, p double, h double, d double")
+    got = R.match_boxes(df, boxes, "h", "p", "d", "low")
+    assert {r.k: r.category for r in got.collect()} == {k: plain(p, h, d) for k, p, h, d in rows}
+    if n <= 40:  # the CASE form
+        case = df.select("k", R.box_category(F.col("h"), F.col("p"), F.col("d"), boxes, "low").alias("c"))
+        assert {r.k: r.c for r in case.collect()} == {r.k: r.category for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_destination_returns(spark):
