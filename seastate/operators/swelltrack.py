@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -131,52 +133,96 @@ def group_by_period(readings: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "cluster", "_g.tp_s", "_g.members"))
 
 
-def _search(members: Column, lats: Column, lons: Column) -> Column:
-    """Best candidate (score, lat, lon, bearing_err, time_spread, origin), null if none is possible."""
-    def score(lat: Column, lon: Column) -> Column:
-        per = F.transform(members, lambda m: F.struct(
-            G.haversine_km(m["lat"], m["lon"], lat, lon).alias("km"),
-            C.abs_diff_deg(G.bearing_deg(m["lat"], m["lon"], lat, lon), m["dp_deg"]).alias("err"),
-            (m["t_obs"] - G.haversine_km(m["lat"], m["lon"], lat, lon) / G.group_speed_kmh(m["tp_s"]) * 3600.0).alias("o")))
+def _rays(members: Column) -> Column:
+    """What the search needs of each member, its group speed worked out once."""
+    return F.transform(members, lambda m: F.struct(m["lat"].alias("lat"), m["lon"].alias("lon"), m["dp_deg"].alias("dp"), m["t_obs"].alias("t"),
+                                                   G.group_speed_kmh(m["tp_s"]).alias("cg")))
+
+
+_FIT = "struct<score:double,lat:double,lon:double,bearing_err:double,time_spread:double,origin:double>"
+
+
+def _search(rays: Column, points: Column) -> Column:
+    """Best of the points (score, lat, lon, bearing_err, time_spread, origin), null if none is possible."""
+    def score(at: Column) -> Column:
+        seen = F.transform(rays, lambda m: F.struct(
+            G.haversine_km(m["lat"], m["lon"], at["lat"], at["lon"]).alias("km"),
+            C.abs_diff_deg(G.bearing_deg(m["lat"], m["lon"], at["lat"], at["lon"]), m["dp"]).alias("err"), m["t"].alias("t"), m["cg"].alias("cg")))
+        per = F.transform(seen, lambda x: F.struct(x["km"].alias("km"), x["err"].alias("err"), (x["t"] - x["km"] / x["cg"] * 3600.0).alias("o")))
         zero = F.struct(F.lit(True).alias("ok"), F.lit(0.0).alias("e"), F.lit(0.0).alias("s"),
                         F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
         tot = F.aggregate(per, zero, lambda a, x: F.struct(
             (a["ok"] & (x["km"] >= MIN_SOURCE_KM) & (x["err"] <= MAX_BEARING_ERR)).alias("ok"),
             (a["e"] + x["err"]).alias("e"), (a["s"] + x["o"]).alias("s"),
             F.least(a["lo"], x["o"]).alias("lo"), F.greatest(a["hi"], x["o"]).alias("hi")))
-        return F.aggregate(F.array(tot), F.lit(None).cast(
-            "struct<score:double,lat:double,lon:double,bearing_err:double,time_spread:double,origin:double>"),
+        return F.aggregate(F.array(tot), F.lit(None).cast(_FIT),
             lambda _, a: F.when(a["ok"], F.struct(
-                (a["e"] / F.size(members) + (a["hi"] - a["lo"]) / 3600.0 * SPREAD_WEIGHT).alias("score"),
-                lat.alias("lat"), lon.alias("lon"), (a["e"] / F.size(members)).alias("bearing_err"),
-                ((a["hi"] - a["lo"]) / 3600.0).alias("time_spread"), (a["s"] / F.size(members)).alias("origin"))))
+                (a["e"] / F.size(rays) + (a["hi"] - a["lo"]) / 3600.0 * SPREAD_WEIGHT).alias("score"),
+                at["lat"].alias("lat"), at["lon"].alias("lon"), (a["e"] / F.size(rays)).alias("bearing_err"),
+                ((a["hi"] - a["lo"]) / 3600.0).alias("time_spread"), (a["s"] / F.size(rays)).alias("origin"))))
+
+    return F.array_min(F.transform(points, score))
+
+
+BLOCK_STEPS = 4
+
 
-    return F.array_min(F.flatten(F.transform(lats, lambda la: F.transform(lons, lambda lo: score(la, lo)))))
+def _blocks() -> Column:
+    """The coarse grid in blocks of 4 by 4 points: middle, angular radius (radians, a little too large) and points of each."""
+    def axis(lo: float, hi: float) -> list[list[float]]:
+        all_ = [lo + k * COARSE_STEP for k in range(int((hi - lo) / COARSE_STEP) + 1)]
+        return [all_[k : k + BLOCK_STEPS] for k in range(0, len(all_), BLOCK_STEPS)]
 
+    def apart(a: float, b: float, c: float, d: float) -> float:
+        a, b, c, d = (math.radians(x) for x in (a, b, c, d))
+        return 2 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
 
-def _steps(lo: Column, n: int, step: float) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + i * F.lit(step))
+    out = []
+    for lats in axis(*COARSE_LAT):
+        for lons in axis(*COARSE_LON):
+            mid = (sum(lats) / len(lats), sum(lons) / len(lons))
+            radius = max(apart(*mid, la, lo) for la in lats for lo in lons) * 1.000001 + 1e-9
+            out.append({"lat": mid[0], "lon": mid[1], "r": radius, "points": [{"lat": la, "lon": lo} for la in lats for lo in lons]})
+    # One literal that is parsed when the query is planned, instead of a thousand expressions.
+    return F.from_json(F.lit(json.dumps(out)), "array<struct<lat:double,lon:double,r:double,points:array<struct<lat:double,lon:double>>>>")
 
 
-def _count(lo: float, hi: float, step: float) -> int:
-    return int((hi - lo) / step) + 1
+def _least_score(rays: Column, b: Column) -> Column:
+    """No point of the block scores less. A cap of radius r at distance d is seen within asin(sin r / sin d) of its middle, and
+    its arrival times lie within r of the middle's; both are taken off what the middle itself would give."""
+    seen = F.transform(rays, lambda m: F.struct(
+        (G.haversine_km(m["lat"], m["lon"], b["lat"], b["lon"]) / G.EARTH_R_KM).alias("d"),
+        C.abs_diff_deg(G.bearing_deg(m["lat"], m["lon"], b["lat"], b["lon"]), m["dp"]).alias("err"), m["t"].alias("t"), m["cg"].alias("cg")))
+    clear = lambda x: (x["d"] > b["r"]) & (x["d"] + b["r"] < math.pi)
+    per = F.transform(seen, lambda x: F.struct(
+        F.when(clear(x), F.greatest(F.lit(0.0), x["err"] - F.degrees(F.asin(F.least(F.lit(1.0), F.sin(b["r"]) / F.sin(x["d"])))))).otherwise(0.0).alias("e"),
+        (x["t"] - (x["d"] + b["r"]) * G.EARTH_R_KM / x["cg"] * 3600.0).alias("lo"), (x["t"] - (x["d"] - b["r"]) * G.EARTH_R_KM / x["cg"] * 3600.0).alias("hi")))
+    err = F.aggregate(per, F.lit(0.0), lambda a, x: a + x["e"]) / F.size(rays)
+    apart = F.array_max(F.transform(per, lambda x: x["lo"])) - F.array_min(F.transform(per, lambda x: x["hi"]))
+    return err + F.greatest(F.lit(0.0), apart) / 3600.0 * SPREAD_WEIGHT
 
 
 def fit_source(groups: DataFrame) -> DataFrame:
     """One storm position per group: coarse grid first, then a fine grid around its best.
 
-    The grid is fixed and the members sit in the row, so the search needs no
-    join and no shuffle. Groups without a possible coarse candidate drop out.
+    The coarse grid is cut into blocks, each with a score that none of its points can undercut. The block with the least one is
+    searched first; then only blocks that may still beat, or tie, what it gave. The best point is the one a full search finds. The
+    members sit in the row, so there is no join and no shuffle. Groups without a possible coarse candidate drop out.
     """
-    m = F.col("members")
-    g = stage(groups, {"coarse": _search(
-        m, _steps(F.lit(COARSE_LAT[0]), _count(*COARSE_LAT, COARSE_STEP), COARSE_STEP),
-        _steps(F.lit(COARSE_LON[0]), _count(*COARSE_LON, COARSE_STEP), COARSE_STEP))})
+    blocks = _blocks()
+    g = stage(groups, {"_rays": _rays(F.col("members"))})
+    g = stage(g, {"_least": F.transform(blocks, lambda b: _least_score(F.col("_rays"), b))})
+    g = stage(g, {"_seed": _search(F.col("_rays"), F.get(blocks, F.array_position("_least", F.array_min("_least")).cast("int") - 1)["points"])})
+    limit = F.coalesce(F.col("_seed.score"), F.lit(float("inf"))) + 1e-6
+    may_win = F.filter(F.arrays_zip(F.col("_least"), blocks.alias("b")), lambda x: x["_least"] <= limit)
+    g = stage(g, {"_points": F.flatten(F.transform(may_win, lambda x: x["b"]["points"]))})
+    g = stage(g, {"coarse": _search(F.col("_rays"), F.col("_points"))})
     g = g.filter(F.col("coarse").isNotNull())
-    n = _count(-FINE_REACH, FINE_REACH, FINE_STEP)
-    fine = _search(m, _steps(F.col("coarse.lat") - FINE_REACH, n, FINE_STEP),
-                   _steps(F.col("coarse.lon") - FINE_REACH, n, FINE_STEP))
-    return stage(g, {"fit": F.coalesce(fine, F.col("coarse"))})
+    n = int(2 * FINE_REACH / FINE_STEP) + 1
+    near = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: c - FINE_REACH + i * F.lit(FINE_STEP))
+    g = stage(g, {"_fine": F.flatten(F.transform(near(F.col("coarse.lat")), lambda la: F.transform(near(F.col("coarse.lon")), lambda lo: F.struct(la.alias("lat"), lo.alias("lon")))))})
+    g = stage(g, {"fit": F.coalesce(_search(F.col("_rays"), F.col("_fine")), F.col("coarse"))})
+    return g.drop("_rays", "_least", "_seed", "_points", "_fine")
 
 
 def cluster_summary(fitted: DataFrame, keys: list[str], t: Target, now: str, tiers: list[Tier] | None = None) -> DataFrame:

@@ -233,3 +233,21 @@ def test_live_check_rates_each_model_on_what_it_has_not_seen(spark, folder):
     assert got["old"].sw1_height_ft_mae == pytest.approx(1.0) and got["new"].sw1_height_ft_mae == pytest.approx(0, abs=1e-9)
     assert got["other"].sw1_height_ft_mae == pytest.approx(0.5) and got["old"].sw1_direction_deg_mae == pytest.approx(20)
     assert L.evaluate_unseen(d, [], R.load_bands(), F.lit("x")) is None
+
+
+def test_pruned_search_equals_the_full_grid(spark):
+    from seastate.operators import swelltrack as Sw
+    rnd = random.Random(8)
+    rows = []
+    for k in range(25):
+        members = [(rnd.uniform(100, 5000), i, rnd.uniform(-42, -18), rnd.uniform(95, 125), 1.7e9 + rnd.uniform(0, 2e5), 14.0 + rnd.uniform(-1, 1), rnd.uniform(170, 260), 2.0) for i in range(rnd.randint(1, 5))]
+        rows.append((k, 14.0, members))
+    g = spark.createDataFrame(rows, "cluster int, tp_s double, members array<struct<distance_km:double,site:int,lat:double,lon:double,t_obs:double,tp_s:double,dp_deg:double,hs_m:double>>")
+    every = F.flatten(F.transform(Sw._blocks(), lambda b: b["points"]))
+    full = g.select("cluster", Sw._search(Sw._rays(F.col("members")), every).alias("f")).where("f is not null")
+    want = {r.cluster: tuple(r.f) for r in full.collect()}
+    assert len(want) > 5
+    assert {r.cluster: tuple(r.coarse) for r in Sw.fit_source(g).collect()} == want
+    least = g.select("cluster", F.explode(Sw._blocks()).alias("b"), Sw._rays(F.col("members")).alias("m"))
+    bound = least.select(Sw._least_score(F.col("m"), F.col("b")).alias("lo"), Sw._search(F.col("m"), F.col("b.points"))["score"].alias("s"))
+    assert bound.where("s < lo - 1e-9").count() == 0 and bound.where("s is not null").count() > 20
