@@ -6,12 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import circular as C
 from ..functions import timefn as T
 from ..functions import units as U
+from ..session import materialise
 from .ordered import WEEK, as_of, epoch, nearest, neighbours, running_sum
 
 # Constituent speeds in degrees per mean solar hour.
@@ -121,50 +124,95 @@ def phase_hours(ts: Column) -> Column:
     return (epoch(ts) - F.lit(float(PHASE_EPOCH_S))) / 3600.0
 
 
+FAN = 64
+_ROWS = 4096
+
+
+def _factor(blocks: list[np.ndarray]) -> np.ndarray:
+    """Upper triangle R with R'R equal to the sum of the blocks' own products, without forming any square."""
+    return np.linalg.qr(np.concatenate(blocks), mode="r")
+
+
 def fit_harmonics(series: DataFrame, keys: list[str], ts: str, v: str,
                   constituents: dict[str, float] | None = None, min_samples: int = MIN_FIT_SAMPLES) -> DataFrame:
     """Least-squares constituents: (keys, n, rms, term, a, b).
 
-    The sums of the normal equations are one distributed aggregate with
-    map-side partials; what reaches a Python task is one short row of sums per
-    station, where the small system is solved. Series under ``min_samples``
-    are refused. The mean is the term ``Z0``.
+    Each task reduces its rows of a series (basis and value side by side) to one triangular factor of fixed size; factors of ``FAN``
+    tasks meet in one, level by level, until a series has one, and its triangle is solved. Nothing is squared, so terms that are hard to
+    tell apart keep their digits. What is shuffled is one small factor per series and task, so a series with a third of all rows is
+    spread like any other. Series under ``min_samples`` are refused. The mean is the term ``Z0``.
     """
     cons = dict(constituents or CONSTITUENTS)
-    names = ["Z0", *cons]
+    names, speeds = ["Z0", *cons], np.array(list(cons.values()))
     p = 1 + 2 * len(cons)
-    x = [f"_x{i}" for i in range(p)]
     good = series.filter(F.col(v).isNotNull())
-    d = good.select(*keys, F.col(v).cast("double").alias("_y"),
-                    *[c.alias(n) for n, c in zip(x, _basis(phase_hours(F.col(ts)), cons))])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    # One aggregate per slice of the matrix keeps each generated method small.
-    sums = d.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"),
-        F.array(*[F.sum(F.col(x[i]) * F.col("_y")) for i in range(p)]).alias("xy"),
-        F.array(*[F.sum(F.col(x[i]) * F.col(x[j])) for i, j in pairs]).alias("xx"))
-    sums = sums.filter(F.col("n") >= min_samples)
-    key_schema = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    d = good.select(F.struct(*keys).alias("_key") if keys else F.struct(F.lit(0).alias("_")).alias("_key"), phase_hours(F.col(ts)).alias("_h"), F.col(v).cast("double").alias("_y"))
+    kind = d.schema["_key"].dataType.simpleString()
+    key_type = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in d.schema["_key"].dataType.fields])
+    factors = f"_key {kind}, _at long, n long, r array<double>"
+
+    def rows_of(hours: np.ndarray, y: np.ndarray) -> np.ndarray:
+        turn = np.radians(np.mod(hours[:, None] * speeds, 360.0))
+        x = np.empty((len(hours), p + 1))
+        x[:, 0], x[:, 1:p:2], x[:, 2:p:2], x[:, p] = 1.0, np.cos(turn), np.sin(turn), y
+        return x
+
+    def reduce_rows(batches):
+        from pyspark import TaskContext
+
+        held: dict = {}  # series: (rows, factor)
+        for b in batches:
+            key, hours, y = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+            code = pa.array([str(k) for k in key.to_pylist()]).dictionary_encode()
+            order = np.argsort(code.indices.to_numpy(), kind="stable")
+            cuts = np.flatnonzero(np.diff(code.indices.to_numpy()[order])) + 1
+            for part in np.split(order, cuts):
+                if not len(part):
+                    continue
+                name = code.dictionary[code.indices[int(part[0])].as_py()].as_py()
+                first, n, r = held.get(name, (key[int(part[0])].as_py(), 0, np.zeros((0, p + 1))))
+                for a in range(0, len(part), _ROWS):
+                    some = part[a : a + _ROWS]
+                    r = _factor([r, rows_of(hours[some], y[some])])
+                held[name] = (first, n + len(part), r)
+        at = TaskContext.get().partitionId()
+        yield _factor_rows(list(held.values()), at)
+
+    def _factor_rows(found: list, at: int):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], key_type), pa.array([at] * len(found), pa.int64()), pa.array([n for _, n, _ in found], pa.int64()),
+                                           pa.array([r.ravel().tolist() for _, _, r in found], pa.list_(pa.float64()))], names=["_key", "_at", "n", "r"])
+
+    def merge(table):
+        r = _factor([np.array(x).reshape(-1, p + 1) for x in table["r"].to_pylist()])
+        return _factor_table(table["_key"][0].as_py(), table["_at"][0].as_py() // FAN, sum(table["n"].to_pylist()), r)
+
+    def _factor_table(key, at, n, r):
+        return pa.Table.from_batches([_factor_rows([(key, n, r)], at)])
+
+    level = materialise(d.mapInArrow(reduce_rows, factors), "factors")
+    tasks = (level.agg(F.max("_at")).first()[0] or 0) + 1
+    while True:
+        tasks = -(-tasks // FAN)
+        level = level.groupBy("_key", F.floor(F.col("_at") / FAN)).applyInArrow(lambda table: merge(table), factors)
+        if tasks <= 1:
+            break
+    head = "".join(f"`{k}` {series.schema[k].dataType.simpleString()}, " for k in keys)
 
     def solve(batches):
-        upper = np.array(pairs)
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                m = np.zeros((p, p))
-                m[upper[:, 0], upper[:, 1]] = r.xx
-                m[upper[:, 1], upper[:, 0]] = r.xx
-                b = np.asarray(r.xy)
-                coef, *_ = np.linalg.lstsq(m, b, rcond=None)
-                rss = max(0.0, float(r.yy - 2 * coef @ b + coef @ m @ coef))
-                base = [getattr(r, k) for k in keys] + [int(r.n), math.sqrt(rss / r.n)]
-                rows.append(base + ["Z0", float(coef[0]), 0.0])
-                rows += [base + [nm, float(coef[1 + 2 * i]), float(coef[2 + 2 * i])]
-                         for i, nm in enumerate(names[1:])]
-            yield pd.DataFrame(rows, columns=[*keys, "n", "rms", "term", "a", "b"])
-
-    head = f"{key_schema}, " if keys else ""
-    return sums.mapInPandas(solve, f"{head}n long, rms double, term string, a double, b double")
+            out = []
+            for key, n, flat in zip(pdf["_key"], pdf["n"], pdf["r"]):
+                r = np.zeros((p + 1, p + 1))
+                got = np.asarray(flat, float).reshape(-1, p + 1)
+                r[: len(got)] = got
+                coef = np.linalg.lstsq(r[:p, :p], r[:p, p], rcond=None)[0]
+                left = np.append(r[:p, p] - r[:p, :p] @ coef, r[p, p])
+                base = [*([key[k] for k in keys]), int(n), math.sqrt(float(left @ left) / n)]
+                out.append([*base, "Z0", float(coef[0]), 0.0])
+                out += [[*base, name, float(coef[1 + 2 * i]), float(coef[2 + 2 * i])] for i, name in enumerate(names[1:])]
+            yield pd.DataFrame(out, columns=[*keys, "n", "rms", "term", "a", "b"])
+
+    return level.filter(F.col("n") >= min_samples).select("_key", "n", "r").mapInPandas(solve, f"{head}n long, rms double, term string, a double, b double")
 
 
 def coefficient_arrays(fit: DataFrame, keys: list[str]) -> DataFrame:

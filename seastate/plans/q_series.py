@@ -153,6 +153,19 @@ def _(v):
     return sums.join(terms, "station").select("station", "n", "terms", F.round(F.array_max("s") / F.col("n"), 6).alias("worst"))
 
 
+@query("a17_fit_long_series", f"SELECT 'all' AS station, count(*) AS n, {len(Td.CONSTITUENTS) + 1}::BIGINT AS terms, 0.0::DOUBLE AS worst FROM ev HAVING count(*) >= {Td.MIN_FIT_SAMPLES}")
+def _(v):
+    """All events as one series under the full limit of 9,600 samples: one key holds every row, and no task holds more than its share."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    far = F.timestamp_micros(F.unix_micros(start) + (F.unix_micros("ts") - F.unix_micros(start)) * _STRETCH)
+    d = v.events.select(F.lit("all").alias("station"), far.alias("t"), (F.col("value") * 0.0618).alias("v"))
+    fit = Td.fit_harmonics(d, ["station"], "t", "v")
+    left = Td.predict_harmonics(d, fit, ["station"], "t").select("station", (F.col("v") - F.col("pred")).alias("r"), *[c.alias(f"x{i}") for i, c in enumerate(Td._basis(Td.phase_hours(F.col("t")), Td.CONSTITUENTS))])
+    n = 1 + 2 * len(Td.CONSTITUENTS)
+    sums = left.groupBy("station").agg(F.count("*").alias("n"), F.greatest(*[F.abs(F.sum(F.col("r") * F.col(f"x{i}"))) for i in range(n)]).alias("s"))
+    return sums.join(fit.groupBy("station").agg(F.count("*").alias("terms")), "station").select("station", "n", "terms", F.round(F.col("s") / F.col("n"), 6).alias("worst"))
+
+
 #: Fixed coefficients of a made-up tide, one pair per constituent, for the prediction alone.
 _COEF = [("Z0", 0.4, 0.0)] + [(n, round(0.9 / (i + 1), 4), round(0.35 - 0.07 * i, 4)) for i, n in enumerate(Td.CONSTITUENTS)]
 

@@ -103,6 +103,28 @@ def test_harmonic_fit_recovers_a_tide(spark):
     assert o["x"].offset == pytest.approx(0.5, abs=1e-3) and o["short"].offset == 0.0
 
 
+def test_harmonic_fit_keeps_its_digits_where_terms_are_hardly_apart(spark, monkeypatch):
+    """9,600 samples over 120 days: K2 beside S2, P1 beside K1, half-yearly beside yearly. Factors of many tasks meet on two levels."""
+    monkeypatch.setattr(Td, "FAN", 4)
+    cons, rnd = Td.CONSTITUENTS, random.Random(2)
+    true = {n: (rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for n in cons}
+    at = F.timestamp_micros(F.lit(1704067200 * 1_000_000) + (F.col("id") * 1_080_000_000))
+    basis = Td._basis(Td.phase_hours(F.col("t")), cons)
+    y = F.lit(0.7)
+    for k, (a, b) in enumerate(true.values()):
+        y = y + F.lit(a) * basis[1 + 2 * k] + F.lit(b) * basis[2 + 2 * k]
+    df = spark.range(0, 9600, 1, 13).select(F.lit("x").alias("station"), at.alias("t")).withColumn("v", y)
+    got = {r.term: r for r in Td.fit_harmonics(df, ["station"], "t", "v").collect()}
+    assert got["Z0"].n == 9600 and got["Z0"].a == pytest.approx(0.7, abs=1e-6) and got["M2"].rms < 1e-9
+    for n, (a, b) in true.items():
+        assert got[n].a == pytest.approx(a, abs=1e-6) and got[n].b == pytest.approx(b, abs=1e-6), n
+    # Keys of several columns, a null among them, and an empty table.
+    two = df.withColumn("k", F.when(F.col("v") > 0, 1)).withColumn("v", F.lit(2.5))
+    fit = Td.fit_harmonics(two, ["station", "k"], "t", "v", min_samples=100).where("term = 'Z0'").collect()
+    assert {r.k for r in fit} == {None, 1} and sum(r.n for r in fit) == 9600 and all(r.a == pytest.approx(2.5) for r in fit)
+    assert Td.fit_harmonics(df.limit(0), ["station"], "t", "v").collect() == []
+
+
 def test_flat_top_gives_one_turn(spark):
     v = [1, 2, 3, 3, 2, 1, 1, 1, 2]
     df = spark.createDataFrame([("a", T0 + dt.timedelta(hours=i), float(x)) for i, x in enumerate(v)], "k string, t timestamp, v double")
