@@ -29,13 +29,18 @@ MIN_FIT_SAMPLES = 24 * 400
 MIN_OFFSET_SAMPLES = 24
 
 
-def turning_points(series: DataFrame, keys: list[str], ts: str, v: str, width: float = WEEK) -> DataFrame:
-    """Highs and lows against both neighbours; three equal values are no turn."""
+def mark_turns(series: DataFrame, keys: list[str], ts: str, v: str, width: float = WEEK) -> DataFrame:
+    """Every row with its ``type``: H or L where it turns against both neighbours, else null; three equal values are no turn."""
     n = neighbours(series, keys, epoch(F.col(ts)), [v], width)
     a, b, c = F.col(f"prev_{v}"), F.col(v), F.col(f"next_{v}")
     flat = (a == b) & (b == c)
     kind = F.when((b >= a) & (b >= c) & ~flat, "H").when((b <= a) & (b <= c) & ~flat, "L")
-    return n.withColumn("type", kind).filter(F.col("type").isNotNull())
+    return n.withColumn("type", kind)
+
+
+def turning_points(series: DataFrame, keys: list[str], ts: str, v: str, width: float = WEEK) -> DataFrame:
+    """The highs and lows alone."""
+    return mark_turns(series, keys, ts, v, width).filter(F.col("type").isNotNull())
 
 
 def refine_turns(turns: DataFrame, ts: str, v: str) -> DataFrame:

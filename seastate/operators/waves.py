@@ -115,6 +115,19 @@ def latest_cycle(df: DataFrame, keys: list[str], valid: str, cycle: str, values:
     return latest_by(src, [*keys, valid], [F.col(cycle)], [cycle, *values])
 
 
+def latest_cycles(df: DataFrame, keys: list[str], valid: str, cycle: str, columns: dict[str, dict[str, str]], model: str = "model",
+                  min_lead: int | None = 0, lead: str = "lead_hours") -> DataFrame:
+    """The same for several models side by side, in one aggregate over one scan.
+
+    ``columns`` names for each model the value columns and what they are called in the result; a time a model does not reach has nulls.
+    """
+    src = df.filter(F.col(model).isin(*columns))
+    src = src if min_lead is None else src.filter(F.col(lead) >= min_lead)
+    best = {m: F.max_by(F.struct(*names), F.when(F.col(model) == m, F.col(cycle))).alias(f"_{i}") for i, (m, names) in enumerate(columns.items())}
+    wide = src.groupBy(*keys, valid).agg(*best.values())
+    return wide.select(*keys, valid, *[F.col(f"_{i}.{c}").alias(to) for i, names in enumerate(columns.values()) for c, to in names.items()])
+
+
 def densify_hourly(df: DataFrame, keys: list[str], ts: str, linear: list[str], angular: list[str],
                    width: float = WEEK) -> DataFrame:
     """Insert the hours between neighbouring rows, blending along the way."""

@@ -233,16 +233,14 @@ _TL = (f"tl AS (SELECT h.station, h.hour_utc, a.sw1_height_ft AS a_h, a.sw1_peri
 
 
 def timeline(v):
-    """Both models' latest cycle, wind, tide and turns on one hourly line per station."""
-    parts = {}
-    for m, df in (("a", v.a), ("b", v.b)):
-        f = Wv.latest_cycle(df, ["station"], "valid_utc", "cycle_utc", ["sw1_height_ft", "sw1_period_s", "sw1_direction_deg"])
-        parts[m] = f.select("station", F.col("valid_utc").alias("hour_utc"), F.col("sw1_height_ft").alias(f"{m}_h"),
-                            F.col("sw1_period_s").alias(f"{m}_p"), F.col("sw1_direction_deg").alias(f"{m}_d"))
-    parts["wind"] = (v.obs.filter(F.col("partition") == 0).groupBy("station", T.snap_hour(F.col("valid_utc")).alias("hour_utc"))
-                     .agg((F.max("hs_m") * 3).alias("wind_kt"), F.max("dp_deg").alias("wind_deg")))
-    parts["tide"] = v.series.select("station", F.col("t").alias("hour_utc"), F.col("v").alias("tide"))
-    parts["hilo"] = Td.turning_points(v.series, ["station"], "t", "v").select("station", F.col("t").alias("hour_utc"), F.col("type").alias("hilo"))
+    """Both models' latest cycle, wind, tide and turns on one hourly line per station: forecasts, readings and series are each read once."""
+    names = {m: {"sw1_height_ft": f"{m.lower()}_h", "sw1_period_s": f"{m.lower()}_p", "sw1_direction_deg": f"{m.lower()}_d"} for m in ("A", "B")}
+    tide = Td.mark_turns(v.series, ["station"], "t", "v")
+    parts = {
+        "models": Wv.latest_cycles(v.forecast, ["station"], "valid_utc", "cycle_utc", names).withColumnRenamed("valid_utc", "hour_utc"),
+        "wind": (v.obs.filter(F.col("partition") == 0).groupBy("station", T.snap_hour(F.col("valid_utc")).alias("hour_utc"))
+                 .agg((F.max("hs_m") * 3).alias("wind_kt"), F.max("dp_deg").alias("wind_deg"))),
+        "tide": tide.select("station", F.col("t").alias("hour_utc"), F.col("v").alias("tide"), F.col("type").alias("hilo"))}
     return O.merge_hourly(parts, ["station", "hour_utc"])
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import units as U
 from ..functions.arrays import stage
+from ..session import materialise
 
+#: So many headers, one short row each, may go to every task.
+BROADCAST_FILES = 50_000
 # Fixed value: two-digit years from here on are in the last century.
 YEAR_PIVOT = 70
 
@@ -67,10 +70,16 @@ def headers(lines: DataFrame, plain: bool) -> DataFrame:
 
 
 def _with_header(lines: DataFrame, plain: bool = False) -> DataFrame:
-    """Data lines with their tokens and the header of their file."""
+    """Data lines with their tokens and the header of their file.
+
+    Headers are one short row a file. They are gathered and stored first; up to ``BROADCAST_FILES`` of them, as counted, go to every task, so
+    that no data line is shuffled and a long file stays spread over its blocks. Beyond that they are joined on the file.
+    """
     data = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != ""))
     if "header" not in lines.columns:
-        data = data.join(headers(lines, plain), "path").filter(F.col("pos") > F.col("_at")).drop("_at")
+        of = materialise(headers(lines, plain), "headers")
+        few = of.count() <= BROADCAST_FILES
+        data = data.join(F.broadcast(of) if few else of, "path").filter(F.col("pos") > F.col("_at")).drop("_at")
     return stage(data, {"tok": tokens(F.col("value"))})
 
 

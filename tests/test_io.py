@@ -394,13 +394,17 @@ def test_stream_windows_equal_batch(spark, folder):
     assert dd.isStreaming
 
 
-def test_plain_header_lines_are_read(spark, folder):
+@pytest.mark.parametrize("limit", [X.BROADCAST_FILES, 0])
+def test_plain_header_lines_are_read(spark, folder, monkeypatch, limit):
+    monkeypatch.setattr(X, "BROADCAST_FILES", limit)
     plain = "YY MM DD hh WVHT DPD MWD\n96 03 01 05 1.5 9.0 SE\n96 03 01 06 MM 9.0 99\n"
     put(folder, "old.txt", plain)
     put(folder, "new.txt", STATION)
     by_lines = X.parse_station(X.read_lines(spark, folder))
     whole = X.parse_station(X.read_whole(spark, folder))
     pick = lambda df: sorted((os.path.basename(r.path), r.valid_utc, r.hs_m or -1.0) for r in df.collect())
+    plan = by_lines._jdf.queryExecution().executedPlan().toString()
+    assert limit == 0 or "Exchange hashpartitioning" not in plan         # no data line is shuffled while the headers fit
     assert pick(by_lines) == pick(whole) and len([r for r in pick(whole) if r[0] == "old.txt"]) == 2
     assert (("old.txt", dt.datetime(1996, 3, 1, 5), 1.5)) in pick(whole)
 

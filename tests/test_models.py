@@ -273,3 +273,11 @@ def test_pruned_search_equals_the_full_grid(spark):
     least = g.select("cluster", F.explode(Sw._blocks()).alias("b"), Sw._rays(F.col("members")).alias("m"))
     bound = least.select(Sw._least_score(F.col("m"), F.col("b")).alias("lo"), Sw._search(F.col("m"), F.col("b.points"))["score"].alias("s"))
     assert bound.where("s < lo - 1e-9").count() == 0 and bound.where("s is not null").count() > 20
+
+
+def test_timeline_reads_each_source_once(spark):
+    from seastate.plans import q_series as Q
+    from seastate.plans.views import Views
+    plan = Q.timeline(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    # Forecasts and readings once; the series once, and once more for the edges of its blocks, from the same exchange.
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange hashpartitioning") <= 9
