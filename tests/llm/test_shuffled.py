@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from seastate.llm import attention, chaining, decontaminate, groups, jaccard, lmscore, mixing, quality, queries, surrogates, tokenids
+from seastate.llm import attention, chaining, decontaminate, groups, jaccard, lmscore, mixing, quality, queries, scan, surrogates, tokenids
 
 from .conftest import texts_of
 
@@ -292,6 +292,37 @@ def test_fuzzy_passages_are_found(spark):
     assert all(got[d].n_later_words == got[d].n_first_words == 0 for d in (20, 21, 22, 23, 24, 30, 31))
 
 
+@pytest.mark.parametrize("before", [True, False])
+def test_runs_whose_pieces_others_own_are_found(spark, before):
+    """Two documents share 220 words; nine others hold overlapping pieces of 44 words, placed before both or partly between them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    text = lambda mid: " ".join([word() for _ in range(40)] + mid + [word() for _ in range(30)])
+    shared = [word() for _ in range(220)]
+    pieces = [text(shared[22 * i : 22 * i + 44]) for i in range(9)]
+    texts = [*pieces, text(shared), text(shared)] if before else [*pieces[::2], text(shared), *pieces[1::2], text(shared)]
+    got = chaining.summarise(*chaining.find_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))).collect()
+    got = {r.doc_id: r for r in got}
+    one, two = (9, 10) if before else (5, 10)
+    assert got[two].n_later_words == 220 and got[one].n_first_words == 220 and got[one].n_later_words == 0
+    assert [(p.begin, p.end, p.with_doc) for p in got[two].passages] == [(40, 260, one)]
+    assert all(r.n_later_words == r.n_first_words == 0 for d, r in got.items() if d not in (one, two))
+
+
+def test_every_run_longer_than_a_long_window_is_found():
+    """Any two word lists with a common run of MIN_WORDS + LONG_WINDOW - 1 words keep a long seed of it in common."""
+    rng = np.random.default_rng(5)
+    size = chaining.MIN_WORDS + chaining.LONG_WINDOW - 1
+    for _ in range(50):
+        run = rng.integers(0, 2**63, size)
+        kept = []
+        for _side in range(2):
+            words = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 90)), run, rng.integers(0, 2**63, rng.integers(0, 90))]).astype(np.uint64)
+            h = scan.WordSums(words).windows(chaining.MIN_WORDS)
+            kept.append(set(h[chaining.minimizers(h, chaining.LONG_WINDOW)].tolist()))
+        assert kept[0] & kept[1]
+
+
 def test_chaining_on_odd_rows(spark, odd, none):
     got = chaining.summarise(*chaining.find_repeats(odd)).collect()
     assert len(got) == odd.count()
