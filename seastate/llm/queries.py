@@ -115,7 +115,7 @@ SITE_RULES = [
 ]
 PATTERN_RULES = [
     urlrules.PatternRule("block", p)
-    for p in ("^casino^", "^poker^", "^betting^", "^porn^", "^xxx^", "^viagra^", "^payday^loan^", "^free^download^crack^", "^adserver^", "^malware^")
+    for p in ("^casino^", "^cheap^pills^", "^free^bets^", "^spam^", "^adult^", "^ads^track^", "^payday^loan^", "^malware^")
 ]
 
 

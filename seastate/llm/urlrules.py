@@ -2,7 +2,7 @@
 
 Every rule names literal tokens (runs of letters and digits between separators) that any matching URL must hold. How often those
 tokens occur in the URLs at hand is counted first; each rule is then filed under its rarest token. A URL is cut into tokens,
-fetches the rules filed under them, and only those rules run their regular expression. Rules without a bounded token are tried
+fetches the rules filed under them, and only those rules run their regular expression, which is compiled when first needed. Rules without a bounded token are tried
 on every URL.
 
 Two kinds of rule: *site* rules (host and path prefix, subdomains included; the longest wins) decide first; URLs without one get the
@@ -17,6 +17,7 @@ given by the caller and held in every task; ``MAX_RULES`` bounds it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -73,7 +74,8 @@ class RuleIndex:
     def __init__(self, rules: Sequence, counts: dict[str, int]):
         self.filed: dict[str, list[int]] = {}
         self.always: list[int] = []
-        self.regex = [re.compile(r.regex()) for r in rules]
+        self.rules = rules
+        self.compiled: dict[int, re.Pattern] = {}
         for k, r in enumerate(rules):
             tokens = r.tokens()
             if tokens:
@@ -85,7 +87,24 @@ class RuleIndex:
         found = list(self.always)
         for t in set(TOKEN.findall(text)):
             found += self.filed.get(t, ())
-        return [k for k in found if self.regex[k].search(text)]
+        return [k for k in found if self.regex(k).search(text)]
+
+    def regex(self, k: int) -> re.Pattern:
+        """A rule's expression, compiled when the first URL fetches the rule."""
+        if k not in self.compiled:
+            self.compiled[k] = re.compile(self.rules[k].regex())
+        return self.compiled[k]
+
+
+_HELD: dict[str, tuple[RuleIndex, RuleIndex]] = {}
+
+
+def _indexes(key: str, sites: Sequence, patterns: Sequence, counts: dict[str, int]) -> tuple[RuleIndex, RuleIndex]:
+    """The indexes of one judgement, built once per worker process; those of an earlier judgement go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = RuleIndex(sites, counts), RuleIndex(patterns, counts)
+    return _HELD[key]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -119,9 +138,10 @@ def judge_urls(pages: DataFrame, sites: Sequence[SiteRule], patterns: Sequence[P
     sites = sorted(sites, key=lambda r: (-len(r.name), r.verdict != "block", r.name))
     patterns = sorted(patterns, key=lambda r: (r.verdict != "block", r.pattern))
     counts = token_counts(pages, frozenset(t for r in (*sites, *patterns) for t in r.tokens()), url_col)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_site, by_pattern = RuleIndex(sites, counts), RuleIndex(patterns, counts)
+        by_site, by_pattern = _indexes(key, sites, patterns, counts)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for url in b.column(1).to_pylist():

@@ -123,9 +123,17 @@ def test_decontamination_on_odd_rows(spark, odd, none, monkeypatch):
     assert decontaminate.clean(odd, bench).count() == clean.count()
 
 
+def test_half_of_the_pattern_rules_fire(spark):
+    """On the pages of the 0.01 tables, among urls that no site rule decides."""
+    got = queries.QUERIES["op8_url_filters"](spark, "/root/testdata/sf0.01")
+    fired = {r.pattern for r in got.where("pattern IS NOT NULL").select("pattern").distinct().collect()}
+    assert 2 * len(fired) >= len(queries.PATTERN_RULES)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "http://A.com", "http://A.com/x", "http://example.com/en/", "http://www.EXAMPLE.com/en/?q", "http://wwwexample.com/en/",
-            "https://x.net/es/1#t", "https://x.net/EN/", "https://best.casino.org/", "https://casinos.org/", "http://net/fr/", "a://b://c.net/fr/"]
+            "https://x.net/es/1#t", "https://x.net/EN/", "https://best.casino.org/", "https://casinos.org/", "http://net/fr/", "a://b://c.net/fr/",
+            "https://a.org/" + "x/" * 200_000 + "casino/", "https://spam.org/" + "casino" * 50_000]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls[:2])] + [(None, urls[5], None)], "page_id long, url string, host string")
     got = urlrules.judge_urls(pages, queries.SITE_RULES, queries.PATTERN_RULES).collect()
 
@@ -141,8 +149,10 @@ def test_url_rules(spark):
     assert len(got) == pages.count()
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == plain((urls + urls[:2])[r.page_id] if r.page_id is not None else urls[5])
-    assert {r.page_id for r in got if r.pattern} == {11}
+    assert {r.page_id for r in got if r.pattern} == {11, 15, 16}
     assert urlrules.judge_urls(pages.limit(0), queries.SITE_RULES).collect() == []
     assert {r.verdict for r in urlrules.judge_urls(pages, []).collect()} == {"allow"}
+    lazy = urlrules.RuleIndex(queries.PATTERN_RULES, {})
+    assert not lazy.compiled and lazy.matches("http://a.org/casino/") == [0] and list(lazy.compiled) == [0]
     index = urlrules.RuleIndex(queries.SITE_RULES, {"com": 9, "net": 5, "es": 1, "fr": 1, "example": 3, "en": 2, "www": 1})
     assert index.filed == {"com": [0], "en": [1], "www": [2], "es": [3], "fr": [4]} and not index.always
