@@ -323,13 +323,6 @@ def test_every_run_longer_than_a_long_window_is_found():
         assert kept[0] & kept[1]
 
 
-def test_long_matches_step_back_where_short_ones_do():
-    pos, lead = np.array([10, 54, 20, 30, 100, 144, 110, 120], np.int32), np.array([110, 154, 120, 130, 300, 344, 310, 321], np.int32)
-    kind = np.array([1, 2, 0, 0, 1, 2, 0, 0], np.int32)  # the second run has one short match on its diagonal
-    assert chaining.needed(pos, lead, kind).tolist() == [False, False, True, True, True, True, True, True]
-    assert chaining.needed(pos[:2], lead[:2], kind[:2]).all()
-
-
 def test_chaining_on_odd_rows(spark, odd, none):
     got = chaining.summarise(*chaining.find_repeats(odd)).collect()
     assert len(got) == odd.count()
