@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -31,18 +32,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sea
     return spark
 
 
+@cache
+def _test_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     Only a session on one machine that names none (tests) gets a temporary
-    folder, recorded in the session; a cluster must name its own.
+    folder, the same one for the life of the process; a cluster must name its own.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        root = _test_dir()
     return root.rstrip("/")
 
 
