@@ -123,6 +123,47 @@ def test_decontamination_on_odd_rows(spark, odd, none, monkeypatch):
     assert decontaminate.clean(odd, bench).count() == clean.count()
 
 
+def brute_hits(text, items, window=10):
+    """(hit positions, ids of items with an occurring window) of one text."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    w, hits, ids = cut(text), set(), set()
+    for i, t in items:
+        v = cut(t)
+        k = min(window, len(v))
+        for g in {tuple(v[s : s + k]) for s in range(len(v) - k + 1)} if k else ():
+            for s in range(len(w) - k + 1):
+                if tuple(w[s : s + k]) == g:
+                    hits |= set(range(s, s + k))
+                    ids.add("" if i is None else str(i))
+    return sorted(hits), sorted(ids)
+
+
+def test_decontamination_against_brute_force_in_blocks(spark, monkeypatch):
+    """Few words, so that windows are shared by items, repeat within one, and meet documents everywhere; one row is a third of the benchmark."""
+    rng = random.Random(8)
+    say = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choices(["a", "B", "é", "c3", "Ab"], k=n))
+    items = [(i % 9, say(rng.choice([1, 3, 9, 10, 11, 40]))) for i in range(20)] + [(4, None), (5, "..."), (None, "c3 c3 c3 c3"), (7, "a " * 60)] + [(3, say(12))] * 12
+    docs = [(i, say(rng.choice([0, 2, 10, 300]))) for i in range(40)] + [(40, "A " * 30), (41, None)]
+    bench, texts = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {i: brute_hits(t, items) for i, t in docs}
+    for words in (decontaminate.BLOCK_WORDS, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        assert {r.doc_id: (r.hits, r["items"]) for r in decontaminate.mark_hits(texts, bench).collect()} == want
+        assert {r.doc_id for r in decontaminate.clean(texts, bench).collect()} == {i for i, (h, _) in want.items() if not h}
+    assert len(list(decontaminate.window_blocks(bench, 10))) > 3
+
+
+def test_window_index_is_small():
+    """16 bytes a word, the text once, and a bitmap per length; equal windows of an item are held once."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(200)] + ["same " * 5000]
+    block = decontaminate.Block(pa.array([str(i) for i in range(201)]), pa.array(texts), 10)
+    index = block.index()
+    held = sum(x.nbytes for w in index.sizes.values() for x in (w.known, w.item, w.start))
+    assert block.index() is index and held <= 16 * 200 * 500 and len(index.plain) <= sum(map(len, texts)) + 201
+    assert len(index.sizes[10].known) == 200 * 491 + 1
+
+
 def test_half_of_the_pattern_rules_fire(spark):
     """On the pages of the 0.01 tables, among urls that no site rule decides."""
     got = queries.QUERIES["op8_url_filters"](spark, "/root/testdata/sf0.01")
