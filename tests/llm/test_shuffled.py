@@ -220,6 +220,69 @@ def test_surrogates_of_letters_of_any_script():
     assert new[1] != "王小明" and all(surrogates.unicodedata.name(c).startswith("CJK") for c in new[1]) and surrogates._script(new[4]) == "latin"
 
 
+def found(text):
+    return [(m.kind, text[m.start : m.end]) for m in surrogates.find(text)]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("at +44 20 7946 0958, 06 12 34 56 78", [("phone", "+44 20 7946 0958"), ("phone", "06 12 34 56 78")]),
+    ("fe80::1ff:fe23:4567:890a at 12:30:45, a::b", [("ip", "fe80::1ff:fe23:4567:890a")]),
+    ("password: hunter22x. secret: everything", [("secret", "hunter22x")]),
+    ("gb82 west 1234 5698 7654 32 then", [("iban", "gb82 west 1234 5698 7654 32")]),
+    ("ES91 2100 0418 4502 0005 1332 paid", [("iban", "ES91 2100 0418 4502 0005 1332")]),
+    ("Maria van der Berg", [("given", "Maria"), ("surname", "Berg")]),
+    ("MARIA GARCIA or Maria", [("given", "MARIA"), ("surname", "GARCIA"), ("given", "Maria")]),
+    ("order 1234567890123, card 4222222222222", [("card", "4222222222222")]),
+    ("Mr Long has a Long day, said Long", [("surname", "Long"), ("surname", "Long")]),
+    ("Мария сказала", []),
+    ("Dr Xenia Petrov", [("forename", "Xenia"), ("surname", "Petrov")]),
+])
+def test_forms_of_personal_data(text, want):
+    assert found(text) == want
+
+
+def test_surrogates_keep_gender_and_family():
+    new = lambda t: surrogates.rewrite(t, b"k", {})[0].split()
+    mrs, mr = new("Mrs Xenia Petrova knows Xenia"), new("Mr Xenon Petrov left")
+    assert mrs[1].endswith("a") and mrs[1] == mrs[4] != "Xenia" and mr[1][-1] in "nrsl" and mrs[2] == mr[2] + "a" != "Petrova"
+    she, he = new("Госпожа Иванова")[1], new("Господин Иванов")[1]
+    assert she == he + "а" != "Иванова"
+    assert new("Κυρία Παπαδοπούλου")[1].endswith("ου") and new("Κύριος Παπαδόπουλος")[1].endswith("ος")
+    for kind, ends in (("forename_f", "a"), ("forename_m", "nrsl"), ("forename", "e")):
+        drawn = {surrogates.surrogate(kind, f"n{i}", b"k") for i in range(300)}
+        assert all(x[-1] in ends and x not in surrogates._KNOWN for x in drawn)
+
+
+def test_surrogates_keep_the_form_of_addresses():
+    for ip in ("2001:db8::1", "2001:0DB8:0000:0000:0000:ff00:0042:8329", "fe80::1ff:fe23:4567:890a"):
+        new = surrogates.rewrite(ip, b"k", {})[0]
+        assert new != ip and [len(g) for g in new.split(":")] == [len(g) for g in ip.split(":")]
+    a, b = (surrogates.rewrite(x, b"k", {})[0] for x in ("2001:db8::1:7", "2001:0db8:0000:0000:0000:0000:0001:0007"))
+    assert surrogates.IPv6Address(a) == surrogates.IPv6Address(b)
+
+
+def test_surrogates_against_plain_python(spark):
+    """Enough short surnames that some draw the same surrogate; every text as a loop over all entities gives it."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choices("bcdfgklmnp", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfgklmnp", k=1)).title()
+    texts = [f"Mr {name()} and Mrs {name()} {name()} called +1 (0{rng.randrange(10, 99)}) 555-{rng.randrange(1000, 9999)}" for _ in range(250)]
+    texts += texts[:20] + ["nothing", "", None]
+    key, tried = b"k", {(m.kind, m.value): 0 for t in texts for m in surrogates.find(t) if m.kind != "given"}
+    while True:
+        drawn = {e: surrogates.surrogate(*e, key, n) for e, n in tried.items()}
+        owner = {}
+        for (kind, value), new in drawn.items():
+            owner[kind, new] = min(owner.get((kind, new), (99, "")), (tried[kind, value], value))
+        again = [e for e, new in drawn.items() if owner[e[0], new][1] != e[1] or (e[0], new) in tried]
+        if not again:
+            break
+        for e in again:
+            tried[e] += 1
+    assert any(tried.values()) and len({(k, new) for (k, _), new in drawn.items()}) == len(drawn)
+    got = surrogates.replace(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), key)
+    assert {r.doc_id: r.text for r in got.collect()} == {i: surrogates.rewrite(t, key, tried)[0] for i, t in enumerate(texts)}
+
+
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     """With surrogates of few values, all entities still end apart, and none equals a value of the corpus."""
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, key, attempt=0: f"{kind}{zlib.crc32(f'{value}/{attempt}'.encode()) % 60}")
