@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import stage
@@ -32,11 +32,12 @@ class Break:
     weights: dict[str, float]
     potential: dict[str, list[list[float]]]
     ladder: list[WindStep]
+    poor_below: float
 
 
 def load_break(path: str | None = None) -> Break:
     raw = _toml(path, "sections.toml")
-    return Break([Section(**s) for s in raw["section"]], raw["weights"], raw["potential"], load_wind_ladder(path))
+    return Break([Section(**s) for s in raw["section"]], raw["weights"], raw["potential"], load_wind_ladder(path), raw["poor_below"])
 
 
 def merge_hourly(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -93,7 +94,7 @@ def rank_sections(df: DataFrame, b: Break, height: str, period: str, direction:
     each = []
     for i, s in enumerate(b.sections):
         score = F.rint(F.col(f"_mix_{i}") * F.col(f"_size_{i}") * F.col("_potential") * (100.0 * s.standing)).cast("int")
-        low = [F.when(F.col(f"_{k}_{i}") < 0.4, F.lit(f"poor {k}")) for k in ("size", *names)]
+        low = [F.when(F.col(f"_{k}_{i}") < b.poor_below, F.lit(f"poor {k}")) for k in ("size", *names)]
         each.append(F.struct(
             F.struct((-score).alias("s"), F.lit(i).alias("i")).alias("order"), F.lit(s.key).alias("section"), score.alias("score"),
             F.rint(F.col(f"_mix_{i}") * 100.0).cast("int").alias("raw_score"), F.round(f"_size_{i}", 2).alias("size_fit"),
@@ -106,9 +107,17 @@ def best_section(ranked: str = "ranked") -> Column:
 
 
 def stride_from_first(df: DataFrame, keys: list[str], ts: str, hours: int = 3) -> DataFrame:
-    """Every third hour counted from the first row of the series."""
-    first = df.groupBy(*keys).agg(F.hour(F.min(ts)).alias("_h0"))
-    return df.join(first, keys).filter(F.pmod(F.hour(ts) - F.col("_h0"), F.lit(hours)) == 0).drop("_h0")
+    """Every third hour counted from the first row of the series.
+
+    The first hour reaches the rows by way of one small row per day of a series, so rows meet it on the day and a long series
+    is spread over its days.
+    """
+    day = F.to_date(ts).alias("_day")
+    days = df.groupBy(*keys, day).agg(F.min(ts).alias("_first"))
+    series = Window.partitionBy(*keys)
+    days = days.select(*keys, "_day", F.hour(F.min("_first").over(series)).alias("_h0"))
+    d = df.withColumn("_day", day)
+    return d.join(days, [*keys, "_day"]).filter(F.pmod(F.hour(ts) - F.col("_h0"), F.lit(hours)) == 0).select(*df.columns)
 
 
 def daylight(df: DataFrame, sun: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -163,14 +172,17 @@ def usage_counts(df: DataFrame, label: str, ts: str) -> DataFrame:
 
 
 def boundary_table(df: DataFrame, keys: list[str], height: str, period: str, bands, height_step: float = 0.5,
-                   period_step: float = 1.0) -> DataFrame:
-    """Category at every cell of a height by period chart, sized by the data of each key.
+                   period_step: float = 1.0, chart: tuple[float, float] | None = None) -> DataFrame:
+    """Category at every cell of a height by period chart, sized by the data of each key, or by ``chart`` (height, period) for all.
 
-    One row of limits per key, expanded by two sequences of fixed steps.
+    One row of limits per key, expanded by two sequences of fixed steps. With ``chart`` the number of cells does not depend on the data.
     """
     from ..functions.rules import swell_category
 
-    lim = df.groupBy(*keys).agg(F.ceil(F.max(height)).alias("_h"), F.max(period).alias("_p"))
+    if chart is None:
+        lim = df.groupBy(*keys).agg(F.ceil(F.max(height)).alias("_h"), F.max(period).alias("_p"))
+    else:
+        lim = df.select(*keys).distinct().select(*keys, F.lit(chart[0]).alias("_h"), F.lit(chart[1]).alias("_p"))
     cells = lim.withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_h") / height_step).cast("int"))))
     cells = cells.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_p") / period_step).cast("int"))))
     cells = cells.select(*keys, (F.col("_i") * height_step).alias("height_ft"), (F.col("_j") * period_step).alias("period_s"))

@@ -12,15 +12,15 @@ MIN_TEST_ROWS = 1000
 HEIGHT_SKILL_FLOOR = 0.0
 
 
-def select_models(models: DataFrame, scope: list[str], show: int = 3) -> DataFrame:
+def select_models(models: DataFrame, scope: list[str], show: int = 3, min_test_rows: int = MIN_TEST_ROWS) -> DataFrame:
     """Per scope: the best eligible model, then the most recent others.
 
     ``models`` has name, trained_utc, n_test_rows, composite_skill and
-    sw1_height_skill. Without an eligible model the newest are shown. The best
+    sw1_height_skill. A model is eligible from ``min_test_rows`` holdout rows on. Without an eligible model the newest are shown. The best
     is found by an aggregate, and each pass of the top list keeps ``show``
     rows per task before anything is shuffled.
     """
-    ok = (F.col("composite_skill").isNotNull() & (F.col("n_test_rows") >= MIN_TEST_ROWS)
+    ok = (F.col("composite_skill").isNotNull() & (F.col("n_test_rows") >= min_test_rows)
           & (F.col("sw1_height_skill") >= HEIGHT_SKILL_FLOOR))
     rank = F.struct("composite_skill", "trained_utc", "name")
     best = models.groupBy(*scope).agg(F.max_by("name", F.when(ok, rank)).alias("_best"))

@@ -240,11 +240,12 @@ def predict_harmonics(times: DataFrame, fit: DataFrame, keys: list[str], ts: str
             .withColumn(out, F.aggregate("terms", F.lit(0.0), add)).drop("terms"))
 
 
-def datum_offset(pred: DataFrame, live: DataFrame, keys: list[str], ts: str, pred_v: str, live_v: str) -> DataFrame:
-    """Mean of prediction minus live over their overlap; 0 under a day of overlap."""
+def datum_offset(pred: DataFrame, live: DataFrame, keys: list[str], ts: str, pred_v: str, live_v: str,
+                 min_samples: int = MIN_OFFSET_SAMPLES) -> DataFrame:
+    """Mean of prediction minus live over their overlap; 0 where fewer than ``min_samples`` (a day) overlap."""
     j = live.filter(F.col(live_v).isNotNull()).join(pred, [*keys, ts], "left")
     n = F.count(F.col(pred_v))
-    off = F.when(n >= MIN_OFFSET_SAMPLES, F.avg(F.col(pred_v) - F.col(live_v))).otherwise(F.lit(0.0))
+    off = F.when(n >= min_samples, F.avg(F.col(pred_v) - F.col(live_v))).otherwise(F.lit(0.0))
     return j.groupBy(*keys).agg(n.alias("overlap"), off.alias("offset"))
 
 

@@ -39,6 +39,28 @@ def test_selection_rules(spark):
     assert chosen(models(spark, tie)) == ["b", "c", "a"]
 
 
+def test_stride_counts_from_the_first_row_of_a_long_series(spark):
+    """Series that start at any hour, over days with gaps; the rows of a hot one meet their first hour by the day, not by the station alone."""
+    rng = random.Random(2)
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), h) for s, n in (("hot", 900), ("b", 40), ("c", 1)) for h in sorted(rng.sample(range(5, 2000), n))]
+    df = spark.createDataFrame([*rows, ("b", None, -1), (None, rows[0][1], -2)], "station string, t timestamp, v int")
+    first = {s: min(h for x, _, h in rows if x == s) for s, _, _ in rows}
+    got = O.stride_from_first(df, ["station"], "t")
+    assert got.columns == df.columns
+    assert sorted((r.station, r.v) for r in got.collect()) == sorted((s, h) for s, _, h in rows if (h - first[s]) % 3 == 0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    condition = plan.split("Join Inner", 1)[1].split("\n", 1)[0]
+    assert "(station#" in condition and "(_day#" in condition
+
+
+def test_limits_are_parameters(spark):
+    models = spark.createDataFrame([("s", "m", 1, 60, 0.5, 0.2)], "scope string, name string, trained_utc int, n_test_rows int, composite_skill double, sw1_height_skill double")
+    best = lambda **k: [r.is_best for r in G.select_models(models, ["scope"], **k).collect()]
+    assert best() == [False] and best(min_test_rows=60) == [True]
+    obs = spark.createDataFrame([("s", 1e6, 3.0)], "station string, h double, p double")
+    assert O.boundary_table(obs, ["station"], "h", "p", R.load_bands(), chart=(4.0, 2.0)).count() == 9 * 3
+
+
 def test_composite_needs_every_part(spark):
     rows = [("m", v, 0.5, 1.0) for v in M.SKILL_WEIGHTS if v != "surfer_f1"] + [("m", "surfer_f1", 0.8, 0.6)]
     full = M.composite_skill(spark.createDataFrame(rows, "name string, variable string, model_value double, ref_value double"), ["name"]).first()
