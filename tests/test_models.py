@@ -303,3 +303,20 @@ def test_timeline_reads_each_source_once(spark):
     plan = Q.timeline(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     # Forecasts and readings once; the series once, and once more for the edges of its blocks, from the same exchange.
     assert plan.count("FileScan") <= 4 and plan.count("Exchange hashpartitioning") <= 9
+
+
+def test_trees_hold_many_stations(spark):
+    """The plan does not grow with the stations: thousands of one-hot columns overflowed the stack."""
+    d = P.time_split(paired(spark))
+    train, test = d.filter(~F.col("is_test")), d.filter("is_test")
+    stations = ["s0", "s1"] + [f"t{i:04d}" for i in range(1500)]
+    assert {r.fitted for r in Ml.fit_report(train, stations).collect()} == {True}
+    models = Ml.fit_trees(train, stations, ["sw1_height_ft"], rounds=2, depth=2)
+    assert models["sw1_height_ft"].stages[-1].numFeatures == len(Ml.feature_columns(stations))
+    Ml.check_features(models["sw1_height_ft"], Ml.feature_columns(stations))
+    with pytest.raises(ValueError):
+        Ml.check_features(models["sw1_height_ft"], Ml.feature_columns(stations[::-1]))
+    assert Ml.apply_trees(test, models, stations).filter("pred_sw1_height_ft is null").count() == 0
+    unknown = test.withColumn("station", F.when(F.col("lead_hours") > 6, "elsewhere"))  # unknown: no station's column; null: no prediction
+    got = Ml.apply_trees(unknown, models, stations)
+    assert got.filter(F.col("station").isNull() != F.col("pred_sw1_height_ft").isNull()).count() == 0
