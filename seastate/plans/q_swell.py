@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import circular as C
 from ..operators import swelltrack as Sw
 from ..operators import waves as Wv
-from ..functions.rules import load_tiers, load_window
+from ..functions.rules import SwellWindow, load_tiers, load_window
 from .ctes import (IN_CORE, IN_EDGE, GROUP_KMH, bearing, cdiff, cosd, epoch, haversine, iso, m2ft, m360, r6, rint, score_sql, sec, sind, spread)
 from .q_functions import TARGET, TLAT, TLON
 from .registry import query
@@ -31,13 +33,17 @@ def _(v):
         "site", "line", "time", "distance_km", "bearing", "north_offset", "hs_ft", "transit_hours")
 
 
+# Sources are traced over a wider range of directions than the one that scores swell, so that none near its edges is left out.
+TRACED = (150.0, 265.0)
+TRACE = replace(TARGET, window=SwellWindow(((TRACED[0], 0.0), *TARGET.window.rose[1:-1], (TRACED[1], 0.0)), TARGET.window.floor_s))
+
 _SOL = f"""s0 AS (SELECT *, unnest(range(12, 193, 3)) AS tau_h FROM (SELECT r.site, s.line, s.lat, s.lon, r.time, r.hs_m, r.tp_s, r.dp_deg, r.now FROM SRC r JOIN site s USING (site))),
  s1 AS (SELECT *, {_CG} * tau_h AS src_km FROM s0),
  s2 AS (SELECT *, degrees(asin({sind('lat')} * cos(src_km / 6371.0) + {cosd('lat')} * sin(src_km / 6371.0) * {cosd('dp_deg')})) AS src_lat FROM s1),
  s3 AS (SELECT *, {m360(f"lon + degrees(atan2({sind('dp_deg')} * sin(src_km / 6371.0) * {cosd('lat')}, cos(src_km / 6371.0) - {sind('lat')} * {sind('src_lat')})) + 540.0")} - 180.0 AS src_lon
   FROM s2 WHERE src_lat BETWEEN -68 AND 5),
  s4 AS (SELECT *, {bearing(TLAT, TLON, 'src_lat', 'src_lon')} AS theta, {haversine('src_lat', 'src_lon', TLAT, TLON)} AS to_km FROM s3),
- s5 AS (SELECT *, {epoch('time')} - tau_h * 3600.0 + to_km / {_CG} * 3600.0 AS arrive_epoch FROM s4 WHERE theta {IN_EDGE}),
+ s5 AS (SELECT *, {epoch('time')} - tau_h * 3600.0 + to_km / {_CG} * 3600.0 AS arrive_epoch FROM s4 WHERE theta BETWEEN {TRACED[0]} AND {TRACED[1]}),
  sol AS (SELECT *, (arrive_epoch - {epoch('now')}) / 3600.0 AS lead_h, theta {IN_CORE} AS in_core, {m2ft('hs_m * ' + spread('src_km', 'to_km'))} AS hs_at FROM s5
   WHERE (arrive_epoch - {epoch('now')}) / 3600.0 BETWEEN -6 AND 216)"""
 _LAST = _SOL.replace("SRC", "sent")
@@ -49,7 +55,7 @@ _BELT = "CASE WHEN round(src_lat, 2) BETWEEN -60 AND -35 THEN 0.0 ELSE least(abs
 @query("f22_translate_readings", f"WITH {_LAST} SELECT site, tau_h::INTEGER AS tau_h, {r6('src_lat')} AS src_lat, {r6('src_lon')} AS src_lon, {r6('to_km')} AS to_km, {r6('theta')} AS theta, "
        f"{r6('lead_h')} AS lead_h, {r6('hs_at')} AS hs_ft_at_target, in_core FROM sol")
 def _(v):
-    return Sw.translate(v.sentinels, TARGET, "now").select("site", "tau_h", "src_lat", "src_lon", "to_km", "theta", "lead_h", "hs_ft_at_target", "in_core")
+    return Sw.translate(v.sentinels, TRACE, "now").select("site", "tau_h", "src_lat", "src_lon", "to_km", "theta", "lead_h", "hs_ft_at_target", "in_core")
 
 
 @query("w14_a25_best_solution", f"""WITH {_ALL}, rk AS (SELECT *, row_number() OVER (PARTITION BY site, time, hs_m, tp_s, dp_deg ORDER BY CASE WHEN in_core THEN 0 ELSE 1 END, {_BELT}, tau_h) AS rn FROM sol),
@@ -61,7 +67,7 @@ def _(v):
     """Every distinct reading of the history traced to its best source."""
     keys = ["site", "time", "hs_m", "tp_s", "dp_deg"]
     r = v.readings.select(*keys).distinct().join(v.sites.select("site", "lat", "lon"), "site").withColumn("now", F.col("time"))
-    b = Sw.best_solution(r, TARGET, "now")
+    b = Sw.best_solution(r, TRACE, "now")
     return b.select(*keys, "tau_h", "lead_h", "lead_min", "lead_max", "dir_min", "dir_max", "n_solutions")
 
 
