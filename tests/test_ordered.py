@@ -95,3 +95,33 @@ def test_dense_position(spark):
         mine = sorted((r.t, r.pos, r.n) for r in out if r.k == k)
         assert [p for _, p, _ in mine] == list(range(1, len(mine) + 1))
         assert {n for _, _, n in mine} == {len(mine)}
+
+
+def test_best_solution_equals_the_ranked_solutions(spark):
+    """Readings traced in arrays against every solution listed by ``translate``, ranked in plain Python."""
+    from seastate.operators import swelltrack as Sw
+
+    rnd = random.Random(21)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.uniform(-60, 10), rnd.uniform(40, 170), t0 + dt.timedelta(hours=rnd.randrange(500)), rnd.uniform(0.1, 6),
+             rnd.choice([None, 0.0, *[rnd.uniform(6, 22)] * 9]), rnd.uniform(0, 360)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "site long, lat double, lon double, time timestamp, hs_m double, tp_s double, dp_deg double").withColumn("now", F.col("time"))
+    t = Sw.Target()
+    core = F.when(F.col("in_core"), 0).otherwise(1)
+    want = {}
+    all_ = Sw.translate(d.filter("tp_s > 0"), t, "now").select("site", core.alias("core"), Sw.belt_distance(F.col("src_lat")).alias("belt"), "tau_h", "lead_h", "theta")
+    for r in all_.collect():
+        want.setdefault(r.site, []).append(r)
+    got = {r.site: r for r in Sw.best_solution(d, t, "now").collect()}
+    assert set(got) == set(want) and len(want) > 300
+    for site, rs in want.items():
+        best, g = min(rs, key=lambda r: (r.core, round(r.belt * 2000), r.tau_h)), got[site]
+        assert (g.tau_h, g.n_solutions, g.dir_min, g.dir_max) == (best.tau_h, len(rs), min(round(r.theta) for r in rs), max(round(r.theta) for r in rs))
+        assert abs(g.lead_h - best.lead_h) < 1e-9 and abs(g.lead_min - min(r.lead_h for r in rs)) < 1e-6 and abs(g.lead_max - max(r.lead_h for r in rs)) < 1e-6
+
+
+def test_traced_directions_hold_the_first_ones():
+    from seastate.plans import q_swell
+
+    assert q_swell.TRACED[0] <= 165 and q_swell.TRACED[1] >= 250
+    assert q_swell.TRACE.window.edge == q_swell.TRACED
