@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import latest_by
+from ..session import settings
 from .snapshots import exists, replace_parts, touched
 
 
@@ -13,7 +14,13 @@ def fold(new: DataFrame, path: str, schema: str, keys: list[str], order: list[Co
     """Merge ``new`` into the table: per key the row that is greatest by ``order`` stays. Returns whether something was written.
 
     With ``skip_known`` a batch that would change nothing is not written: every key is stored with an order at least as great.
+    A stream with state turns adaptive execution off for its batches too; here it is on, so a large partition is split over tasks.
     """
+    with settings(new.sparkSession, spark__sql__adaptive__enabled="true"):
+        return _fold(new, path, schema, keys, order, parts, skip_known)
+
+
+def _fold(new: DataFrame, path: str, schema: str, keys: list[str], order: list[Column], parts: list[str], skip_known: bool) -> bool:
     best = latest_by(new, keys, order)
     if exists(new.sparkSession, path):
         old = touched(new, path, schema, parts).select(*best.columns)

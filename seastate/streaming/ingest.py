@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import timefn as T
+from ..session import settings
 from ..sources.archive import OBS_KEYS
 from ..sources.fold import fold
 from ..sources.snapshots import drop_parts, load, touched
 from ..sources.tables import append_or_update
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_on_disk(spark: SparkSession):
+    """For streams begun inside: state in RocksDB, whose memory has one limit per executor, instead of the heap."""
+    return settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true")
+
+
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
@@ -58,8 +67,14 @@ def ingest_cycles(stream: DataFrame, path: str, checkpoint: str) -> None:
         b, path, schemas.FORECAST, ["model", "station", "cycle_utc", "valid_utc"], "cycle_utc", ["ingest_utc"]))
 
 
-def first_wins(stream: DataFrame, ts: str = "valid_utc", delay: str = "2 days") -> DataFrame:
-    """Streaming dedupe that keeps the first copy inside the watermark."""
+def first_wins(stream: DataFrame, ts: str = "valid_utc", delay: str | None = "2 days") -> DataFrame:
+    """Streaming dedupe that keeps the first copy inside the watermark.
+
+    Rows older than the watermark are dropped. Without a ``delay`` there is none: every reading passes once, however late, and state
+    grows with the readings (begin such a stream in ``state_on_disk``).
+    """
+    if delay is None:
+        return stream.dropDuplicates(OBS_KEYS)
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(OBS_KEYS)
 
 

@@ -20,11 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from ..session import delete, work_path
 from ..sources.snapshots import drop_parts
-from .ingest import upsert_by_day
-
-PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from .ingest import state_on_disk, upsert_by_day
 
 def rank(values) -> tuple:
     """Values in an order that holds for nulls and NaN."""
@@ -119,10 +115,6 @@ def ingest_latest(stream: DataFrame, path: str, checkpoint: str, schema: str, ke
 
 def run_with_rocks(spark: SparkSession, changes: DataFrame, checkpoint: str, sink) -> None:
     """Run what has landed with state in RocksDB, which timers need; the session's own setting comes back once the query has begun."""
-    before = spark.conf.get(PROVIDER_CONF, None)
-    spark.conf.set(PROVIDER_CONF, ROCKS)
-    try:
+    with state_on_disk(spark):
         q = changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(PROVIDER_CONF) if before is None else spark.conf.set(PROVIDER_CONF, before)
     q.awaitTermination()

@@ -415,3 +415,29 @@ def test_ties_do_not_depend_on_order(spark):
     for some in (rows, rows[::-1]):
         assert [r.hs_m for r in hourly_obs(obs(spark, some).coalesce(1)).collect()] == [2.0]
         assert [round(r.obs_sw1_height_ft, 2) for r in obs_wide(obs(spark, some).coalesce(1)).collect()] == [6.56]
+
+
+def test_first_wins_query_passes_late_readings(spark, folder):
+    """A second file, 500 days older than the first: behind any watermark of the stream, yet every reading comes once."""
+    from seastate.plans.catalog import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type != 'click'")
+    old = events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 500 DAYS"))
+    events.coalesce(1).write.parquet(folder + "/events.parquet")
+    one = QUERIES["t01_first_wins_stream"](spark, folder).count()
+    old.unionByName(events).coalesce(1).write.parquet(folder + "/events_late.parquet")
+    assert one > 0 and QUERIES["t01_first_wins_stream"](spark, folder).count() == 2 * one
+
+
+def test_batches_of_a_stateful_stream_are_folded_adaptively(spark, folder, monkeypatch):
+    land(spark, folder, "b1", [("s", 0, 1, 1.0, 1), ("s", 30, 2, 3.0, 1)])
+    seen, store, key = [], Sn._store, "spark.sql.adaptive.enabled"
+    monkeypatch.setattr(Sn, "_store", lambda rows, *a: seen.append(rows.sparkSession.conf.get(key)) or store(rows, *a))
+    stream = spark.readStream.schema(schemas.OBS).parquet(folder + "/in/*")
+    schema = "station string, hour_utc timestamp, n long, mean_hs_m double"
+    with St.state_on_disk(spark):
+        q = St.hourly_window_counts(stream).writeStream.outputMode("update").option("checkpointLocation", folder + "/c").foreachBatch(
+            lambda b, _: St.upsert_by_day(b, folder + "/t", schema, ["station", "hour_utc"], "hour_utc", ["n"])).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    assert seen and set(seen) == {"true"} and St.read_table(spark, folder + "/t", schema).count() == 2
