@@ -11,29 +11,38 @@ from ..session import materialise
 from . import manifest, snapshots
 from .fold import fold
 
-FORECAST_PARTITIONS = ["model", "station", "year", "month"]
-OBS_PARTITIONS = ["station", "year", "month"]
+#: Stations of one month share so many folders, so files grow in size, not in number, with the stations.
+FOLDERS = 64
+FORECAST_PARTITIONS = ["model", "part", "year", "month"]
+OBS_PARTITIONS = ["part", "year", "month"]
+
+
+def part_of(station: Column) -> Column:
+    """The folder a station falls into."""
+    return F.format_string("%02d", F.pmod(F.xxhash64(station), F.lit(FOLDERS)))
 
 
 def read_forecasts(spark: SparkSession, root: str, models=None, stations=None, months=None,
                    columns: list[str] | None = None) -> DataFrame:
-    """Archive scan. Filters on model, station and (year, month) pick directories before any is listed; a file that cannot be read fails the scan."""
+    """Archive scan. Filters on model, station and (year, month) pick folders before any file is listed; a file that cannot be read fails the scan."""
     which = F.lit(True)
     if models:
         which = which & F.col("model").isin(*models)
     if stations:
-        which = which & F.col("station").isin(*stations)
+        which = which & F.col("part").isin(*[part_of(F.lit(s)) for s in stations])
     if months:
         test = F.lit(False)
         for y, m in months:
             test = test | ((F.col("year") == str(y)) & (F.col("month") == f"{m:02d}"))
         which = which & test
     df = snapshots.load(spark, root, schemas.FORECAST, FORECAST_PARTITIONS, which)
-    return df.select(*columns) if columns else df.drop("year", "month")
+    if stations:
+        df = df.filter(F.col("station").isin(*stations))
+    return df.select(*columns) if columns else df.drop("part", "year", "month")
 
 
-def with_year_month(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM")})
+def with_folders(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumns({"part": part_of(F.col("station")), "year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM")})
 
 
 def missing_cycles(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,14 +51,14 @@ def missing_cycles(rows: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
 
 
 def write_forecasts(rows: DataFrame, root: str, force: bool = False) -> None:
-    """Add cycles to the archive: one file set per (model, station, month).
+    """Add cycles to the archive: one file set per model, month and folder of stations.
 
     Present cycles are skipped unless forced; forced cycles are rewritten per month together with what the month already holds.
     Either way rows are written once and become visible all at once.
     """
     spark = rows.sparkSession
     keys = ["model", "station", "cycle_utc"]
-    new = with_year_month(rows, "cycle_utc")
+    new = with_folders(rows, "cycle_utc")
     if not snapshots.exists(spark, root):
         snapshots.append_rows(new, root, FORECAST_PARTITIONS)
         return
@@ -74,7 +83,7 @@ def read_observations(spark: SparkSession, roots: list[str], drifted: DataFrame
     out = None
     for r in roots:
         stored = snapshots.exists(spark, r)
-        df = snapshots.load(spark, r, schemas.OBS, OBS_PARTITIONS).drop("year", "month") if stored else spark.read.schema(schemas.OBS).parquet(r)
+        df = snapshots.load(spark, r, schemas.OBS, OBS_PARTITIONS).drop("part", "year", "month") if stored else spark.read.schema(schemas.OBS).parquet(r)
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -116,7 +125,7 @@ def clean_observations(rows: DataFrame) -> DataFrame:
 
 def write_observations(rows: DataFrame, root: str) -> None:
     """Merge readings into the archive: stored months keep their rows, the latest ingest wins per reading."""
-    fold(with_year_month(_with_values(rows), "valid_utc"), root, schemas.OBS, OBS_KEYS, _obs_order(), OBS_PARTITIONS)
+    fold(with_folders(_with_values(rows), "valid_utc"), root, schemas.OBS, OBS_KEYS, _obs_order(), OBS_PARTITIONS)
 
 
 def pivot_samples(samples: DataFrame, keys: list[str], variable: str, value: str, names: list[str]) -> DataFrame:

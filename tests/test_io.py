@@ -441,3 +441,16 @@ def test_batches_of_a_stateful_stream_are_folded_adaptively(spark, folder, monke
     q.awaitTermination()
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
     assert seen and set(seen) == {"true"} and St.read_table(spark, folder + "/t", schema).count() == 2
+
+
+def test_files_do_not_grow_with_the_stations(spark, folder):
+    rows = [(f"s{i}", 0, 1, float(i), 1) for i in range(500)]
+    A.write_observations(obs(spark, rows), folder + "/o")
+    d = forecasts(spark, [0], 1.0).drop("station").crossJoin(spark.range(500).select(F.concat(F.lit("s"), F.col("id")).alias("station")))
+    A.write_forecasts(d, folder + "/f")
+    for sub in "of":
+        assert len(glob.glob(f"{folder}/{sub}/data/**/*.parquet", recursive=True)) <= 2 * A.FOLDERS
+    assert A.read_observations(spark, [folder + "/o"]).count() == 500
+    assert A.read_forecasts(spark, folder + "/f").select("station").distinct().count() == 500
+    some = A.read_forecasts(spark, folder + "/f", stations=["s7", "s11"])
+    assert {r.station for r in some.collect()} == {"s7", "s11"} and len(some.inputFiles()) <= 4
