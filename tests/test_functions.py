@@ -170,3 +170,27 @@ def test_curve_and_ladder(spark):
     ladder = [R.WindStep("a", 180.0, 3.0, 1.0, True), R.WindStep("b", 45.0, 10.0, 1.0, True), R.WindStep("c", 180.0, float("inf"), 0.0, False)]
     rate = lambda s, d: one(spark, R.ladder_rating(F.lit(s).cast("double"), F.lit(d).cast("double"), F.lit(10.0), ladder))
     assert [rate(2, 200), rate(3, 0), rate(4, 350), rate(4, 100), rate(11, 10), rate(None, 0), rate(1, None)] == ["a", "a", "b", "c", "c", None, None]
+
+
+def test_mean_of_opposite_bearings_is_that_of_the_database(spark):
+    """Only the last digits of sine and cosine decide there, so these have to be the C library's."""
+    import duckdb
+
+    from seastate.plans.ctes import circ_mean
+
+    got = {r.a: r.m for r in spark.range(360).select(F.col("id").alias("a"), C.mean_of_two(
+        F.col("id").cast("double"), ((F.col("id") + 180) % 360).cast("double")).alias("m")).collect()}
+    want = dict(duckdb.sql(f"SELECT a, {circ_mean('a::DOUBLE', '((a + 180) % 360)::DOUBLE')} FROM (SELECT unnest(range(360)) AS a)").fetchall())
+    far = [a for a in want if abs((got[a] - want[a] + 180) % 360 - 180) > 1e-6]
+    assert not far
+
+
+def test_ties_at_the_sixth_decimal_fall_as_in_the_database(spark):
+    import duckdb
+
+    from seastate.plans.ctes import r6
+    from seastate.plans.registry import presentable
+
+    x = [-0.31956249999999997, 4.0094875, 1.6481874999999997, -2.5, 1e300, 1.7e308, float("inf"), 0.0]
+    got = [r.x for r in presentable(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")).orderBy("i").collect()]
+    assert got == [duckdb.execute(f"SELECT {r6('?')}", [v]).fetchone()[0] for v in x]
