@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import units as U
+from ..functions.arrays import stage
 from ..operators import waves as Wv
 from ..session import materialise, work_path
 from ..sources import archive as A
@@ -24,8 +25,9 @@ def station_lines(v):
     deg = F.when(k % 10 == 0, U.to_cardinal(((k * 37 + F.col("user_id") * 11) % 360).cast("double"))).otherwise(
         ((k * 37 + F.col("user_id") * 11) % 360).cast("string"))
     wvht = F.when(k == 7, "MM").otherwise(F.col("value").cast("string"))
-    data = v.events.select(F.col("station").alias("path"), (F.col("event_id") + 2).alias("pos"), F.concat_ws(
-        " ", F.date_format(ts, "yyyy MM dd HH mm"), F.lit("210"), k.cast("string"), wvht, k.cast("string"), deg).alias("value"))
+    e = stage(stage(v.events, {"_deg": deg, "_wvht": wvht}), {"_at": F.date_format(ts, "yyyy MM dd HH mm"), "_k": k.cast("string")})
+    data = e.select(F.col("station").alias("path"), (F.col("event_id") + 2).alias("pos"),
+                    F.concat_ws(" ", "_at", F.lit("210"), "_k", "_wvht", "_k", "_deg").alias("value"))
     names = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit("#YY  MM DD hh mm WDIR WSPD WVHT   DPD MWD").alias("value")),
                     F.struct(F.lit(1).cast("long").alias("pos"), F.lit("#yr  mo dy hr mn degT m/s  m      sec degT").alias("value")))
     head = v.events.select(F.col("station").alias("path")).distinct().select("path", F.explode(names).alias("h")).select("path", "h.*")

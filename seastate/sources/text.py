@@ -64,40 +64,43 @@ def names_of(line: Column) -> Column:
 
 def headers(lines: DataFrame, plain: bool) -> DataFrame:
     """Header of each file as an array of names and its place: the first line, or the first '#' line unless ``plain``."""
-    h = lines if plain else lines.filter(is_comment(F.col("value")))
-    h = h.filter(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "pos").alias("_h"), F.min("pos").alias("_at"))
-    return stage(h, {"header": names_of(F.col("_h"))}).drop("_h")
+    h = lines.filter(F.trim("value") != "")
+    h = h if plain else h.filter(is_comment(F.col("value")))
+    # Places alone are aggregated by hash; an aggregate that carries texts would sort every line.
+    at = h.groupBy("path").agg(F.min("pos").alias("_at"))
+    first = lines.join(at.withColumnRenamed("_at", "pos"), ["path", "pos"]).select("path", F.col("pos").alias("_at"), "value")
+    return stage(first, {"header": names_of(F.col("value"))}).drop("value")
 
 
-def _with_header(lines: DataFrame, plain: bool = False) -> DataFrame:
-    """Data lines with their tokens and the header of their file.
+def _with_header(lines: DataFrame, plain: bool = False, of_header: dict[str, Column] | None = None) -> DataFrame:
+    """Data lines with their tokens and the header of their file, and columns worked out once from each header.
 
     Headers are one short row a file. They are gathered and stored first; up to ``BROADCAST_FILES`` of them, as counted, go to every task, so
     that no data line is shuffled and a long file stays spread over its blocks. Beyond that they are joined on the file.
     """
+    of_header = of_header or {}
     data = lines.filter(~is_comment(F.col("value")) & (F.trim("value") != ""))
-    if "header" not in lines.columns:
-        of = materialise(headers(lines, plain), "headers")
+    if "header" in lines.columns:
+        data = stage(data, of_header)
+    else:
+        of = materialise(headers(lines, plain).withColumns(of_header), "headers")
         few = of.count() <= BROADCAST_FILES
         data = data.join(F.broadcast(of) if few else of, "path").filter(F.col("pos") > F.col("_at")).drop("_at")
     return stage(data, {"tok": tokens(F.col("value"))})
 
 
-def named(header: Column, tok: Column, *names: str) -> Column:
-    """Token under the first of these header names, null if there is none."""
-    out = F.lit(None).cast("string")
-    for n in reversed(names):
-        at = F.array_position(header, F.lit(n)).cast("int")
-        out = F.when(at > 0, F.get(tok, at - 1)).otherwise(out)
-    return out
+def place(header: Column, *names: str) -> Column:
+    """Place of the first of these names in the header, from 0; null if there is none."""
+    at = [F.array_position(header, F.lit(n)).cast("int") for n in names]
+    return F.coalesce(*[F.when(i > 0, i - 1) for i in at])
 
 
 def _by_name(lines: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
     """Data lines with the wanted tokens as columns and the line's instant as valid_utc."""
     parts = {"_y": ("YYYY", "YY"), "_mo": ("MM",), "_dy": ("DD",), "_hr": ("hh",), "_mi": ("mm",), **wanted}
-    d = _with_header(lines, plain=True)
-    d = stage(d, {k: named(F.col("header"), F.col("tok"), *names) for k, names in parts.items()})
-    minute = F.when(F.array_contains("header", "mm"), F.col("_mi")).otherwise(F.lit("0"))
+    d = _with_header(lines, plain=True, of_header={f"_at{k}": place(F.col("header"), *names) for k, names in parts.items()})
+    d = stage(d, {k: F.get("tok", F.col(f"_at{k}")) for k in parts}).drop("header", "tok")
+    minute = F.when(F.col("_at_mi").isNotNull(), F.col("_mi")).otherwise(F.lit("0"))
     return stage(d, {"valid_utc": time_of(year_of(F.col("_y")), F.col("_mo"), F.col("_dy"), F.col("_hr"), minute)})
 
 
@@ -108,11 +111,13 @@ def parse_station(lines: DataFrame) -> DataFrame:
     year column are dropped; fill marks become null per column.
     """
     d = _by_name(lines, {"_wvht": ("WVHT",), "_dpd": ("DPD",), "_mwd": ("MWD",), "_wspd": ("WSPD",), "_wdir": ("WDIR",), "_gst": ("GST",)})
-    return d.filter(F.col("valid_utc").isNotNull()).select(
-        "path", "pos", "valid_utc", F.lit(0).alias("partition"),
-        U.parse_number(F.col("_wvht")).alias("hs_m"), U.parse_number(F.col("_dpd")).alias("tp_s"),
-        U.parse_direction(F.col("_mwd")).alias("dp_deg"), U.parse_number(F.col("_wspd")).alias("wind_ms"),
-        U.parse_direction(F.col("_wdir")).alias("wind_deg"), U.parse_number(F.col("_gst")).alias("gust_ms"))
+    d = d.filter(F.col("valid_utc").isNotNull())
+    # Step by step: the JVM compiles no method as long as all six in one would make.
+    for out, tok in (("hs_m", "_wvht"), ("tp_s", "_dpd"), ("wind_ms", "_wspd"), ("gust_ms", "_gst")):
+        d = stage(d, {out: U.parse_number(F.col(tok))})
+    for out, tok in (("dp_deg", "_mwd"), ("wind_deg", "_wdir")):
+        d = stage(d, {out: U.parse_direction(F.col(tok))})
+    return d.select("path", "pos", "valid_utc", F.lit(0).alias("partition"), "hs_m", "tp_s", "dp_deg", "wind_ms", "wind_deg", "gust_ms")
 
 
 def newest_usable(rows: DataFrame, keys: list[str]) -> DataFrame:

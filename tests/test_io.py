@@ -454,3 +454,14 @@ def test_files_do_not_grow_with_the_stations(spark, folder):
     assert A.read_forecasts(spark, folder + "/f").select("station").distinct().count() == 500
     some = A.read_forecasts(spark, folder + "/f", stations=["s7", "s11"])
     assert {r.station for r in some.collect()} == {"s7", "s11"} and len(some.inputFiles()) <= 4
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, folder):
+    """Header places come from a hash aggregate; the parser looks names up once a file, not once a line."""
+    put(folder, "a.txt", "#YY MM DD hh mm WVHT DPD\n2024 01 01 00 00 1.5 7\n")
+    put(folder, "b.txt", "\nYY MM DD hh WVHT\n2024 01 01 05 2.5\n")
+    lines = X.read_lines(spark, folder).withColumn("pos", F.col("pos.line"))
+    assert "SortAggregate" not in X.headers(lines, True)._jdf.queryExecution().executedPlan().toString()
+    assert "array_position" not in X.parse_station(lines)._jdf.queryExecution().executedPlan().toString()
+    got = sorted((os.path.basename(r.path), r.valid_utc.hour, r.hs_m, r.tp_s) for r in X.parse_station(lines).collect())
+    assert got == [("a.txt", 0, 1.5, 7.0), ("b.txt", 5, 2.5, None)]
