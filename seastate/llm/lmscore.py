@@ -4,8 +4,8 @@
 worker. One pass gives the ids, which are stored and read by every later one, and the word counts.
 
 *Learning.* From all training documents: counts of words (for the baseline), of subword ids and of pairs of id classes. The attention
-model learns what pairs miss: each task takes steps over one of every ``EVERY`` windows in a row (a document of fewer may be passed
-over), starting from the same weights; the weights are averaged, and the next of ``ROUNDS`` rounds starts from the average with other windows. Work and what is gathered
+model learns what pairs miss from every window of every training document: each task takes steps over one of ``ROUNDS`` windows in a row, starting from
+the same weights; the weights are averaged, and the next of ``ROUNDS`` rounds starts from the average with the windows next to those. Work and what is gathered
 grow with the input; what reaches the driver is bounded by the vocabulary (id counts, pair table) and the model.
 
 *Scoring.* Overlapping windows of ``WINDOW`` subwords share ``CONTEXT`` of context and score each subword once, in batches under a causal mask.
@@ -35,7 +35,7 @@ from . import attention as A
 from .scan import LOWER, NON_SPACE, chunks, mix, span_hashes, spans
 
 COMMON = 262_144
-EVERY, ROUNDS, BATCH = 16, 2, 128
+ROUNDS, BATCH = 2, 128
 CACHE_WORDS = 2_000_000
 SCORE_BATCH = 512
 _U = np.uint64
@@ -233,6 +233,12 @@ def table_counts(encoded: DataFrame, class_of: np.ndarray | None, end: int) -> n
     return out
 
 
+def picked(n: np.ndarray, row: np.ndarray, turn: int) -> np.ndarray:
+    """Windows of a round, for texts of n tokens: the rounds share all of them out, each window to one."""
+    count = -(-n // A.STEP)
+    return np.flatnonzero((np.arange(count.sum()) + np.repeat(row, count)) % ROUNDS == turn)
+
+
 def train(encoded: DataFrame, class_of: np.ndarray, end: int, pairs: A.PairTable) -> np.ndarray:
     """Averaged weights after all rounds."""
     flat = A.initial()
@@ -241,12 +247,11 @@ def train(encoded: DataFrame, class_of: np.ndarray, end: int, pairs: A.PairTable
             mine, opt, used = start.copy(), A.Adam(), 0
             model = A.Model(mine, pairs)
             for b in batches:
-                ids, row = _ids(b.column(1)), b.column(0).to_numpy() % EVERY
+                ids, row = _ids(b.column(1)), b.column(0).to_numpy() % ROUNDS
                 for lo, hi in _slices(ids):
                     x, y, n = _sequences(ids[lo:hi], class_of, end)
                     at = A.windows(n)
-                    order = np.arange(len(at[0])) + np.repeat(row[lo:hi], -(-n // A.STEP))
-                    pick = np.flatnonzero(order % EVERY == turn * EVERY // ROUNDS)
+                    pick = picked(n, row[lo:hi], turn)
                     pick = pick[np.argsort(mix(pick.astype(_U)))]
                     for i in range(0, len(pick), BATCH):
                         some = pick[i : i + BATCH]

@@ -220,3 +220,12 @@ def test_codes_of_odd_tables(spark):
     assert [r[0] for r in got] == [1, 2, 4] and books.shape == (4, 3, 2) and {r[2] for r in got} == {0}
     with pytest.raises(ValueError):
         cellcodes.compress(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), entries=300)
+
+
+def test_training_rounds_share_out_every_window():
+    from seastate.llm import attention as A
+    from seastate.llm import lmscore
+
+    n, row = np.array([1, 24, 25, 700]), np.array([0, 1, 1, 0])
+    seen = np.concatenate([lmscore.picked(n, row, t) for t in range(lmscore.ROUNDS)])
+    assert sorted(seen.tolist()) == list(range(len(A.windows(n)[0])))
