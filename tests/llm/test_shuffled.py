@@ -332,6 +332,57 @@ def test_chains_are_the_best():
         assert all(pos[a] < pos[b] and lead[a] < lead[b] for c in got for a, b in zip(c, c[1:], strict=False))
 
 
+def _plain_extend(a, b):
+    """Pair by pair: over mismatches while matches outweigh them, then over words left out."""
+    slips = sorted(((x, y) for x in range(chaining.SLIP + 1) for y in range(chaining.SLIP + 1) if x + y), key=sum)
+    i = j = hits = 0
+    while True:
+        best = total = words = 0
+        for k in range(min(len(a) - i, len(b) - j)):
+            total += 1 if a[i + k] == b[j + k] else -1
+            if total < best - chaining.DROP:
+                break
+            if total >= max(best, 1):
+                best, words = total, k + 1
+        i, j, hits = i + words, j + words, hits + (best + words) // 2
+        for da, db in slips:
+            x, y = a[i + da : i + da + chaining.SLIP], b[j + db : j + db + chaining.SLIP]
+            if len(x) == len(y) == chaining.SLIP and x == y:
+                i, j = i + da, j + db
+                break
+        else:
+            return i, j, hits
+
+
+def test_passages_extend_together_as_one_by_one():
+    rng, pairs = random.Random(4), []
+    for _ in range(400):
+        kinds = rng.choice([3, 30, 3000])
+        a = [rng.randrange(kinds) for _ in range(rng.randint(0, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(12) if b else 0):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 4)] = [rng.randrange(kinds) for _ in range(rng.randint(0, 4))]
+        pairs.append((a, b))
+    flat = [np.array([x for p in pairs for x in p[side]]) for side in (0, 1)]
+    n = [np.array([len(p[side]) for p in pairs]) for side in (0, 1)]
+    begin = [np.cumsum(k) - k for k in n]
+    assert list(zip(*(x.tolist() for x in chaining.extend(*flat, *begin, *n, 1)), strict=True)) == [_plain_extend(a, b) for a, b in pairs]
+    last = [at + k - 1 for at, k in zip(begin, n, strict=True)]
+    assert list(zip(*(x.tolist() for x in chaining.extend(*flat, *last, *n, -1)), strict=True)) == [_plain_extend(a[::-1], b[::-1]) for a, b in pairs]
+
+
+def test_matches_on_one_diagonal_chain_as_any_others():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        pos = np.cumsum([rng.choice([1, 2, 6, 9, 20, 37, 50]) for _ in range(n)])
+        head = [True] + [False] * (n - 1)
+        chaining._line((chaining.SKIP_COST * (pos + pos + 7)).tolist(), head)
+        first = [i for i in range(n) if head[i]]
+        assert [list(range(i, j)) for i, j in zip(first, [*first[1:], n], strict=True)] == sorted(chaining.chain(pos, pos + 7))
+
+
 def test_fuzzy_passages_are_found(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghijklm", k=5))
