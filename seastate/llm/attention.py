@@ -24,6 +24,7 @@ SCALE = _F(1 / np.sqrt(WIDTH))
 _SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,),
            "w2": (HIDDEN, WIDTH), "b2": (WIDTH,), "g": (WIDTH, GROUPS), "m": (GROUPS, WIDTH, MEMBERS)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_ASK = slice(CONTEXT, WINDOW)
 _CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), _F(0), _F(-1e9))
 
 
@@ -113,11 +114,10 @@ class Model:
         cls = x[pos]
         n = len(first)
         if learn:
-            X, Q, K, V, A, whole, O, H = self._attend(cls, there, slice(0, WINDOW))
+            X, Q, K, V, A, whole, O, H = self._attend(cls, there, _ASK)
             A /= whole
-            H = H[:, -STEP:]
         else:  # only scored positions need an answer; small lots stay in the processor's cache
-            H = np.concatenate([self._attend(cls[i : i + LOT], there[i : i + LOT], slice(CONTEXT, WINDOW))[-1] for i in range(0, n, LOT)])
+            H = np.concatenate([self._attend(cls[i : i + LOT], there[i : i + LOT], _ASK)[-1] for i in range(0, n, LOT)])
         H = H.reshape(-1, WIDTH)
         R = np.maximum(H @ w["w1"] + w["b1"], 0)
         Z = H + R @ w["w2"] + w["b2"]
@@ -144,13 +144,16 @@ class Model:
 
         flat = np.zeros(SIZE, _F)
         d = split(flat)
+        ones = np.ones(len(want), _F)
         weight = (live / max(1, live.sum())).astype(_F)[:, None]
-        D = np.exp(G - lse[:, None])
+        G -= lse[:, None]
+        D = np.exp(G, out=G)
         D[rows, group] -= 1
         D *= weight
         d["g"][...] = Z.T @ D
         dZ = D @ w["g"].T
-        P = np.exp(L - inner[:, None])
+        L -= inner[:, None]
+        P = np.exp(L, out=L)
         P[rows, member[order]] -= 1
         P *= weight[order]
         back = np.empty_like(sorted_z)
@@ -159,21 +162,32 @@ class Model:
             d["m"][k] = sorted_z[part].T @ P[part]
             back[part] = P[part] @ w["m"][k].T
         dZ[order] += back
-        d["w2"][...], d["b2"][...] = R.T @ dZ, dZ.sum(0)
+        d["w2"][...], d["b2"][...] = R.T @ dZ, ones @ dZ
         dR = dZ @ w["w2"].T
-        dR[R <= 0] = 0
-        d["w1"][...], d["b1"][...] = H.T @ dR, dR.sum(0)
-        dH = np.zeros((n, WINDOW, WIDTH), _F)
-        dH[:, -STEP:] = (dZ + dR @ w["w1"].T).reshape(n, STEP, WIDTH)
-        d["o"][...] = O.reshape(-1, WIDTH).T @ dH.reshape(-1, WIDTH)
-        dO = dH @ w["o"].T
-        dA = np.matmul(dO, V.transpose(0, 2, 1))
-        dS = A * (dA - (dA * A).sum(-1, keepdims=True)) * SCALE
-        dQKV = np.concatenate([np.matmul(dS, K), np.matmul(dS.transpose(0, 2, 1), Q), np.matmul(A.transpose(0, 2, 1), dO)], -1).reshape(-1, 3 * WIDTH)
+        dR *= R > 0
+        d["w1"][...], d["b1"][...] = H.T @ dR, ones @ dR
+        dH = dZ + dR @ w["w1"].T
+        d["o"][...] = O.reshape(-1, WIDTH).T @ dH
+        dO = (dH @ w["o"].T).reshape(n, STEP, WIDTH)
+        dS = np.matmul(dO, V.transpose(0, 2, 1))
+        dS -= (dO * O) @ np.ones((WIDTH, 1), _F)  # the mean of a row under its attention
+        dS *= A
+        dQKV = np.zeros((n, WINDOW, 3 * WIDTH), _F)
+        dQKV[:, _ASK, :WIDTH] = np.matmul(dS, K * SCALE)
+        dQKV[..., WIDTH : 2 * WIDTH] = np.matmul(dS.transpose(0, 2, 1), Q[:, _ASK] * SCALE)
+        dQKV[..., 2 * WIDTH :] = np.matmul(A.transpose(0, 2, 1), dO)
+        dQKV = dQKV.reshape(-1, 3 * WIDTH)
         d["qkv"][...] = X.reshape(-1, WIDTH).T @ dQKV
-        dX = (dH.reshape(-1, WIDTH) + dQKV @ w["qkv"].T) * there.reshape(-1, 1)
-        d["p"][...] = dX.reshape(n, WINDOW, WIDTH).sum(0)
-        np.add.at(d["e"], cls.reshape(-1), dX)
+        dX = (dQKV @ w["qkv"].T).reshape(n, WINDOW, WIDTH)
+        dX[:, _ASK] += dH.reshape(n, STEP, WIDTH)
+        if not there.all():
+            dX[~there] = 0
+        d["p"][...] = (ones[:n] @ dX.reshape(n, -1)).reshape(WINDOW, WIDTH)
+        cls = cls.reshape(-1).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")  # two bytes: sorted by counting
+        cls = cls[order]
+        head = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        d["e"][cls[head]] = np.add.reduceat(np.take(dX.reshape(-1, WIDTH), order, axis=0), head, axis=0)
         return -float((score * weight[:, 0]).sum()), flat
 
 

@@ -549,6 +549,16 @@ def test_model_is_a_causal_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_learning_attends_from_scored_places_alone(monkeypatch):
+    """The places before them are context: no loss is taken there, so queries and their gradients would be wasted work."""
+    asked, attend = [], attention.Model._attend
+    monkeypatch.setattr(attention.Model, "_attend", lambda self, cls, there, ask: asked.append(ask) or attend(self, cls, there, ask))
+    model = attention.Model(attention.initial(), attention.PairTable(np.zeros((attention.CLASSES, attention.CLASSES))))
+    y = np.arange(60) % attention.CLASSES
+    model.run(np.append(7, y[:-1]), y, attention.windows(np.array([60])), learn=True)
+    assert [len(range(attention.WINDOW)[a]) for a in asked] == [attention.STEP]
+
+
 def check_scores(rows, texts):
     lower = str.maketrans({c: c + 32 for c in range(65, 91)})
     words = {d: [*re.findall(SPACES, (t or "").translate(lower)), None] for d, t in texts}
