@@ -437,6 +437,47 @@ def test_every_run_longer_than_a_long_window_is_found():
         assert kept[0] & kept[1]
 
 
+def test_every_exact_run_is_found_whoever_holds_its_pieces(spark):
+    """Runs of 50 to 80 words between documents, while others hold pieces of them before; against every window of 50 words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    texts = []
+    for size in range(50, 81, 3):
+        run = [word() for _ in range(size)]
+        frame = lambda mid: [word() for _ in range(rng.randint(0, 40))] + mid + [word() for _ in range(rng.randint(0, 40))]
+        texts += [frame(run[i : i + 49]) for i in range(0, size - 40, 4)] + [frame(run), frame(run), frame(run[: size // 2] + [word()] + run[size // 2 :])]
+    pool = [word() for _ in range(600)]
+    for _ in range(60):  # patchwork
+        cuts = [(a, a + rng.randint(10, 120)) for a in (rng.randrange(580) for _ in range(6))]
+        texts.append([x for a, b in cuts for x in [*pool[a:b], word()]])
+    first, least = {}, []
+    for d, w in enumerate(texts):
+        later = set()
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) != d:
+                later.update(range(i, i + 50))
+        least.append(later)
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in chaining.summarise(*chaining.find_repeats(rows)).collect()}
+    for d, later in enumerate(least):
+        assert later <= {i for p in got[d].passages for i in range(p.begin, p.end)}, d
+        assert got[d].n_later_words >= len(later)
+    assert sum(map(bool, least)) > 50
+
+
+def test_windows_in_a_row_with_one_smallest_make_a_context():
+    rng = np.random.default_rng(3)
+    for n, span in ((50, 2**63), (51, 2**63), (300, 2**63), (300, 5)):  # the last has many ties
+        sums = scan.WordSums(rng.integers(0, span, n).astype(np.uint64))
+        h = sums.windows(chaining.LONG_K)
+        place, first, size = chaining.contexts(h, chaining.LONG_WINDOW)
+        assert first[0] == 0 and (np.diff(first) == size[:-1]).all() and size.sum() == n - chaining.MIN_WORDS + 1
+        for p, f, s in zip(place, first, size, strict=True):
+            assert all(i + int(np.argmin(h[i : i + chaining.LONG_WINDOW])) == p for i in range(f, f + s))
+        code = chaining.context_codes(sums, first, size)
+        assert (code & np.uint64(chaining._SIZE_BITS) == size).all()
+
+
 def test_chaining_on_odd_rows(spark, odd, none):
     got = chaining.summarise(*chaining.find_repeats(odd)).collect()
     assert len(got) == odd.count()
